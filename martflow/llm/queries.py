@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from martflow.llm.bpe import op6_bpe
 from martflow.llm.quality_rules import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op6_bpe, op7_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
