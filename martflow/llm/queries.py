@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from martflow.llm.bpe import op6_bpe
+from martflow.llm.html_text import op2_html_text
+from martflow.llm.language_id import op1_language_id
 from martflow.llm.quality_rules import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op6_bpe, op7_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_html_text,
+        op6_bpe,
+        op7_quality_rules,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
