@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from martflow.llm.bpe import op6_bpe
 from martflow.llm.html_text import op2_html_text
+from martflow.llm.jaccard_join import op4_jaccard_join
 from martflow.llm.language_id import op1_language_id
 from martflow.llm.quality_rules import op7_quality_rules
 
@@ -12,6 +13,7 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_html_text,
+        op4_jaccard_join,
         op6_bpe,
         op7_quality_rules,
     )

@@ -160,3 +160,17 @@ def annotate(df: DataFrame, column: str, fields: list[tuple[str, str]], make) ->
 
     source = df if column in kept_names else df.withColumnRenamed(column, column)
     return source.mapInArrow(run, schema)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table that written() made and nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
