@@ -7,6 +7,7 @@ from martflow.llm.html_text import op2_html_text
 from martflow.llm.jaccard_join import op4_jaccard_join
 from martflow.llm.language_id import op1_language_id
 from martflow.llm.mixing import op10_mixing
+from martflow.llm.quality_model import op9_quality_model
 from martflow.llm.quality_rules import op7_quality_rules
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
         op4_jaccard_join,
         op6_bpe,
         op7_quality_rules,
+        op9_quality_model,
         op10_mixing,
     )
 }
