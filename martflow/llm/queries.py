@@ -9,6 +9,7 @@ from martflow.llm.language_id import op1_language_id
 from martflow.llm.mixing import op10_mixing
 from martflow.llm.quality_model import op9_quality_model
 from martflow.llm.quality_rules import op7_quality_rules
+from martflow.llm.vector_search import op8_vector_search
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +19,7 @@ QUERIES = {
         op4_jaccard_join,
         op6_bpe,
         op7_quality_rules,
+        op8_vector_search,
         op9_quality_model,
         op10_mixing,
     )
