@@ -6,6 +6,7 @@ from martflow.llm.bpe import op6_bpe
 from martflow.llm.html_text import op2_html_text
 from martflow.llm.jaccard_join import op4_jaccard_join
 from martflow.llm.language_id import op1_language_id
+from martflow.llm.license_scan import op5_license_scan, oracle as _licenses
 from martflow.llm.mixing import op10_mixing
 from martflow.llm.quality_model import op9_quality_model
 from martflow.llm.quality_rules import op7_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
         op1_language_id,
         op2_html_text,
         op4_jaccard_join,
+        op5_license_scan,
         op6_bpe,
         op7_quality_rules,
         op8_vector_search,
@@ -24,4 +26,4 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": _licenses()}
