@@ -127,24 +127,29 @@ def plan_sources(rows: list[tuple[str | None, int]], weights=WEIGHTS, share: flo
     return {s: Source(n, t, b, p, x, i, until[i]) for i, ((s, _), n, t, b, p, x) in enumerate(zip(order, sizes, wanted, counts, passes, extra))}
 
 
-def _draws(src: Source, start: int, size: int, block: int, seed: int, kept: dict) -> list[dict]:
-    """The draws that fall on words start .. start + size - 1 of a source's stream."""
-    if not size:
-        return []
-    first, last = start // block, (start + size - 1) // block
-    j = np.arange(first, last + 1)
-    lo, hi = np.maximum(j * block, start), np.minimum((j + 1) * block, start + size)
-    out = []
-    for p in range(src.passes + (src.extra > 0)):
-        if (src.number, p) not in kept:
-            kept[src.number, p] = Feistel(src.blocks, seed + 1_000_003 * src.number + p)
-        place = kept[src.number, p].permute(j).astype(np.int64)
-        drawn = np.ones(len(j), bool) if p < src.passes else place < src.extra
-        n = p * src.blocks + place
-        shard = np.searchsorted(src.until, n, "right")
-        key = (mix64(n.astype(np.uint64) * BASE + np.uint64(seed + src.number)) >> np.uint64(1)).astype(np.int64)
-        out += [{"shard": s, "place": k, "pass": p, "first": a - start, "words": b - a} for s, k, a, b, d in zip(shard.tolist(), key.tolist(), lo.tolist(), hi.tolist(), drawn) if d]
-    return out
+def _draws(sources: list[Source], which: np.ndarray, start: np.ndarray, size: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The draws that fall on words start .. start + size - 1 of each row's source: (row of each, the fields of DRAWS)."""
+    first = start // block
+    n = np.where(size > 0, (start + size - 1) // block - first + 1, 0)
+    found: list[list[np.ndarray]] = []
+    for i in np.unique(which):
+        src, rows = sources[i], np.flatnonzero((which == i) & (n > 0))
+        if not len(rows):
+            continue
+        row = np.repeat(rows, n[rows])
+        j = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
+        lo, hi = np.maximum(j * block, start[row]), np.minimum((j + 1) * block, start[row] + size[row])
+        for p in range(src.passes + (src.extra > 0)):
+            place = Feistel(src.blocks, seed + 1_000_003 * src.number + p).permute(j).astype(np.int64)
+            d = slice(None) if p < src.passes else place < src.extra
+            draw = p * src.blocks + place[d]
+            key = (mix64(draw.astype(np.uint64) * BASE + np.uint64(seed + src.number)) >> np.uint64(1)).astype(np.int64)
+            found.append([row[d], np.searchsorted(src.until, draw, "right"), key, np.full(len(draw), p), (lo - start[row])[d], (hi - lo)[d]])
+    if not found:
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 5
+    row, *fields = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((fields[3], fields[2], row))
+    return row[order], [f[order] for f in fields]
 
 
 def _named(source: str) -> Column:
@@ -168,14 +173,23 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     placed = dealt.withColumn("inner", inner).join(starts, ["name", "bucket"]).select("key", "mark", "name", "size", (F.col("base") + F.col("inner")).alias("start"))
 
     def run(batches):
-        kept: dict = {}
+        known = list(sources.value.items())
+        number = {s: i for i, (s, _) in enumerate(known)}
+        plans = [x for _, x in known]
+        fields = [("shard", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("first", pa.int64()), ("words", pa.int64())]
         for b in batches:
-            names, sizes, starts = (b.column(c).to_pylist() for c in ("name", "size", "start"))
-            found = [sources.value[n[1:] if n[0] == "+" else None] for n in names]
-            draws = [_draws(s, a, n, block, seed, kept) for s, n, a in zip(found, sizes, starts)]
-            struct = pa.list_(pa.struct([("shard", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("first", pa.int64()), ("words", pa.int64())]))
+            if not b.num_rows:
+                continue
+            coded = b.column("name").dictionary_encode()
+            names = [x[1:] if x[0] == "+" else None for x in coded.dictionary.to_pylist()]
+            which = np.array([number[x] for x in names])[coded.indices.to_numpy()]
+            row, columns = _draws(plans, which, b.column("start").to_numpy(), b.column("size").to_numpy(), block, seed)
+            taken = np.bincount(row, columns[4], b.num_rows).astype(np.int64)
+            struct = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], fields=[pa.field(f, t) for f, t in fields])
+            draws = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), struct)
+            source = pa.array([known[i][0] for i in range(len(known))], pa.string()).take(pa.array(which))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("mark"), b.column("size"), pa.array([n[1:] if n[0] == "+" else None for n in names], pa.string()), pa.array([s.size for s in found], pa.int64()), pa.array([s.target for s in found], pa.float64()), pa.array([sum(d["words"] for d in x) for x in draws], pa.int64()), pa.array(draws, struct)],
+                [b.column("key"), b.column("mark"), b.column("size"), source, pa.array(np.array([p.size for p in plans])[which]), pa.array(np.array([p.target for p in plans])[which]), pa.array(taken), draws],
                 names=["key", "mark", "size", "source", "source_size", "target", "taken", "draws"],
             )
 
