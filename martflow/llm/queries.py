@@ -10,6 +10,7 @@ from martflow.llm.license_scan import op5_license_scan, oracle as _licenses
 from martflow.llm.mixing import op10_mixing
 from martflow.llm.quality_model import op9_quality_model
 from martflow.llm.quality_rules import op7_quality_rules
+from martflow.llm.token_shards import op3_token_shards
 from martflow.llm.vector_search import op8_vector_search
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_html_text,
+        op3_token_shards,
         op4_jaccard_join,
         op5_license_scan,
         op6_bpe,
