@@ -16,7 +16,7 @@ Targets: sources in code point order (null last) weigh WEIGHTS in turn and share
 source stops at `cap` times its own words, and what it leaves is shared by weight among the others until none is above.
 
 Defined results: a null or empty text has size 0 and takes 0; a source without words has target 0; a null source is a
-source of its own. A source's taken words differ from its target by less than BLOCK. Repeated rows are rows of their
+source of its own. A source's taken words differ from its target by at most BLOCK. Repeated rows are rows of their
 own. Draws depend on the rows and SEED alone, so reruns agree.
 """
 
@@ -38,7 +38,7 @@ from martflow.llm.shared import BASE, mix64, table, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
-BLOCK = 64
+BLOCK = 32
 SHARD_BLOCKS = 1 << 16
 MOST_QUOTAS = 1 << 22
 PER_BUCKET = 20_000
@@ -112,6 +112,20 @@ class Source:
     until: np.ndarray  # draws of the shards up to each
 
 
+def _order(number: int, turn: int, blocks: int, seed: int) -> Feistel:
+    """The order in which one pass over a source draws its blocks."""
+    return Feistel(blocks, seed + 1_000_003 * number + turn)
+
+
+def _extra(number: int, size: int, words: float, turn: int, blocks: int, block: int, seed: int) -> int:
+    """How many blocks of the last, partial pass come nearest to `words`; the last block of the stream may be short."""
+    if not blocks or words <= 0:
+        return 0
+    short, last = blocks * block - size, int(_order(number, turn, blocks, seed).permute([blocks - 1])[0])
+    near = range(max(0, int(words // block) - 1), min(blocks, int(words // block) + 3) + 1)
+    return min(near, key=lambda r: abs(r * block - short * (last < r) - words))
+
+
 def plan_sources(rows: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> dict[str | None, Source]:
     """Targets, quotas and shards from (source, words) of every source."""
     order = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode()))
@@ -119,7 +133,7 @@ def plan_sources(rows: list[tuple[str | None, int]], weights=WEIGHTS, share: flo
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, cap)
     counts = [-(-n // block) for n in sizes]
     passes = [int(t // n) if n else 0 for n, t in zip(sizes, wanted)]
-    extra = [min(b, round((t - p * n) / block)) for n, t, p, b in zip(sizes, wanted, passes, counts)]
+    extra = [_extra(i, n, t - p * n, p, b, block, seed) for i, (n, t, p, b) in enumerate(zip(sizes, wanted, passes, counts))]
     quotas = np.array([p * b + x for p, b, x in zip(passes, counts, extra)], np.int64)
     per = max(SHARD_BLOCKS, ceil(int(quotas.sum()) * max(len(order), 1) / MOST_QUOTAS))
     shards = max(1, ceil(int(quotas.sum()) / per))
@@ -140,7 +154,7 @@ def _draws(sources: list[Source], which: np.ndarray, start: np.ndarray, size: np
         j = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
         lo, hi = np.maximum(j * block, start[row]), np.minimum((j + 1) * block, start[row] + size[row])
         for p in range(src.passes + (src.extra > 0)):
-            place = Feistel(src.blocks, seed + 1_000_003 * src.number + p).permute(j).astype(np.int64)
+            place = _order(src.number, p, src.blocks, seed).permute(j).astype(np.int64)
             d = slice(None) if p < src.passes else place < src.extra
             draw = p * src.blocks + place[d]
             key = (mix64(draw.astype(np.uint64) * BASE + np.uint64(seed + src.number)) >> np.uint64(1)).astype(np.int64)
