@@ -5,9 +5,9 @@ lower case, every run of other characters than a-z and 0-9 to one space) and its
 those of the licence templates: 2 * common / (unit's + template's) >= least. Two bounds, both exact, keep this cheap:
   * size: the coefficient can only reach `least` if the sizes differ by no more than a factor of (2 - least) / least, so a
     template is a candidate only for units of such a size;
-  * anchors: a match shares at least least * size / (2 - least) of a template's bigrams. Each template names words so
-    that fewer bigrams than that are free of them; a unit without any template's anchor matches nothing. Texts, and then
-    lines, without an anchor leave by a substring test before anything is split.
+  * anchors: a match shares at least least * size / (2 - least) of a template's bigrams, so a unit without any of a few
+    words (see anchors) matches nothing. Texts, and then lines, without an anchor leave by substring tests before
+    anything is split.
 The templates travel as literals of the plan. No shuffle but the final map-side combined aggregation by text and licence.
 
 Defined results: a null or empty text matches nothing and yields no row, nor do units of fewer than two words. Repeated
@@ -49,26 +49,41 @@ def bigrams(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
-def anchors(grams: set[str], least: float) -> list[str]:
-    """Words, long ones first, such that every set with a Dice coefficient of `least` or more to grams has one of them."""
-    needed = ceil(least * len(grams) / (2 - least) - 1e-9)
-    free, out = set(grams), []
-    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-        if len(free) < needed:
+def anchors(sets: list[set[str]], least: float, long: int = 6) -> tuple[list[str], list[str]]:
+    """(words, bigrams) such that every unit with a coefficient of `least` or more to one of sets holds one of them.
+
+    A match to a template of n bigrams shares ceil(least * n / (2 - least)) of them, so it holds one of any n + 1 less that
+    many. Words of `long` letters or more stand for the bigrams that they occur in, those first that serve most templates;
+    where they do not reach, bigrams stand for themselves.
+    """
+    lacking = [len(g) + 1 - ceil(least * len(g) / (2 - least) - 1e-9) for g in sets]
+    free = [set(g) for g in sets]
+    words, grams = [], []
+    candidates = sorted({w for g in sets for x in g for w in x.split() if len(w) >= long}, key=lambda w: (-len(w), w))
+    while any(n > 0 for n in lacking):
+        gain = {w: sum(min(n, sum(w in x for x in f)) for f, n in zip(free, lacking) if n > 0) for w in candidates}
+        best = max(candidates, key=lambda w: gain[w], default=None)
+        if best is None or not gain[best]:
             break
-        out.append(w)
-        free = {g for g in free if w not in g.split()}
-    return out
+        words.append(best)
+        for i, f in enumerate(free):
+            hit = {x for x in f if best in x}
+            free[i], lacking[i] = f - hit, lacking[i] - len(hit)
+    for f, n in zip(free, lacking):
+        grams += sorted(f, key=lambda x: (-len(x), x))[: max(n, 0)]
+    return words, sorted(set(grams))
 
 
 def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _any(c: Column, words: list[str]) -> Column:
+def _any(c: Column, words: list[str], grams: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
         out = out | F.contains(c, F.lit(w))
+    if grams:
+        out = out | F.rlike(c, F.lit("|".join("[^a-z0-9]+".join(map(re.escape, g.split())) for g in grams)))
     return out
 
 
@@ -76,18 +91,19 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     """(key, unit, place, license, dice): every unit of docs that matches a template. unit: line (place: its number from 1) or text."""
     sets = {name: sorted(bigrams(t)) for name, t in templates.items()}
     sets = {name: g for name, g in sets.items() if g}
-    words = sorted({w for g in sets.values() for w in anchors(set(g), least)})
-    words = [w for w in words if not any(o != w and o in w for o in words)]
+    held = anchors([set(g) for g in sets.values()], least)
     ratio = (2 - least) / least
     most = max((len(g) for g in sets.values()), default=0) * ratio
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for name, g in sets.items()])
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    rows = rows.withColumn("low", _lower(F.col("t"))).filter(_any(F.col("low"), words)).select("key", "low")
-    lines = rows.select("key", F.lit("line").alias("unit"), F.posexplode(F.split("low", "\n")).alias("at", "body")).filter(_any(F.col("body"), words))
-    lines = lines.select("key", "unit", (F.col("at") + 1).cast("int").alias("place"), "body")
+    # explode of one value: Catalyst does not pull the generated column into the tests, so a text is lowered once
+    rows = rows.withColumn("low", F.explode(F.array(F.lower("t")))).filter(_any(F.col("low"), *held)).select("key", _lower(F.col("t")).alias("low"))
+    unit = lambda name, place, body: F.struct(F.lit(name).alias("unit"), place.cast("int").alias("place"), body.alias("body"))
+    lines = F.filter(F.transform(F.split("low", "\n"), lambda x, i: unit("line", i + 1, x)), lambda u: _any(u["body"], *held))
+    whole = F.when(F.contains("low", F.lit("\n")), F.array(unit("text", F.lit(0), F.col("low")))).otherwise(F.array().cast("array<struct<unit:string,place:int,body:string>>"))
+    units = rows.select("key", F.explode(F.concat(lines, whole)).alias("u")).select("key", "u.unit", "u.place", "u.body")
     # a whole text of more distinct bigrams than any template allows is not one; most texts end here
-    whole = rows.filter(F.contains("low", F.lit("\n"))).select("key", F.lit("text").alias("unit"), F.lit(0).alias("place"), F.col("low").alias("body"))
-    units = lines.unionByName(whole).withColumn("words", F.split(F.trim(F.regexp_replace("body", "[^a-z0-9]+", " ")), " ")).drop("body").filter(F.size("words") > 1)
+    units = units.withColumn("words", F.split(F.trim(F.regexp_replace("body", "[^a-z0-9]+", " ")), " ")).drop("body").filter(F.size("words") > 1)
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     found = units.withColumn("grams", F.array_distinct(pairs)).withColumn("n", F.size("grams")).filter(F.col("n") <= most)
     fit = F.filter(known, lambda t: (t["n"] <= F.col("n") * ratio + 1e-9) & (F.col("n") <= t["n"] * ratio + 1e-9))
