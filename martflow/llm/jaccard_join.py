@@ -12,15 +12,17 @@ SLACK least of either. So hardly any signature covers next to nothing, and no li
 
 Signatures travel packed: a map task sends each range of hashes one sorted array, not a row for each signature. A range's
 task finds hashes that several classes share, and returns their classes as buckets, each distinct bucket once.
-  1. Every class is compared with the least class of all its buckets (one pair a class).
-  2. Components of these links close most buckets; in those that still hold several components, the pairs between
-     components are compared. A pair within one component needs no comparison: it cannot change the result.
+  1. Every class is compared with the most central class that leads one of its buckets (one pair a class).
+  2. Components of these links close most buckets: a pair within one component needs no comparison, it cannot change the
+     result. Among the classes of buckets that still hold several components, pairs that share an element of their
+     prefixes, rare elements first, and have different components are compared.
 Compared sets are exact; a pair links when 100 * intersection >= percent * union.
 
 Defined results: a null or empty text, or one of white space only, has an empty set, links with nothing and is its own
 component. A text with fewer words than n has its whole word sequence as its only element. Repeated rows form a class
 like any copies. A null doc_id is never a component id unless its whole component has none. Texts are worked on whole.
 Fingerprints and element hashes are 64-bit: at 10 million classes the chance of any two falling together is about 3e-6.
+Sets that are compared hold the upper 48 bits: the chance that a pair of 1,000 elements each is off by one is about 1e-8.
 """
 
 from __future__ import annotations
@@ -35,7 +37,13 @@ from martflow.llm.shared import BASE, Words, annotate, mix64, release, table, te
 
 N2 = 3
 #: Packed signatures (16 bytes each) that a map task gathers before it sends them.
-GATHERED = 1 << 21
+GATHERED = 1 << 19
+#: Bits (1 MB) of the bitmap that spares texts which no bucket names their way to a join.
+FILTER_BITS = 1 << 23
+#: Counters of the sketch that orders elements from rare to common.
+COUNTERS = 1 << 19
+#: The upper 48 bits of an element's hash, as sets travel.
+SIX = np.dtype([("low", "<u4"), ("high", "<u2")])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 
@@ -189,7 +197,7 @@ def _packed(docs: DataFrame, text: str, n: int, percent: int, ranges: int) -> Da
 
 
 def _buckets(packed: DataFrame, ranges: int) -> DataFrame:
-    """(bucket, class, pivot): the classes that share a signature, each distinct bucket of a task once; pivot is its least."""
+    """(bucket, class): the classes that share a signature, each distinct bucket of a task once."""
 
     def run(batches):
         sigs, fps = [], []
@@ -223,29 +231,122 @@ def _buckets(packed: DataFrame, ranges: int) -> DataFrame:
         keep[first] = True
         keep &= n > 1
         member = np.repeat(keep, n)
-        bucket, pivot = np.repeat(name, n)[member].astype(np.int64), np.repeat(f[begin], n)[member]
+        bucket = np.repeat(name, n)[member].astype(np.int64)
         f = f[member]
         for i in range(0, len(f), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (bucket, f, pivot)], names=["bucket", "class", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (bucket, f)], names=["bucket", "class"])
 
-    return packed.repartitionById(ranges, "range").mapInArrow(run, "bucket long, class long, pivot long")
+    return packed.repartitionById(ranges, "range").mapInArrow(run, "bucket long, class long")
+
+
+def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id may be one of wanted's, so that few other texts travel to the join that decides.
+
+    A bitmap of FILTER_BITS bits tells; where ids are too many for it to leave anything out, all rows pass.
+    """
+    spark = rows.sparkSession
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("slot")
+    if wanted.count() > FILTER_BITS // 2:
+        return rows
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    parts = wanted.select(slot).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator()
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        whole |= np.frombuffer(r.bits, np.uint8)
+    shipped = spark.sparkContext.broadcast(whole)
+
+    def passing(batches):
+        for b in batches:
+            at = b.column("slot").to_numpy()
+            yield b.select(["id", "text"]).filter(pa.array((shipped.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return rows.filter("id is not null").select("id", "text", slot).mapInArrow(passing, rows.schema)
+
+
+def _nearest(buckets: DataFrame) -> DataFrame:
+    """(a, b): each class a with the most central other class b that leads one of its buckets.
+
+    Centrality is the number of fellows over all buckets, so the text that a group of near copies was made from leads.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    central = buckets.join(sizes, "bucket").groupBy("class").agg(F.sum("n").alias("rank"))
+    ranked = written(buckets.join(central, "class").select("bucket", "class", "rank"), "ranked")
+    lead = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "class")).alias("lead"))
+    own = ranked.join(lead, "bucket").filter(F.col("lead.class") != F.col("class"))
+    return own.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.class").alias("b"))
+
+
+def _crossing(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes in left (class, root, elements) that may link and have different roots.
+
+    Two sets that link share an element within their first size - ceil(percent * size / 100) + 1 in any one order of all
+    elements. An element counts only where enough of both sets comes after it. The order is from rare to common by a sketch of COUNTERS counters, so that what near copies that do not link
+    have in common comes last. The sketch's size is fixed; however full it is, the order stays one order.
+    """
+    spark = left.sparkSession
+
+    def elements(blob) -> np.ndarray:
+        six = np.frombuffer(blob.as_buffer(), SIX)
+        return six["low"] + (six["high"].astype(np.uint64) << np.uint64(32))
+
+    def count(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for blob in b.column("elements"):
+                np.add.at(n, (elements(blob) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+
+    whole = np.zeros(COUNTERS, np.int64)
+    for r in left.select("elements").coalesce(8).mapInArrow(count, "n binary").toLocalIterator():
+        whole += np.frombuffer(r.n, np.int64)
+    shipped = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype(np.int32))
+
+    def first(batches):
+        for b in batches:
+            found, at, sizes, places = [], [], [], []
+            for i, blob in enumerate(b.column("elements")):
+                e = elements(blob)
+                n = len(e) - -(-percent * len(e) // 100) + 1
+                seen = shipped.value[(e % np.uint64(COUNTERS)).astype(np.int64)]
+                found.append(e[np.lexsort((e, seen))[:n]])
+                at.append(np.full(n, i))
+                sizes.append(np.full(n, len(e)))
+                places.append(np.arange(n))
+            if found:
+                at = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([b.column("class").take(at), b.column("root").take(at), pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], names=["class", "root", "element", "n", "at"])
+
+    rows = written(left.select("class", "root", "elements").mapInArrow(first, "class long, root long, element long, n long, at long"), "prefixes")
+    shared = rows.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("element")
+    rows = written(rows.join(shared, "element", "left_semi"), "prefixes")
+    x = rows.select("element", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = rows.select("element", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    # at the first element that two sets share, what follows in either must still hold the whole overlap that a link needs
+    near = (100 + percent) * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= percent * (F.col("nx") + F.col("ny"))
+    return x.join(y, "element").filter((F.col("rx") < F.col("ry")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link.
 
-    The side that may repeat (b, the pivot) is joined first, while rows are two integers.
+    The side that may repeat (b, a leader) is joined first, while rows are two integers.
     """
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                p, q = (np.frombuffer(v.as_buffer(), SIX) for v in (x, y))
                 small, large = sorted((len(p), len(q)))
                 ok = 100 * small >= percent * large
                 if ok:
-                    z = np.sort(np.concatenate([p, q]))
+                    z = np.sort(np.concatenate([p["low"] + (p["high"].astype(np.uint64) << np.uint64(32)), q["low"] + (q["high"].astype(np.uint64) << np.uint64(32))]))
                     common = int((z[1:] == z[:-1]).sum())
                     ok = 100 * common >= percent * (len(p) + len(q) - common)
                 keep.append(ok)
@@ -265,34 +366,33 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sized = written(_classes(rows, "text", n).drop("text"), "classes")
-    buckets = written(_buckets(_packed(rows, "text", n, percent, ranges), ranges).groupBy("bucket", "class").agg(F.min("pivot").alias("pivot")), "buckets")
+    buckets = written(_buckets(_packed(rows, "text", n, percent, ranges), ranges).distinct(), "buckets")
     release(spark)
     heads = sized.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("head"))
-    involved = buckets.select("class").distinct()
-    wanted = involved.join(heads, "class").select("class", F.col("head").alias("id"))
+    wanted = written(buckets.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("id")), "wanted")
 
     def elements(col: pa.Array):
         out = []
         for i, j, raw, off in text_blocks(col):
             g, row = shingles(raw, off, n)
             cut = np.searchsorted(row, np.arange(j - i + 1))
-            out += [g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            six = (g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            out += [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
         return [pa.array(out, pa.binary())]
 
-    texts = rows.join(wanted, "id").select("class", "text")
+    texts = _perhaps(rows, wanted).join(wanted, "id").dropDuplicates(["id", "class", "text"]).select("class", "text")
     # a repeated id may hold other texts too: only the one of this class counts
     own = _classes(texts.withColumnRenamed("class", "head_class"), "text", n).filter("class = head_class").drop("head_class", "n_shingles")
-    sets = written(annotate(own, "text", [("elements", "binary")], elements).select("class", "elements").dropDuplicates(["class"]), "sets")
+    sets = written(annotate(own, "text", [("elements", "binary")], elements).select("class", "elements"), "sets")
     release(spark)
-    nearest = written(buckets.filter("class <> pivot").groupBy(F.col("class").alias("a")).agg(F.min("pivot").alias("b")), "pairs")
+    nearest = written(_nearest(buckets), "pairs")
     links = written(_linked(nearest, sets, percent), "links")
     release(spark)
     roots = components(links)
     placed = written(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root")), "placed")
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    left = placed.join(several, "bucket", "left_semi")
-    x, y = left.select("bucket", F.col("class").alias("x"), F.col("root").alias("rx")), left.select("bucket", F.col("class").alias("y"), F.col("root").alias("ry"))
-    crossing = x.join(y, "bucket").filter("rx < ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    left = placed.join(several, "bucket", "left_semi").select("class", "root").distinct()
+    crossing = _crossing(written(left.join(sets, "class"), "left"), percent)
     more = written(_linked(written(crossing.join(nearest, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
     release(spark)
     if not more.isEmpty():

@@ -37,7 +37,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_blocks(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(col: pa.Array, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, row offsets) of runs of rows with at most `most` bytes, or of one longer row.
 
     A null counts as an empty text. The bytes are those of Arrow's own buffer: no text is decoded.
