@@ -510,14 +510,17 @@ def split_rows(spark, d):
 # ---- reports
 
 _NET = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
-NET = C("l_extendedprice").cast("decimal(18,2)") * (1 - C("l_discount").cast("decimal(4,2)"))
+
+
+def _net():
+    return C("l_extendedprice").cast("decimal(18,2)") * (1 - C("l_discount").cast("decimal(4,2)"))
 
 
 @query(f"SELECT p_brand, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, o_orderstatus, CAST(sum({_NET}) AS DOUBLE) AS revenue, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderdate >= DATE '1997-01-01' GROUP BY ALL")
 def aum_by_family_month(spark, d):
     o = tab(spark, d, "orders").filter("o_orderdate >= date'1997-01-01'")
     j = tab(spark, d, "lineitem").join(o, C("l_orderkey") == C("o_orderkey"))
-    return reports.totals_by(j, tab(spark, d, "part"), C("l_partkey") == C("p_partkey"), [C("p_brand"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), C("o_orderstatus")], {"revenue": NET, "units": C("l_quantity")})
+    return reports.totals_by(j, tab(spark, d, "part"), C("l_partkey") == C("p_partkey"), [C("p_brand"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), C("o_orderstatus")], {"revenue": _net(), "units": C("l_quantity")})
 
 
 _PLAN = "SELECT c_mktsegment, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS actual, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS plan, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS forecast FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"
@@ -576,7 +579,7 @@ def monthly_customer_spend(spark, d):
 
 @query(f"SELECT y, CAST(coalesce(revenue, 0) AS DOUBLE) AS revenue, CAST(coalesce(expense, 0) AS DOUBLE) AS expense, CAST(coalesce(revenue, 0) - coalesce(expense, 0) AS DOUBLE) AS profit FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, sum({_NET}) AS revenue, sum(CAST(l_quantity AS DECIMAL(18,2))) AS expense FROM lineitem GROUP BY 1)")
 def profit_summary(spark, d):
-    by = tab(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y")).agg(F.sum(NET).alias("r"), F.sum(C("l_quantity").cast("decimal(18,2)")).alias("e"))
+    by = tab(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y")).agg(F.sum(_net()).alias("r"), F.sum(C("l_quantity").cast("decimal(18,2)")).alias("e"))
     return by.select("y", C("r").cast("double").alias("revenue"), C("e").cast("double").alias("expense"), (C("r") - C("e")).cast("double").alias("profit"))
 
 
@@ -587,7 +590,7 @@ def fee_revenue(spark, d):
 
 @query(f"SELECT l_returnflag, CAST(sum({_NET}) AS DOUBLE) AS revenue, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS base, round(CAST(sum({_NET}) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS effective_rate FROM lineitem GROUP BY 1")
 def effective_fee_rate(spark, d):
-    return reports.effective_rate(tab(spark, d, "lineitem"), ["l_returnflag"], NET, C("l_extendedprice"))
+    return reports.effective_rate(tab(spark, d, "lineitem"), ["l_returnflag"], _net(), C("l_extendedprice"))
 
 
 @query("SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM orders GROUP BY 1")
@@ -766,7 +769,10 @@ def _log(spark, d):
 
 
 _LOG = "log AS (SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS job_id, ts AS run_start_ts, ts + to_seconds(CAST(event_id % 900 AS INTEGER)) AS run_end_ts, 't' || (user_id % 12) AS target_table, event_id % 1000 AS records_read, CASE WHEN event_id % 6 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM events)"
-NOW = F.lit("2024-01-31").cast("timestamp_ntz")
+
+
+def _now():
+    return F.lit("2024-01-31").cast("timestamp_ntz")
 
 
 @query(f"WITH {_LOG} SELECT run_id, job_id, status, date_diff('second', run_start_ts, run_end_ts) AS duration_seconds FROM log")
@@ -777,17 +783,17 @@ def job_history(spark, d):
 @query(f"""WITH {_LOG} SELECT job_id, count(*) AS total_runs, count(*) FILTER (status = 'SUCCESS') AS successful_runs, count(*) FILTER (status = 'FAILED') AS failed_runs, round(avg(date_diff('second', run_start_ts, run_end_ts)), 1) AS avg_duration_seconds, CAST(sum(records_read) AS BIGINT) AS total_records,
 max(run_start_ts) AS last_run_ts, round(100.0::DOUBLE * count(*) FILTER (status = 'SUCCESS') / count(*), 1) AS success_rate FROM log WHERE run_start_ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY GROUP BY 1""")
 def job_summary(spark, d):
-    return audit.summary(_log(spark, d), NOW, 14)
+    return audit.summary(_log(spark, d), _now(), 14)
 
 
 @query(f"WITH {_LOG} SELECT DISTINCT target_table FROM log WHERE status = 'SUCCESS' AND run_start_ts >= TIMESTAMP '2024-01-31' - INTERVAL 2 DAY")
 def active_tables(spark, d):
-    return audit.active_tables(_log(spark, d), NOW, 2)
+    return audit.active_tables(_log(spark, d), _now(), 2)
 
 
 @query(f"WITH {_LOG} SELECT run_id FROM log WHERE run_start_ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")
 def purge_old_audit(spark, d):
-    return audit.purge(_log(spark, d), "run_start_ts", NOW, 10)[0].select("run_id")
+    return audit.purge(_log(spark, d), "run_start_ts", _now(), 10)[0].select("run_id")
 
 
 @query("SELECT n_name AS table_name, CAST(n_nationkey AS INTEGER) AS unsorted, CAST(n_nationkey % 13 AS INTEGER) AS stats_off, CASE WHEN n_nationkey > 20 THEN 'NEEDS VACUUM' WHEN n_nationkey % 13 > 10 THEN 'NEEDS ANALYZE' ELSE 'OK' END AS health_status FROM nation")

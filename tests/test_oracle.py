@@ -39,3 +39,13 @@ def test_contract(spark):
     assert set(plans.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
