@@ -6,7 +6,7 @@ leading part of the coordinates estimates the whole distance. Lists are the cell
 about SAMPLE vectors (a documented bound); every vector is assigned to a list and every query scans the PROBED share of
 lists nearest to it. A scan goes by blocks of BLOCK coordinates: after d of D of them a candidate is abandoned if
 partial * D / d > bound * (1 + EPSILON / sqrt(d))^2, a test of the hypothesis that its distance is within the bound, which
-is the query's K-th distance in the sample. What survives all blocks is scored exactly, in double precision, on the
+is the query's 2 * K-th distance within the sample. What survives all blocks is scored exactly, in double precision, on the
 original vectors.
 
 Vectors without any structure (equally spread over a sphere) need over half of the lists for a recall of 0.9; PROBED is
@@ -52,6 +52,7 @@ class Index:
         self.rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
         self.ids, self.sample = ids, self.stored(sample)
         self.centres = self._fit(lists, rng)
+        self.cells = self.distances(self.sample, self.centres).argmin(1)
 
     def stored(self, x: np.ndarray) -> np.ndarray:
         extra = np.sqrt(np.maximum(self.largest - (x * x).sum(1), 0))
@@ -74,11 +75,24 @@ class Index:
             c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         return c
 
-    def bounds(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-        """The k-th least distance of each query within the sample, without its own id."""
+    def probes(self, q: np.ndarray, held: np.ndarray, share: float, k: int) -> np.ndarray:
+        """[queries, lists]: the share of lists nearest to each query, and as many more as it takes to hold 2 * k vectors."""
+        order = np.argsort(self.distances(q, self.centres), axis=1)
+        before = np.cumsum(held[order], axis=1) - held[order]
+        first = np.arange(order.shape[1]) < max(1, ceil(share * order.shape[1]))
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, first | (before < 2 * k), axis=1)
+        return out
+
+    def bounds(self, q: np.ndarray, ids: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """The 2 * k-th least distance of each query to the sample within its lists, without its own id; inf if there are fewer.
+
+        A scan within this bound meets 2 * k vectors of the sample at least, so that the odd one it abandons wrongly
+        leaves no query short of k.
+        """
         d = self.distances(q, self.sample)
-        d[ids[:, None] == self.ids[None, :]] = np.inf
-        return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
+        d[(ids[:, None] == self.ids[None, :]) | ~probed[:, self.cells]] = np.inf
+        return np.partition(d, 2 * k - 1, axis=1)[:, 2 * k - 1] if d.shape[1] >= 2 * k else np.full(len(q), np.inf)
 
 
 def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -138,20 +152,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 near = shipped.value.distances(shipped.value.stored(_matrix(b.column("v"))), shipped.value.centres).argmin(1)
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32())], names=["id", "v", "cell"])
 
+    stored = written(rows.mapInArrow(assign, "id long, v array<double>, cell int"), "lists")
+    cells = range(len(index.centres))
+    held = {r.cell: r.n for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    lengths = np.array([held.get(c, 0) for c in cells])
+
     def probe(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b, ix = whole.slice(i, 512), shipped.value
+            for i in range(0, whole.num_rows, 128):
+                b, ix = whole.slice(i, 128), shipped.value
                 q = ix.asked(_matrix(b.column("v")))
-                m = max(1, ceil(probed * len(ix.centres)))
-                d = ix.distances(q, ix.centres)
-                near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(m), (len(q), 1))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(ix.bounds(q, b.column("id").to_numpy(), k)), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "bound", "cells"])
+                near = ix.probes(q, lengths, probed, k)
+                bound = ix.bounds(q, b.column("id").to_numpy(), near, k)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(bound), pa.array([np.flatnonzero(x).astype(np.int32) for x in near], pa.list_(pa.int32()))], names=["id", "v", "bound", "cells"])
 
-    stored = written(rows.mapInArrow(assign, "id long, v array<double>, cell int"), "lists")
     asked = written(asking.mapInArrow(probe, "id long, v array<double>, bound double, cells array<int>"), "probes")
-    cells = range(len(index.centres))
-    held = {r.cell: r.n for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     probing = {r.cell: r.n for r in asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
     parts = F.array(*[F.lit(max(1, ceil(held.get(c, 0) / LIST_BLOCK))) for c in cells])
     turns = F.array(*[F.lit(max(1, ceil(probing.get(c, 0) / QUERY_BLOCK))) for c in cells])

@@ -68,6 +68,16 @@ def test_blocks(spark, monkeypatch):
     assert len(rows) == 20 * 25 and hit >= 0.98 * len(rows)
 
 
+def test_every_query_gets_all_it_can(spark):
+    rng = np.random.default_rng(6)
+    for n in (15, 22, 60, 300, 1500):
+        x = rng.normal(size=(n, 6))
+        x[: n // 3] = x[0]
+        df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+        rows = V.nearest(df, df.filter("vec_id % 20 = 0")).collect()
+        assert len(rows) == min(20, n - 1) * len(range(0, n, 20))
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, V.nearest(df, df.filter("vec_id % 20 = 0")).collect()))
@@ -84,4 +94,4 @@ def test_query_recall(spark):
     rows = V.op8_vector_search(spark, SF).collect()
     hit = sum((r.vec_id, r.score) in want[r.query_id] for r in rows)
     assert hit / sum(map(len, want.values())) >= 0.9
-    assert {r.query_id for r in rows} == want.keys()
+    assert {r.query_id for r in rows} == want.keys() and len(rows) == 20 * len(want)
