@@ -156,7 +156,7 @@ def fit(samples: dict[str, list[str]]) -> Filters:
     return Filters(languages, bits, full**K, np.maximum(own, 1e-9), int(np.argmax(sizes)) if sizes else 0)
 
 
-def _chunks(texts: list[str], most: int = 1 << 19):
+def _chunks(texts: list[str], most: int = 1 << 16):
     """Runs of texts of at most `most` characters, or one longer text."""
     part: list[str] = []
     size = 0
