@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -696,9 +697,10 @@ def repartition_join(spark, d):
 def bucketed_join(spark, d):
     line = tab(spark, d, "lineitem").select(C("l_orderkey").alias("k"), "l_linenumber")
     orders = tab(spark, d, "orders").select(C("o_orderkey").alias("k"), "o_totalprice")
-    joins.write_bucketed(line, "martflow_lines", ["k"], 8)
-    joins.write_bucketed(orders, "martflow_orders", ["k"], 8)
-    return joins.bucketed_join(spark, "martflow_lines", "martflow_orders", ["k"]).agg(F.count("*").alias("n"), reports.money("o_totalprice").alias("total"))
+    run = uuid.uuid4().hex[:12]  # a session without a shared catalog may find the folders of another's tables
+    joins.write_bucketed(line, f"martflow_lines_{run}", ["k"], 8)
+    joins.write_bucketed(orders, f"martflow_orders_{run}", ["k"], 8)
+    return joins.bucketed_join(spark, f"martflow_lines_{run}", f"martflow_orders_{run}", ["k"]).agg(F.count("*").alias("n"), reports.money("o_totalprice").alias("total"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")

@@ -1,6 +1,7 @@
 """Small golden cases and properties of merges, dimensions, facts, schema, quality, joins and time."""
 
 import datetime as dt
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -250,9 +251,10 @@ def test_plans(spark):
         assert "BroadcastHashJoin" not in plan(joins.broadcast_join(a, b, ["k"], most=0))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    joins.write_bucketed(a, "tb1", ["k"], 4)
-    joins.write_bucketed(b, "tb2", ["k"], 4)
-    p = plan(joins.bucketed_join(spark, "tb1", "tb2", ["k"]))
+    one, two = (f"tb_{uuid.uuid4().hex[:12]}" for _ in range(2))
+    joins.write_bucketed(a, one, ["k"], 4)
+    joins.write_bucketed(b, two, ["k"], 4)
+    p = plan(joins.bucketed_join(spark, one, two, ["k"]))
     assert "SortMergeJoin" in p and "Exchange" not in p
 
 
