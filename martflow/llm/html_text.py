@@ -22,8 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martflow.llm.shared import annotate, table
 
-_RAW = "script|style|noscript|template|textarea|select|option|button|svg|math|iframe|object|head|title|canvas|audio|video"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z", re.S | re.I)
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments; elements without text of the page (the first kind runs to the end of the page if it is not closed); tags; other markup.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(script|style|template|textarea|iframe)\b{_REST}>(?:.*?</\1\s*>|.*\Z)"
+    rf"|<(noscript|select|button|svg|math|object|head|title|canvas|audio|video)\b{_REST}>.*?</\2\s*>"
+    rf"|<(/?)([a-zA-Z][\w:-]*)({_REST})>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z",
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Elements that end the text block before them and begin another.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -95,11 +102,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if in_link:
                 linked += len(text.split())
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             continue
         name = name.lower()
-        if m[2]:  # an end tag
+        if m[3]:  # an end tag
             if name == "a":
                 in_link = False
             if name in BLOCK:
@@ -123,9 +130,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if stack and stack[-1][0] == "p" or stack and name == stack[-1][0] in ("li", "dt", "dd", "td", "th", "tr", "option"):
                 stack.pop()
             heading = name in HEADINGS
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or m[5].endswith("/"):
             continue
-        furniture, article, header = kind(name, m[4])
+        furniture, article, header = kind(name, m[5])
         if block or furniture:
             if not block and furniture and parts:
                 end_block()

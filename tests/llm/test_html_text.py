@@ -21,6 +21,9 @@ def test_cases():
         f"<article><p>{p}</p><p>{p} cut <a hre": f"{p}\n{p} cut",
         f"<article><p>{p}</p><p>last</p></article>": f"{p}\nlast",
         f"<article><h1>x</h1><p>{p} <b>bold <p>{p}</b></article>": f"x\n{p} bold\n{p}",
+        f"<head><title>T</title><article><p>{p}</p><p>{p}": f"{p}\n{p}",
+        f"<article><p>{p}</p><select><option>A<option>B</select><button>Go</button><p>{p}</p></article><noscript>{p}</noscript>": f"{p}\n{p}",
+        f"<article><p>{p}</p><script>never closed <p>{p}</p>": p,
         f"<ARTICLE><P>{p}</P></ARTICLE><FOOTER>{p}</FOOTER>": p,
     }
     for page, want in cases.items():
