@@ -88,3 +88,19 @@ def dashboard(results: DataFrame, checked: str, now: Column, days: int = 7) -> D
     recent = results.filter(F.col(checked) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
     by = recent.groupBy("table_name", "check_type").agg(F.count("*").alias("total_checks"), F.count_if(F.col("passed")).alias("passed_checks"))
     return by.withColumn("failed_checks", F.col("total_checks") - F.col("passed_checks")).withColumn("pass_rate", ratio(F.col("passed_checks"), F.col("total_checks"), 100, 1))
+
+
+def within_errors(bad: DataFrame, total: DataFrame, table: str, most: float) -> DataFrame:
+    """Whether quarantined rows are at most `most` percent of all."""
+    one = bad.agg(F.count("*").alias("b")).crossJoin(total.agg(F.count("*").alias("n")))
+    pct = F.coalesce(ratio(F.col("b"), F.col("n"), 100, 4), F.lit(0.0))
+    return _row(one, "error_threshold", table, "*", "ERRORS", f"<= {most}", F.col("b"), pct <= most)
+
+
+def trailer(df: DataFrame, table: str, rows: int, amount: str | None = None, total: float | None = None) -> DataFrame:
+    """A file's trailer against its rows: their number and, if given, the sum of a column."""
+    one = df.agg(F.count("*").alias("n"), *([F.sum(F.col(amount).cast("decimal(38,2)")).cast("double").alias("s")] if amount else []))
+    out = _row(one, "trailer_rows", table, "*", "TRAILER", str(rows), F.col("n"), F.col("n") == rows)
+    if amount:
+        out = out.unionByName(_row(one, f"trailer_{amount}", table, amount, "TRAILER", str(total), F.col("s"), F.coalesce(F.abs(F.col("s") - total) < 0.005, F.lit(False))))
+    return out

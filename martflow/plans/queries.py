@@ -477,6 +477,41 @@ def quarantine_split(spark, d):
     return schema.quarantine(_mixed(spark, d), {"v": "double"})[1]
 
 
+@query("SELECT 'error_threshold' AS check_name, 'events' AS table_name, '*' AS column_name, 'ERRORS' AS check_type, '<= 40.0' AS expected, CAST(count(*) FILTER (event_id % 3 = 2) AS VARCHAR) AS actual, 100.0 * count(*) FILTER (event_id % 3 = 2) / count(*) <= 40 AS passed FROM events")
+def error_threshold(spark, d):
+    x = _mixed(spark, d)
+    return quality.within_errors(schema.quarantine(x, {"v": "double"})[1], x, "events", 40.0)
+
+
+@query("SELECT CASE i WHEN 0 THEN 'trailer_rows' ELSE 'trailer_o_totalprice' END AS check_name, 'orders' AS table_name, CASE i WHEN 0 THEN '*' ELSE 'o_totalprice' END AS column_name, 'TRAILER' AS check_type, CASE i WHEN 0 THEN '1' ELSE '2.5' END AS expected, CASE i WHEN 0 THEN CAST(n AS VARCHAR) ELSE '2.5' END AS actual, i = 1 OR n = 1 AS passed FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey < 3), range(2) g(i)")
+def trailer_check(spark, d):
+    """A trailer with a wrong row count and a right sum."""
+    o = tab(spark, d, "orders").filter("o_orderkey < 3").withColumn("o_totalprice", F.when(C("o_orderkey") == 0, 2.5).otherwise(0.0))
+    return quality.trailer(o, "orders", 1, "o_totalprice", 2.5)
+
+
+@query("SELECT c_custkey, o_orderkey, c_custkey IS NULL AS no_customer FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 3 = 0) o ON c_custkey = o_custkey")
+def full_outer_join(spark, d):
+    c, o = tab(spark, d, "customer").filter("c_custkey % 2 = 0"), tab(spark, d, "orders").filter("o_custkey % 3 = 0")
+    return c.join(o, C("c_custkey") == C("o_custkey"), "full").select("c_custkey", "o_orderkey", C("c_custkey").isNull().alias("no_customer"))
+
+
+@query("SELECT a.n_name AS name, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def self_join(spark, d):
+    n = tab(spark, d, "nation")
+    return n.alias("a").join(n.alias("b"), (C("a.n_regionkey") == C("b.n_regionkey")) & (C("a.n_nationkey") < C("b.n_nationkey"))).select(C("a.n_name").alias("name"), C("b.n_name").alias("neighbour"))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_join(spark, d):
+    return tab(spark, d, "orders").join(tab(spark, d, "customer").filter("c_mktsegment = 'BUILDING'"), C("o_custkey") == C("c_custkey"), "left_semi").select("o_custkey").distinct()
+
+
+@query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark, d):
+    return tab(spark, d, "customer").select(C("c_nationkey").alias("nation")).union(tab(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
 @query(f"WITH {_MIXED} SELECT event_id, CAST(v AS DOUBLE) AS v FROM x WHERE m <> 2")
 def quarantine_good(spark, d):
     return schema.quarantine(_mixed(spark, d), {"v": "double"})[0]

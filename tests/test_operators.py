@@ -206,6 +206,15 @@ def test_checks_on_empty_tables(spark):
         quality.require(quality.row_count(e, "x", 1, 2))
 
 
+def test_thresholds_and_trailers(spark):
+    df = spark.createDataFrame([("1", 2.5), ("x", 1.0), (None, None)], "a string, v double")
+    good, bad = schema.quarantine(df, {"a": "int"})
+    assert good.count() == 2 and rows(bad.select("a", "reason")) == [("x", "a")]
+    assert not quality.within_errors(bad, df, "t", 10).first().passed and quality.within_errors(bad, df, "t", 34).first().passed
+    assert [r.passed for r in quality.trailer(df, "t", 3, "v", 3.5).collect()] == [True, True]
+    assert [r.passed for r in quality.trailer(df, "t", 4, "v", 3.0).collect()] == [False, False]
+
+
 def test_recon_with_nulls(spark):
     a = spark.createDataFrame([(1, None), (2, 1.0), (3, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, None), (2, 2.0), (4, 1.0)], "k int, v double")

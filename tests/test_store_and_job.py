@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from martflow import config
 from martflow.operators import quality
 from martflow.plans import job as J
-from martflow.sources.store import Conflict, SnapshotTable, write_csv_single
+from martflow.sources.store import Conflict, SnapshotTable, refresh, write_csv_single
 
 JOBS = json.dumps([
     {"job_id": "J1", "source_file_name": "Funds.csv", "target_table": "funds", "upsert_keys": ["fund_code", "report_date"], "glue_job": "data_model"},
@@ -35,6 +35,7 @@ def test_snapshots(spark, tmp_path):
     assert t.vacuum(keep=1) == [2, 3] and t.read(tag="audit").count() == 2
     with pytest.raises(LookupError):
         t.read(version=2)
+    assert refresh(t, one.limit(1)) == 5 and t.read().count() == 1
 
 
 def test_a_failed_write_leaves_the_table(spark, tmp_path):
