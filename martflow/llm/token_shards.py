@@ -11,8 +11,7 @@ to send packed records to their shards' tasks. Ids are never stored but in the s
 slot of its range came once, writes under a name of its own and renames, so tasks that run again leave the same files.
 The input should be a plain scan, as of written(): both readings must see the same partitions, and the check fails otherwise.
 
-Tokens: pieces between spaces and line breaks, looked up in a bounded dictionary and encoded by tiktoken with a public
-vocabulary file (a parameter) where new; the end mark and padding is PAD.
+Tokens are those of a public vocabulary file (a parameter), encoded by tiktoken; the end mark and padding is PAD.
 
 Defined results: a null text counts as an empty one, and has one sequence with the end mark alone. A text of any length
 is taken whole. Repeated rows have sequences, and slots, of their own. A null key is written as null. An empty table
@@ -35,35 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.feistel import Feistel
+from martflow.llm.shared import held as kept
 from martflow.llm.shared import new_path, release, table, written
 
 LENGTH = 512
 PER_SHARD = 1 << 14
 PAD = 50_256
 KEY = 20240229
-CACHE = 400_000
 #: Records that a map task gathers before it sends them.
 GATHERED = 1 << 14
 
 
-class Pieces(dict):
-    """Token ids (little-endian unsigned 16-bit) of pieces without white space at their ends, kept up to CACHE of them.
-
-    A piece that is empty or has white space at an end gives None: the text then is not cut there.
-    """
-
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
-
-    def __missing__(self, piece: str):
-        if len(self) >= CACHE:
-            self.clear()
-        whole = piece and not piece[0].isspace() and not piece[-1].isspace()
-        out = self[piece] = np.array(self.encode(self.prefix + piece), "<u2").tobytes() if whole else None
-        return out
-
-
 class Tokens:
     """A byte-level vocabulary of tiktoken's file form, with ids below 2 ** 16."""
 
@@ -72,33 +53,14 @@ class Tokens:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.later = Pieces(self.encode, ""), Pieces(self.encode, " ")
-        self.newline = np.array(self.encode("\n"), "<u2").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """A pre-token never reaches over a space or line break between two other characters, so pieces stand alone."""
-        out: list[bytes] = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(self.newline)
-            out.append(self.first[head])
-            out.extend(map(self.later.__getitem__, rest))
-        try:
-            return b"".join(out[1:])
-        except TypeError:
-            return np.array(self.encode(text), "<u2").tobytes()
-
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-_BUILT: dict[int, Tokens] = {}
+    def ids(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(text)
 
 
 def _tokens(content: bytes) -> Tokens:
-    key = zlib.crc32(content)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Tokens(content)
-    return _BUILT[key]
+    return kept(f"{__name__} {zlib.crc32(content)}", lambda: Tokens(content))
 
 
 def _record(length: int) -> np.dtype:
@@ -143,7 +105,7 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
         n = 0
         for b in batches:
             t = _tokens(shipped.value)
-            n += sum((len(t.ids(x)) // 2 + length) // length for x in _texts(b.column("text")))
+            n += sum((len(t.ids(x)) + length) // length for x in _texts(b.column("text")))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = dict(map(tuple, rows.mapInArrow(count, "part int, n long").collect()))
@@ -172,11 +134,11 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
         for b in batches:
             t = _tokens(shipped.value)
             for k, x in zip(b.column("key").to_pylist(), _texts(b.column("text"))):
-                ids = np.frombuffer(t.ids(x), "<u2")
+                ids = t.ids(x)
                 many = (len(ids) + length) // length
                 r = np.zeros(many, record)
                 body = np.full(many * length, PAD, "<u2")
-                body[: len(ids)] = ids
+                body[: len(ids)] = np.array(ids, "<u2")
                 r["ids"] = body.reshape(many, length)
                 r["piece"] = np.arange(many)
                 r["ids_held"] = np.minimum(length, len(ids) + 1 - r["piece"] * length)
