@@ -6,8 +6,8 @@ whose symbols have changed since it was pushed is stale and skipped. Decoding co
 reads the bytes as UTF-8. The tables come from a public tokenizer file whose path is a parameter: the driver reads it
 (a few MB, whatever the corpus) and broadcasts it; every Python worker builds its tables once.
 
-Words repeat, so finished pre-tokens are kept in a dictionary of at most CACHE entries per worker, emptied when full.
-That bounds memory and changes no result.
+Words repeat, so finished pre-tokens are kept in dictionaries of at most twice CACHE entries per worker, which let go of
+what has not been used of late. That bounds memory and changes no result.
 
 Defined results: a null text encodes as an empty one: 0 tokens, the digest of nothing. White space, control and
 astral characters and texts of any length take the same path. Rows are independent, so repeated rows repeat.
@@ -26,9 +26,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from martflow.llm.shared import annotate, table
+from martflow.llm.shared import annotate, held, table
 
-CACHE = 400_000
+CACHE = 250_000
 #: The pre-token pattern of byte-level BPE files with use_regex (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DIGESTS = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
@@ -48,14 +48,21 @@ def byte_letters() -> list[str]:
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    """Results of make, those used of late: when CACHE are new, they become the old ones, and an old one that is used again
+    is new."""
+
+    def __init__(self, make, share: float = 1.0):
         super().__init__()
-        self.make = make
+        self.make, self.share, self.old = make, share, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) >= CACHE * self.share:
+            self.old = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -86,8 +93,8 @@ class ByteBPE:
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words = regex.compile(PATTERN)
-        self.token = _Cache(self._merged)  # a pre-token's ids
-        self.first = _Cache(self._piece)  # the ids of a run without spaces
+        self.token = _Cache(self._merged, 0.5)  # a pre-token's ids
+        self.first = _Cache(self._piece, 0.4)  # the ids of a run without spaces
         self.later = _Cache(lambda p: self._piece(" " + p))  # of one that a single space goes before
         self.doubled = re.compile(r"\s\s|^\s|\s\Z")
         self.newline = self._piece("\n")
@@ -161,16 +168,9 @@ class ByteBPE:
         return self.decode_bytes(np.asarray(ids, "<u4").tobytes()).decode("utf-8", "replace")
 
 
-_BUILT: dict[bytes, ByteBPE] = {}
-
-
 def built(content: bytes) -> ByteBPE:
-    """The tables of a tokenizer file, built once in each Python process."""
-    key = hashlib.sha256(content).digest()
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = ByteBPE(content)
-    return _BUILT[key]
+    """The tables of a tokenizer file, built once in each Python process while it works on BPE."""
+    return held(f"{__name__} {hashlib.sha256(content).hexdigest()}", lambda: ByteBPE(content))
 
 
 def _shipped(spark: SparkSession, path: str | None):

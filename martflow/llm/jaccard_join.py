@@ -33,15 +33,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.components import components
-from martflow.llm.shared import BASE, Words, annotate, mix64, release, table, text_blocks, windows, written
+from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, table, text_blocks, windows
 
 N2 = 3
-#: Packed signatures (16 bytes each) that a map task gathers before it sends them.
+#: Packed signatures (11 bytes each) that a map task gathers before it sends them.
 GATHERED = 1 << 19
 #: Bits (1 MB) of the bitmap that spares texts which no bucket names their way to a join.
 FILTER_BITS = 1 << 23
 #: Counters of the sketch that orders elements from rare to common.
 COUNTERS = 1 << 19
+#: A signature as it travels: the lower 48 bits of its hash (its range holds upper ones) and 40 of its class.
+#: Classes with the same 40 bits are all looked up again, so that a bucket may name one too many but never one too few.
+SENT = np.dtype([("low", "<u4"), ("high", "<u2"), ("class_low", "<u4"), ("class_high", "u1")])
 #: The upper 48 bits of an element's hash, as sets travel.
 SIX = np.dtype([("low", "<u4"), ("high", "<u2")])
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -157,6 +160,7 @@ def _packed(docs: DataFrame, text: str, n: int, percent: int, ranges: int) -> Da
     """(range, packed): signatures and classes of a map task, by range of signature hashes; a class once a task."""
 
     def run(batches):
+        drop_state(__name__)
         seen: set[int] = set()
         sigs, fps, held = [], [], 0
 
@@ -167,7 +171,11 @@ def _packed(docs: DataFrame, text: str, n: int, percent: int, ranges: int) -> Da
             s, f, r = s[order], f[order], r[order]
             cut = np.flatnonzero(np.diff(r)) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]])
-            blobs = [s[a:b].tobytes() + f[a:b].tobytes() for a, b in zip(begin, end)]
+            rec = np.empty(len(s), SENT)
+            rec["low"], rec["high"] = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint16)
+            f = f.view(np.uint64)
+            rec["class_low"], rec["class_high"] = f.astype(np.uint32), (f >> np.uint64(32)).astype(np.uint8)
+            blobs = [rec[a:b].tobytes() for a, b in zip(begin, end)]
             return pa.RecordBatch.from_arrays([pa.array(r[begin], pa.int32()), pa.array(blobs, pa.binary())], names=["range", "packed"])
 
         for b in batches:
@@ -197,15 +205,16 @@ def _packed(docs: DataFrame, text: str, n: int, percent: int, ranges: int) -> Da
 
 
 def _buckets(packed: DataFrame, ranges: int) -> DataFrame:
-    """(bucket, class): the classes that share a signature, each distinct bucket of a task once."""
+    """(bucket, short): the classes (40 bits of each) that share a signature, each distinct bucket of a task once."""
 
     def run(batches):
         sigs, fps = [], []
+        drop_state(__name__)
         for b in batches:
-            for blob in b.column("packed"):
-                both = np.frombuffer(blob.as_buffer(), np.uint64)
-                sigs.append(both[: len(both) // 2])
-                fps.append(both[len(both) // 2 :].astype(np.int64))
+            for r, blob in zip(b.column("range").to_pylist(), b.column("packed")):
+                rec = np.frombuffer(blob.as_buffer(), SENT)
+                sigs.append(rec["low"] + (rec["high"].astype(np.uint64) << np.uint64(32)) + (np.uint64(r & 0xFFFF) << np.uint64(48)))
+                fps.append((rec["class_low"] + (rec["class_high"].astype(np.uint64) << np.uint64(32))).astype(np.int64))
         if not sigs:
             return
         s, f = np.concatenate(sigs), np.concatenate(fps)
@@ -234,9 +243,9 @@ def _buckets(packed: DataFrame, ranges: int) -> DataFrame:
         bucket = np.repeat(name, n)[member].astype(np.int64)
         f = f[member]
         for i in range(0, len(f), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (bucket, f)], names=["bucket", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (bucket, f)], names=["bucket", "short"])
 
-    return packed.repartitionById(ranges, "range").mapInArrow(run, "bucket long, class long")
+    return packed.repartitionById(ranges, "range").mapInArrow(run, "bucket long, short long")
 
 
 def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,21 +278,21 @@ def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.filter("id is not null").select("id", "text", slot).mapInArrow(passing, rows.schema)
 
 
-def _nearest(buckets: DataFrame) -> DataFrame:
+def _nearest(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): each class a with the most central other class b that leads one of its buckets.
 
     Centrality is the number of fellows over all buckets, so the text that a group of near copies was made from leads.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     central = buckets.join(sizes, "bucket").groupBy("class").agg(F.sum("n").alias("rank"))
-    ranked = written(buckets.join(central, "class").select("bucket", "class", "rank"), "ranked")
+    ranked = scratch.written(buckets.join(central, "class").select("bucket", "class", "rank"), "ranked")
     lead = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "class")).alias("lead"))
     own = ranked.join(lead, "bucket").filter(F.col("lead.class") != F.col("class"))
     return own.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.class").alias("b"))
 
 
-def _crossing(left: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of classes in left (class, root, elements) that may link and have different roots.
+def _crossing(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): the pairs of classes in left (class, root) that may link and have different roots.
 
     Two sets that link share an element within their first size - ceil(percent * size / 100) + 1 in any one order of all
     elements. An element counts only where enough of both sets comes after it. The order is from rare to common by a sketch of COUNTERS counters, so that what near copies that do not link
@@ -303,7 +312,7 @@ def _crossing(left: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
 
     whole = np.zeros(COUNTERS, np.int64)
-    for r in left.select("elements").coalesce(8).mapInArrow(count, "n binary").toLocalIterator():
+    for r in sets.select("elements").coalesce(8).mapInArrow(count, "n binary").toLocalIterator():
         whole += np.frombuffer(r.n, np.int64)
     shipped = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype(np.int32))
 
@@ -320,11 +329,12 @@ def _crossing(left: DataFrame, percent: int) -> DataFrame:
                 places.append(np.arange(n))
             if found:
                 at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([b.column("class").take(at), b.column("root").take(at), pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], names=["class", "root", "element", "n", "at"])
+                yield pa.RecordBatch.from_arrays([b.column("class").take(at), pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], names=["class", "element", "n", "at"])
 
-    rows = written(left.select("class", "root", "elements").mapInArrow(first, "class long, root long, element long, n long, at long"), "prefixes")
+    prefixes = sets.select("class", "elements").mapInArrow(first, "class long, element long, n long, at long")
+    rows = scratch.written(prefixes.join(left, "class"), "prefixes")
     shared = rows.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("element")
-    rows = written(rows.join(shared, "element", "left_semi"), "prefixes")
+    rows = scratch.written(rows.join(shared, "element", "left_semi"), "prefixes")
     x = rows.select("element", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     y = rows.select("element", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
     # at the first element that two sets share, what follows in either must still hold the whole overlap that a link needs
@@ -365,42 +375,47 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    scratch = Scratch(spark)
+    written = scratch.written
     sized = written(_classes(rows, "text", n).drop("text"), "classes")
-    buckets = written(_buckets(_packed(rows, "text", n, percent, ranges), ranges).distinct(), "buckets")
+    heads = written(sized.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("head")), "heads")
+    shorts = written(_buckets(_packed(rows, "text", n, percent, ranges), ranges).distinct(), "buckets")
     release(spark)
-    heads = sized.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("head"))
+    known = heads.select(F.col("class").bitwiseAND(F.lit((1 << 40) - 1)).alias("short"), "class")
+    buckets = written(shorts.join(known, "short").select("bucket", "class"), "buckets")
     wanted = written(buckets.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("id")), "wanted")
 
     def elements(col: pa.Array):
-        out = []
+        classes, out = [], []
         for i, j, raw, off in text_blocks(col):
             g, row = shingles(raw, off, n)
             cut = np.searchsorted(row, np.arange(j - i + 1))
             six = (g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             out += [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        return [pa.array(out, pa.binary())]
+            classes.append(fingerprints(g, row, j - i)[1])
+        return [np.concatenate(classes), pa.array(out, pa.binary())]
 
-    texts = _perhaps(rows, wanted).join(wanted, "id").dropDuplicates(["id", "class", "text"]).select("class", "text")
+    texts = _perhaps(rows, wanted).join(wanted, "id").dropDuplicates(["id", "class", "text"]).select(F.col("class").alias("head_class"), "text")
     # a repeated id may hold other texts too: only the one of this class counts
-    own = _classes(texts.withColumnRenamed("class", "head_class"), "text", n).filter("class = head_class").drop("head_class", "n_shingles")
-    sets = written(annotate(own, "text", [("elements", "binary")], elements).select("class", "elements"), "sets")
+    own = annotate(texts, "text", [("class", "long"), ("elements", "binary")], elements).filter("class = head_class")
+    sets = written(own.select("class", "elements"), "sets")
     release(spark)
-    nearest = written(_nearest(buckets), "pairs")
+    nearest = written(_nearest(buckets, scratch), "pairs")
     links = written(_linked(nearest, sets, percent), "links")
     release(spark)
-    roots = components(links)
+    roots = components(links, scratch=scratch)
     placed = written(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root")), "placed")
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     left = placed.join(several, "bucket", "left_semi").select("class", "root").distinct()
-    crossing = _crossing(written(left.join(sets, "class"), "left"), percent)
+    crossing = _crossing(left, sets, percent, scratch)
     more = written(_linked(written(crossing.join(nearest, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
     release(spark)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = components(links.union(more), scratch=scratch)
     least = heads.join(roots.withColumnRenamed("node", "class"), "class").select("class", "root", "head")
     smallest = least.groupBy("root").agg(F.min("head").alias("component"))
     named = heads.join(least.join(smallest, "root").select("class", "component"), "class", "left").select("class", F.coalesce("component", "head").alias("component"))
-    return sized.join(named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return scratch.result(sized.join(named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "components")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

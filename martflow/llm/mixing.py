@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martflow.llm.feistel import Feistel
-from martflow.llm.shared import BASE, mix64, table, written
+from martflow.llm.shared import BASE, drop_state, mix64, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -187,6 +187,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     placed = dealt.withColumn("inner", inner).join(starts, ["name", "bucket"]).select("key", "mark", "name", "size", (F.col("base") + F.col("inner")).alias("start"))
 
     def run(batches):
+        drop_state(__name__)
         known = list(sources.value.items())
         number = {s: i for i, (s, _) in enumerate(known)}
         plans = [x for _, x in known]
@@ -230,13 +231,14 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 
     Added columns: mix_shard and mix_place of the row's first draw. The texts shuffle once, to their rows' draws.
     """
-    plan = mix_plan(docs, key, text, source, **how).select(F.col(key).alias("k1"), F.col("mark").alias("m1"), F.col("source").alias("s1"), "draws")
-    same = W.partitionBy("k1", "m1", "s1").orderBy(F.col("draws").cast("string"))
-    plan = plan.withColumn("n1", F.row_number().over(same)).filter(F.size("draws") > 0)
+    plan = mix_plan(docs, key, text, source, **how).filter(F.size("draws") > 0)
+    # rows alike in key, text and source share one text: they join by a hash of the three, so that texts shuffle once
+    plan = plan.select(F.xxhash64(key, "mark", "source").alias("alike"), F.col(key).alias("k1"), F.col("mark").alias("m1"), F.col("source").alias("s1"), "draws")
     names = docs.columns
-    mine = docs.withColumn("m2", F.xxhash64(text))
-    mine = mine.withColumn("n2", F.row_number().over(W.partitionBy(key, "m2", source).orderBy(F.lit(0))))
-    both = mine.join(plan, F.col(key).eqNullSafe(F.col("k1")) & (F.col("m2") == F.col("m1")) & F.col(source).eqNullSafe(F.col("s1")) & (F.col("n2") == F.col("n1")))
+    mine = docs.withColumn("m2", F.xxhash64(text)).withColumn("alike", F.xxhash64(key, "m2", source))
+    mine = mine.withColumn("n2", F.row_number().over(W.partitionBy("alike").orderBy(key, "m2", source))).filter("n2 = 1")
+    same = F.col(key).eqNullSafe(F.col("k1")) & (F.col("m2") == F.col("m1")) & F.col(source).eqNullSafe(F.col("s1"))
+    both = mine.join(plan, "alike").filter(same)
     both = both.select(*names, "draws", F.explode(F.array_distinct(F.transform("draws", lambda d: d["pass"]))).alias("mix_pass"))
     both = both.withColumn("draws", F.filter("draws", lambda d: d["pass"] == F.col("mix_pass")))
     both = both.withColumns({"mix_shard": F.col("draws")[0]["shard"], "mix_place": F.col("draws")[0]["place"]})

@@ -37,6 +37,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are removed together once their reader has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = new_path(self.spark, what)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        """df as a table that stays; the others go, and with them the shuffle files of the jobs that made them."""
+        out = written(df, what)
+        for p in self.paths:
+            drop_table(self.spark, p)
+        self.paths.clear()
+        release(self.spark)
+        return out
+
+
 def text_blocks(col: pa.Array, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, row offsets) of runs of rows with at most `most` bytes, or of one longer row.
 
@@ -136,6 +158,24 @@ def windows(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix64(acc[at]), at
 
 
+_STATE: dict[str, object] = {}
+
+
+def held(owner: str, build):
+    """What build() made for owner in this process. One owner's state is kept at a time: Python workers serve every stage
+    of a session in turn, and what an earlier stage has cached must not stay in memory beside the next one's."""
+    if owner not in _STATE:
+        _STATE.clear()
+        _STATE[owner] = build()
+    return _STATE[owner]
+
+
+def drop_state(owner: str) -> None:
+    """Let go of what other owners hold; owners begin with their module's name."""
+    for k in [k for k in _STATE if not k.startswith(owner)]:
+        del _STATE[k]
+
+
 def annotate(df: DataFrame, column: str, fields: list[tuple[str, str]], make) -> DataFrame:
     """df with new columns: make(array of `column`) gives one Arrow array for each of fields, [(name, Spark type)].
 
@@ -152,6 +192,7 @@ def annotate(df: DataFrame, column: str, fields: list[tuple[str, str]], make) ->
     kept_names = [f.name for f in kept]
 
     def run(batches):
+        drop_state(make.__module__)
         for b in batches:
             out = make(b.column(column)) if b.num_rows else [pa.array([], f.type) for f in arrow]
             out = [x if isinstance(x, pa.Array) else pa.array(x) for x in out]
@@ -169,8 +210,15 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more."""
+    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more.
+
+    Python's references reach the JVM a moment after they end, so the collector is asked twice.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
