@@ -248,6 +248,29 @@ def _buckets(packed: DataFrame, ranges: int) -> DataFrame:
     return packed.repartitionById(ranges, "range").mapInArrow(run, "bucket long, short long")
 
 
+def _folded(parts: DataFrame, column: str, none: np.ndarray, fold, fan: int = 16) -> np.ndarray:
+    """The arrays in a binary column, one a task, of the kind and length of `none`, folded into one: by `fan` at each level."""
+    kind = none.dtype
+
+    def run(batches):
+        whole = None
+        for b in batches:
+            for blob in b.column(0):
+                part = np.frombuffer(blob.as_buffer(), kind)
+                whole = part.copy() if whole is None else fold(whole, part, out=whole)
+        if whole is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], names=[column])
+
+    n = parts.rdd.getNumPartitions()
+    while n > fan:
+        n = -(-n // fan)
+        parts = parts.repartition(n).mapInArrow(run, f"{column} binary")
+    whole = none.copy()
+    for r in parts.collect():
+        fold(whole, np.frombuffer(r[0], kind), out=whole)
+    return whole
+
+
 def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose id may be one of wanted's, so that few other texts travel to the join that decides.
 
@@ -264,10 +287,7 @@ def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             bits[b.column(0).to_numpy()] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    parts = wanted.select(slot).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator()
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        whole |= np.frombuffer(r.bits, np.uint8)
+    whole = _folded(wanted.select(slot).mapInArrow(run, "bits binary"), "bits", np.zeros(FILTER_BITS // 8, np.uint8), np.bitwise_or)
     shipped = spark.sparkContext.broadcast(whole)
 
     def passing(batches):
@@ -311,9 +331,7 @@ def _crossing(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
                 np.add.at(n, (elements(blob) % np.uint64(COUNTERS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
 
-    whole = np.zeros(COUNTERS, np.int64)
-    for r in sets.select("elements").coalesce(8).mapInArrow(count, "n binary").toLocalIterator():
-        whole += np.frombuffer(r.n, np.int64)
+    whole = _folded(sets.select("elements").mapInArrow(count, "n binary"), "n", np.zeros(COUNTERS, np.int64), np.add)
     shipped = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype(np.int32))
 
     def first(batches):
