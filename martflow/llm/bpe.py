@@ -93,7 +93,7 @@ class ByteBPE:
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words = regex.compile(PATTERN)
-        self.token = _Cache(self._merged, 0.5)  # a pre-token's ids
+        self.token = _Cache(self._merged, 0.9)  # a pre-token's ids
         self.first = _Cache(self._piece, 0.4)  # the ids of a run without spaces
         self.later = _Cache(lambda p: self._piece(" " + p))  # of one that a single space goes before
         self.doubled = re.compile(r"\s\s|^\s|\s\Z")
