@@ -1,6 +1,7 @@
 """Operator 5: licence scan by the Dice coefficient over word bigrams, in DataFrame functions alone.
 
-The units compared are every line of a text and, where it has several lines, the whole text. A unit is normalised (A-Z to
+The units compared are every line of a text and, where it has several lines, the whole text; then runs of words across
+line breaks and inside lines (license_runs), for texts that are wrapped or share a line with other words. A unit is normalised (A-Z to
 lower case, every run of other characters than a-z and 0-9 to one space) and its set of word bigrams is compared with
 those of the licence templates: 2 * common / (unit's + template's) >= least. Two bounds, both exact, keep this cheap:
   * size: the coefficient can only reach `least` if the sizes differ by no more than a factor of (2 - least) / least, so a
@@ -112,13 +113,66 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
     return pruned.select(F.col("key").alias(key), "unit", "place", F.col("t.license").alias("license"), dice.alias("dice")).filter(F.col("dice") >= least - 1e-9)
 
 
+def _grams(words: Column) -> Column:
+    """The bigrams of an array of words, in order."""
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def license_runs(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, unit, place, license, dice): the runs of words that match a template where no unit of license_matches does.
+
+    A run begins and ends with a bigram of the template (others at its ends only lower the coefficient) and has at most
+    (2 - least) / least times the template's bigrams. The best run of a text is taken, then the best that shares no word
+    with those taken, and so on. Words of a line that matches the same template are taken already, and those of a text
+    that matches as a whole. unit: run; place: the number of its first word in the text, from 1.
+    """
+    sets = {name: sorted(g) for name, t in templates.items() if (g := bigrams(t))}
+    ratio = (2 - least) / least
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    rows = rows.withColumn("low", F.explode(F.array(F.lower("t")))).filter(_any(F.col("low"), *anchors([set(g) for g in sets.values()], least))).select("key", _lower(F.col("t")).alias("low"))
+    lines = F.transform(F.split("low", "\n"), lambda x: F.filter(F.split(F.regexp_replace(x, "[^a-z0-9]+", " "), " "), lambda w: w != ""))
+    rows = rows.select("key", F.explode(F.array(lines)).alias("lines")).select("key", "lines", F.explode(F.array(F.flatten("lines"))).alias("words"))
+    rows = rows.filter(F.size("words") > 1).select("key", "lines", F.explode(F.array(_grams(F.col("words")))).alias("grams"))
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("n"), F.lit(ceil(len(g) / ratio - 1e-9)).alias("need"), F.lit(int(len(g) * ratio + 1e-9)).alias("most"), F.array(*map(F.lit, g)).alias("grams")) for name, g in sets.items()])
+    # a match shares `need` bigrams with the template, so the text as a whole does
+    rows = rows.select("key", "lines", "grams", F.explode(F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], "grams")) >= t["need"])).alias("t"))
+
+    def dice(grams: Column) -> Column:
+        own = F.array_distinct(grams)
+        return F.lit(2.0) * F.size(F.array_intersect(own, F.col("t.grams"))) / (F.size(own) + F.col("t.n"))
+
+    rows = rows.filter((F.size("lines") < 2) | (dice(F.col("grams")) < least - 1e-9))
+    span = "struct<first:int,last:int>"
+    walked = lambda acc, w: F.struct(
+        (acc["at"] + F.size(w)).alias("at"),
+        F.when(dice(_grams(w)) >= least - 1e-9, F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("first"), (acc["at"] + F.size(w) - 1).alias("last"))))).otherwise(acc["spans"]).alias("spans"),
+    )
+    spans = F.aggregate("lines", F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{span}>").alias("spans")), walked, lambda acc: acc["spans"])
+    rows = rows.select("key", "grams", "t", F.explode(F.array(spans)).alias("spans"))
+    free = lambda first, last: ~F.exists("spans", lambda s: (first <= s["last"]) & (last >= s["first"]))
+    hits = F.filter(F.transform("grams", lambda x, i: F.struct((i + 1).alias("at"), x.alias("gram"))), lambda h: F.array_contains(F.col("t.grams"), h["gram"]) & free(h["at"], h["at"] + 1))
+    rows = rows.withColumn("hits", F.explode(F.array(hits))).filter(F.size("hits") >= F.col("t.need"))
+    at = lambda i: F.get("hits", i - 1)["at"]
+    common = lambda i, n: F.size(F.array_distinct(F.transform(F.slice("hits", i, n), lambda h: h["gram"])))
+    starts = F.filter(F.sequence(F.lit(1), F.size("hits") - F.col("t.need") + 1), lambda a: common(a, F.col("t.most")) >= F.col("t.need"))
+    ends = lambda a: F.filter(F.sequence(a + F.col("t.need") - 1, F.least(F.size("hits"), a + F.col("t.most") - 1)), lambda b: (at(b) - at(a) < F.col("t.most")) & free(at(a), at(b) + 1))
+    of = lambda a, b: F.lit(2.0) * common(a, b - a + 1) / (F.size(F.array_distinct(F.slice("grams", at(a), at(b) - at(a) + 1))) + F.col("t.n"))
+    runs = F.transform(starts, lambda a: F.filter(F.transform(ends(a), lambda b: F.struct((-of(a, b)).alias("less"), at(a).alias("first"), (at(b) + 1).alias("last"))), lambda r: r["less"] <= 1e-9 - least))
+    rows = rows.select("key", "t.license", F.explode(F.array(F.array_sort(F.flatten(runs)))).alias("runs"))
+    apart = lambda acc, r: F.when(F.exists(acc, lambda x: (r["first"] <= x["last"]) & (r["last"] >= x["first"])), acc).otherwise(F.concat(acc, F.array(r)))
+    taken = F.aggregate("runs", F.array().cast("array<struct<less:double,first:int,last:int>>"), apart)
+    return rows.select("key", "license", F.explode(taken).alias("r")).select(F.col("key").alias(key), F.lit("run").alias("unit"), F.col("r.first").alias("place"), "license", (-F.col("r.less")).alias("dice"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_matches(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = license_matches(docs).unionByName(license_runs(docs))
     return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
-    """The same in DuckDB's SQL, without the bounds."""
+    """Lines and whole texts in DuckDB's SQL, without the bounds; runs of words are held against brute force in the tests."""
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates.items())
     normal = "string_split(trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
