@@ -414,6 +414,12 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
         return [np.concatenate(classes), pa.array(out, pa.binary())]
 
     texts = _perhaps(rows, wanted).join(wanted, "id").dropDuplicates(["id", "class", "text"]).select(F.col("class").alias("head_class"), "text")
+    # a class without any id has no head to fetch its text by: its fingerprint finds it among the rows without id
+    unnamed = wanted.filter("id is null").select(F.col("class").alias("id"))
+    if not unnamed.isEmpty():
+        others = _classes(rows.filter("id is null"), "text", n).select(F.col("class").alias("id"), "text")
+        one = _perhaps(others, unnamed).groupBy("id").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(one.join(unnamed, "id").select(F.col("id").alias("head_class"), "text"))
     # a repeated id may hold other texts too: only the one of this class counts
     own = annotate(texts, "text", [("class", "long"), ("elements", "binary")], elements).filter("class = head_class")
     sets = written(own.select("class", "elements"), "sets")

@@ -99,6 +99,17 @@ def test_components_match_brute_force(spark, seed, n, percent):
     assert got == brute(rows, n, percent)
 
 
+def test_null_ids_link(spark):
+    """Texts without ids link with near copies, with or without ids, and bridge documents that have ids."""
+    ws = [[f"{g}{i}" for i in range(60)] for g in "abcd"]
+    rows = [(1, " ".join(ws[0])), (None, " ".join([*ws[0], "z"])), (None, " ".join(ws[1])), (None, " ".join([*ws[1], "z"])), (None, " ".join(ws[1])), (None, " ".join(ws[2])), (8, "")]
+    rows += [(10, " ".join(ws[3])), (None, " ".join([*ws[3][4:], "p0", "p1", "p2", "p3"])), (12, " ".join([*ws[3][8:], "p0", "p1", "p2", "p3", "p4", "p5", "p6", "p7"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, J.jaccard_components(df, 1, 85).collect()), key=str)
+    assert got == brute(rows, 1, 85)
+    assert [r[2] for r in got if r[0] in (1, 10, 12)] == [1, 10, 10] and sum(r[0] is None and r[2] == 1 for r in got) == 1
+
+
 def test_chain_and_hub(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(1000 - i, " ".join(base[i:] + [f"x{j}" for j in range(i)])) for i in range(30)]  # a chain: only near ones link
