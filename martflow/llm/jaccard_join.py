@@ -385,15 +385,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of each row of docs: sets of n words, links from percent similarity on.
+def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, class) of each row of docs, and (class, root, head, component) of each class.
 
-    component_id is the smallest key that a row reaches by links, its own included.
+    head is the smallest id of a class, component that of all classes with its root.
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    scratch = Scratch(spark)
     written = scratch.written
     sized = written(_classes(rows, "text", n).drop("text"), "classes")
     heads = written(sized.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("head")), "heads")
@@ -436,9 +435,19 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     release(spark)
     if not more.isEmpty():
         roots = components(links.union(more), scratch=scratch)
-    least = heads.join(roots.withColumnRenamed("node", "class"), "class").select("class", "root", "head")
-    smallest = least.groupBy("root").agg(F.min("head").alias("component"))
-    named = heads.join(least.join(smallest, "root").select("class", "component"), "class", "left").select("class", F.coalesce("component", "head").alias("component"))
+    rooted = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "head")
+    smallest = rooted.groupBy("root").agg(F.min("head").alias("component"))
+    return sized, rooted.join(smallest, "root").select("class", "root", "head", "component")
+
+
+def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of each row of docs: sets of n words, links from percent similarity on.
+
+    component_id is the smallest key that a row reaches by links, its own included.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sized, named = _components(docs, n, percent, key, text, scratch)
+    named = named.select("class", "component")
     return scratch.result(sized.join(named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "components")
 
 
@@ -449,9 +458,20 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (5 words, 80 percent), the row with the smallest doc_id.
 
-    Rows of the same doc_id count as copies; rows without doc_id stay.
+    Groups are those of texts: rows of one doc_id with texts that do not link are of different groups. Of a group's rows
+    without doc_id one stays too. Rows without words are of no group: one of each doc_id stays, and all without doc_id.
     """
-    found = jaccard_components(docs, 5, 80)
-    first = found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    scratch = Scratch(spark)
+    found, named = _components(docs, 5, 80, "doc_id", "text", scratch)
+    first = named.groupBy("root").agg(F.min(F.when(F.col("head").isNotNull(), F.struct("head", "class"))).alias("f")).filter("f is not null").select("f.class", "f.head")
+    unnamed = found.filter("id is null and class is not null").select("class").distinct().join(named, "class").groupBy("root").agg(F.min("class").alias("class"))
+    keep = scratch.result(first.unionByName(unnamed.select("class", F.lit(None).cast(first.schema["head"].dataType).alias("head"))), "keep")
+    keep = keep.select(F.col("class").alias("_class"), F.col("head").alias("_head"))
+    words = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    back = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    text, key = f"_{docs.columns.index('text')}", f"_{docs.columns.index('doc_id')}"
+    sized = _classes(docs.filter(words).select(*columns), text, 5)
+    groups = sized.join(keep, (F.col("class") == F.col("_class")) & F.col(key).eqNullSafe(F.col("_head"))).dropDuplicates(["_class", key]).select(*back)
+    empty = docs.filter(~words)
+    return groups.unionByName(empty.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(empty.filter("doc_id is null"))

@@ -155,3 +155,12 @@ def test_stage(spark):
     a = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, a, None), (3, a + " z", None), (3, a + " z", None), (9, "other words", None), (None, a, None), (7, None, None)], "doc_id long, text string, lang string")
     assert sorted((r.doc_id for r in J.unique_stage(spark, df, "").collect()), key=str) == [3, 7, 9, None]
+
+
+def test_stage_keeps_one_row_a_group(spark):
+    a, b, c = (" ".join(f"{g}{i}" for i in range(50)) for g in "abc")
+    rows = [(1, a), (2, a + " z"), (2, b), (2, b), (4, b), (None, c), (None, c), (None, c + " z"), (None, "other words without id"), (9, None)]
+    got = sorted(((r.doc_id, r.text) for r in J.unique_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()), key=str)
+    assert [g for g in got if g[0] is not None] == [(1, a), (2, b), (9, None)]  # b stays, though 2 holds a near copy of a too
+    alone = [t for k, t in got if k is None]
+    assert len(alone) == 2 and "other words without id" in alone
