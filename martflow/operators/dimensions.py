@@ -1,7 +1,7 @@
 """Dimensions: projection, slowly changing types 0 to 4, surrogate keys, seeds and integrity checks.
 
 Every function takes the load date as an argument and returns a new frame. Surrogate keys come from a range partitioning
-by the order columns and a prefix sum over partition counts: no window over all rows in one task.
+by the order columns, written once, and a prefix sum over its partition counts: no window over all rows in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from martflow.sources.scratch import materialised
+
 SCD_COLUMNS = ["effective_date", "end_date", "is_current", "version"]
+#: Load times of a version's first and last writing; a dimension may do without them.
+STAMPS = ["created_date", "updated_date"]
 UNKNOWN_KEY = -1
 
 
@@ -21,27 +25,34 @@ def project(source: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return source.select(*[(F.col(s) if s in source.columns else F.lit(None).cast("string")).alias(d) for d, s in mapping.items()]).distinct()
 
 
-def stamped(df: DataFrame, as_of) -> DataFrame:
-    """df as first versions from as_of on."""
-    return df.withColumns({"effective_date": F.lit(as_of).cast("date"), "end_date": F.lit(None).cast("date"), "is_current": F.lit(True), "version": F.lit(1)})
+def stamped(df: DataFrame, as_of, loaded: Column | None = None) -> DataFrame:
+    """df as first versions from as_of on; with a load time, created_date and updated_date too."""
+    block = {"effective_date": F.lit(as_of).cast("date"), "end_date": F.lit(None).cast("date"), "is_current": F.lit(True), "version": F.lit(1)}
+    return df.withColumns(block | ({} if loaded is None else {c: loaded for c in STAMPS}))
 
 
 def numbered(df: DataFrame, key: str, order: list[str], after: DataFrame | None = None) -> DataFrame:
     """df with key: 1, 2, ... in the order of `order` (nulls first, ties by all columns), counted on from after's only value.
 
-    Rows are range-partitioned; a partition's offset is the sum of the counts before it.
+    Rows are range-partitioned, sorted and written once with their place in their partition; a partition's offset is the
+    sum of the counts before it. Counts and rows come from that one writing: range bounds are sampled, so a second
+    partitioning of the same rows might differ. The driver holds one count a partition.
     """
-    cols = [*order, *[c for c in df.columns if c not in order]]
+    cols = [F.col(c).asc_nulls_first() for c in [*order, *[c for c in df.columns if c not in order]]]
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in cols]).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*[F.col(c).asc_nulls_first() for c in cols])))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_b"))  # one row a partition
-    start = F.lit(0) if after is None else F.coalesce(F.col("_k"), F.lit(0))
-    out = ranged.join(F.broadcast(base), "_p")
+    placed = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialised(placed)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
     if after is not None:
-        out = out.crossJoin(F.broadcast(after.select(F.first(F.col(after.columns[0])).alias("_k"))))
-    return out.select((start + F.col("_b") + F.col("_i")).cast("long").alias(key), *df.columns)
+        counts = counts.unionByName(after.select(F.lit(-1).cast("long").alias("p"), F.coalesce(F.first(after.columns[0]), F.lit(0)).cast("long").alias("n")))
+    found = {r.p: r.n for r in counts.collect()}
+    starts, before = [], found.pop(-1, 0)
+    for p in range(max(found, default=-1) + 1):
+        starts.append(before)
+        before += found.get(p, 0)
+    start = F.get(F.lit(starts or [0]).cast("array<bigint>"), part.cast("int"))
+    return ranged.select((start + place + 1).alias(key), *df.columns)
 
 
 def changed(attributes: list[str], left: str = "b", right: str = "c") -> Column:
@@ -65,38 +76,49 @@ def _on(natural: list[str], a: str, b: str) -> Column:
     return reduce(Column.__and__, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in natural])
 
 
-def scd2(dim: DataFrame, batch: DataFrame, key: str, natural: list[str], tracked: list[str], as_of, order: Column | None = None) -> DataFrame:
-    """Type 2: a changed member's current row ends the day before as_of and a new version begins; new members begin at 1.
+def scd2(dim: DataFrame, batch: DataFrame, key: str, natural: list[str], tracked: list[str], as_of, order: Column | None = None, loaded: Column | None = None) -> DataFrame:
+    """Type 2: a changed member's version of the day ends the day before as_of and a new version takes its place.
 
-    * The batch is reduced to one row a natural key; attributes it lacks are carried over from the current version.
+    * The batch is reduced to one row a natural key; attributes it lacks are carried over from the version of the day.
+    * The version of the day is the last that began on as_of or before and has not ended by then; a version without a
+      start date has always been. That is the current version unless the batch is late. The new version takes over its
+      end and its flag: a late change is put into the history and later versions stay as they are.
     * A row that already began on as_of is overwritten in place.
-    * A key without a current row comes back with its largest version + 1.
+    * A key without a version of the day comes back with its largest version + 1, valid until its next version begins.
+    * New versions are numbered on from the largest of their member, new members from 1.
     * Surrogate keys go on from the largest: new versions first, then new members, each in the order of all columns.
-    Running the same batch again on the same day changes nothing.
+    * A dimension with created_date and updated_date gets the load time there: both in new rows, the second in changed ones.
+    Running the same batch again on the same day changes nothing. No row of dim is ever dropped.
     """
-    names = [c for c in dim.columns if c not in (key, *SCD_COLUMNS)]
+    names = [c for c in dim.columns if c not in (key, *SCD_COLUMNS, *STAMPS)]
+    stamps = [c for c in STAMPS if c in dim.columns]
+    loaded = F.current_timestamp() if loaded is None else loaded
+    kinds = {f.name: f.dataType for f in dim.schema.fields}
     day = F.lit(as_of).cast("date")
     b = one_per_key(batch.select(*[c for c in names if c in batch.columns]), natural, order)
-    current = dim.filter("is_current")
-    pairs = b.alias("b").join(current.alias("c"), _on(natural, "b", "c")).filter(changed([t for t in tracked if t in b.columns]))
-    merged = [F.col(f"b.{c}").alias(c) if c in b.columns else F.col(f"c.{c}").alias(c) for c in names]
-    diff = pairs.select(*merged, F.col(f"c.{key}").alias("_old"), F.col("c.version").alias("_v"), F.col("c.effective_date").alias("_from"))
-    again, fresh = diff.filter(F.col("_from") == day), diff.filter(F.col("_from") < day)
-
-    last = dim.groupBy(*natural).agg(F.max("version").alias("_v"), F.max(F.col("is_current").cast("int")).alias("_c"))
-    new = b.join(last, natural, "left").filter("_c is null or _c = 0")
-    new = new.select(*[F.col(c) if c in b.columns else F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in names], (F.coalesce("_v", F.lit(0)) + 1).alias("_v"))
-
-    touched = diff.select(F.col("_old").alias(key), F.col("_from").eqNullSafe(day).alias("_again"))
-    keep = dim.join(touched, key, "left_anti")
-    ended = dim.join(fresh.select(F.col("_old").alias(key)), key, "left_semi").withColumns({"end_date": F.date_sub(day, 1), "is_current": F.lit(False)})
-    over = dim.select(key, *SCD_COLUMNS).join(again.select(F.col("_old").alias(key), *names), key).select(*dim.columns)
-    begun = {"effective_date": day, "end_date": F.lit(None).cast("date"), "is_current": F.lit(True)}
-    todo = fresh.select(F.lit(0).alias("_group"), *names, (F.col("_v") + 1).alias("version")).unionByName(new.select(F.lit(1).alias("_group"), *names, F.col("_v").alias("version")))
-    added = numbered(todo, key, ["_group", *names], after=dim.agg(F.max(key).alias("k"))).withColumns(begun)
-    kinds = {f.name: f.dataType for f in dim.schema.fields}
-    added = added.select(*[F.col(c).cast(kinds[c]).alias(c) for c in dim.columns])
-    return keep.unionByName(ended).unionByName(over).unionByName(added)
+    began = F.col("effective_date").isNull() | (F.col("effective_date") <= day)
+    version = F.struct(F.coalesce("effective_date", F.lit("0001-01-01").cast("date")).alias("_start"), "version", key, "effective_date", "end_date", "is_current", *[c for c in names if c not in natural])
+    known = dim.join(b.select(*natural), natural, "left_semi").groupBy(*natural).agg(
+        F.max("version").alias("_last"), F.max(F.when(began, version)).alias("_v"), F.min(F.when(~began, F.col("effective_date"))).alias("_next"))
+    valid = F.col("_v").isNotNull() & (F.coalesce(F.col("_v.end_date"), F.lit("9999-12-31").cast("date")) >= day)
+    found = b.join(known, natural, "left").withColumn("_valid", valid)
+    moved = reduce(Column.__or__, [~F.col(t).eqNullSafe(F.col(f"_v.{t}")) for t in tracked if t in b.columns and t not in natural], F.lit(False))
+    merged = [F.col(c) if c in b.columns else F.when(F.col("_valid"), F.col(f"_v.{c}")).cast(kinds[c]).alias(c) for c in names]
+    found = found.filter(~F.col("_valid") | moved).select(*merged, "_valid", "_last", "_v", "_next", F.coalesce(F.col("_valid") & (F.col("_v.effective_date") == day), F.lit(False)).alias("_again"))
+
+    hit = found.filter("_valid").select(F.col(f"_v.{key}").alias(key), "_again", F.struct(*names).alias("_new"))
+    joined = dim.join(hit, key, "left")
+    ended, over = F.coalesce(~F.col("_again"), F.lit(False)), F.coalesce(F.col("_again"), F.lit(False))
+    change = {c: F.when(over, F.col(f"_new.{c}").cast(kinds[c])).otherwise(F.col(c)) for c in names if c not in natural}
+    change |= {"end_date": F.when(ended, F.date_sub(day, 1)).otherwise(F.col("end_date")), "is_current": F.when(ended, F.lit(False)).otherwise(F.col("is_current"))}
+    change |= {c: F.when(ended | over, loaded).otherwise(F.col(c)).cast(kinds[c]) for c in stamps if c == "updated_date"}
+    old = joined.select(*[change[c].alias(c) if c in change else F.col(c) for c in dim.columns])
+
+    until = F.when(F.col("_valid"), F.col("_v.end_date")).otherwise(F.date_sub("_next", 1))
+    current = F.when(F.col("_valid"), F.col("_v.is_current")).otherwise(F.col("_next").isNull())
+    todo = found.filter(~F.col("_again")).select((~F.col("_valid")).cast("int").alias("_group"), *names, (F.coalesce("_last", F.lit(0)) + 1).alias("version"), until.alias("end_date"), current.alias("is_current"))
+    added = numbered(todo, key, ["_group", *names], after=dim.agg(F.max(key).alias("k"))).withColumns({"effective_date": day, **{c: loaded for c in stamps}})
+    return old.unionByName(added.select(*[F.col(c).cast(kinds[c]).alias(c) for c in dim.columns]))
 
 
 def scd1(dim: DataFrame, batch: DataFrame, key: str, natural: list[str]) -> DataFrame:

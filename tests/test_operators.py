@@ -295,3 +295,60 @@ def test_privacy(spark):
     more = privacy.vault(df.union(spark.createDataFrame([(9, "000")], "i int, c string")), "c", v)
     assert set(rows(v)) < set(rows(more)) and more.agg(F.max("token")).first()[0] == 3
     assert sorted(rows(privacy.detokenized(privacy.tokenized(df, "c", v), "c", v)), key=str) == sorted(rows(df), key=str)
+
+
+def test_keys_are_dense_whatever_spark_reuses(spark):
+    """Keys do not rest on two readings of a sampled range partitioning."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(1_000_000, numPartitions=7).select(((F.col("id") * 7919) % 1_000_003).alias("v"), (F.col("id") % 3).alias("w")).repartition(5)
+        got = dimensions.numbered(df, "k", ["w", "v"], after=spark.range(41, 42).toDF("k"))
+        assert tuple(got.agg(F.min("k"), F.max("k"), F.count_distinct("k"), F.count("*")).first()) == (42, 1_000_041, 1_000_000, 1_000_000)
+        prev = got.filter("k in (42, 43, 500000, 500001, 1000040, 1000041)").orderBy("k").select("w", "v").collect()
+        assert prev == sorted(prev)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert dimensions.numbered(spark.range(0).toDF("v"), "k", ["v"]).count() == 0
+
+
+DIM2 = "k long, code string, v string, effective_date date, end_date date, is_current boolean, version int"
+
+
+def test_scd2_late_batches_go_into_the_history(spark):
+    d = dt.date
+    dim = spark.createDataFrame([
+        (1, "a", "x", d(2024, 1, 1), d(2024, 1, 31), False, 1), (2, "a", "y", d(2024, 2, 1), None, True, 2),
+        (3, "b", "x", None, None, True, 1), (4, "c", "x", d(2024, 3, 1), None, True, 1), (5, "d", "x", d(2024, 1, 1), d(2024, 1, 10), False, 1), (6, None, "x", d(2024, 1, 1), None, True, 1),
+    ], DIM2)
+    batch = spark.createDataFrame([("a", "late"), ("b", "late"), ("c", "early"), ("d", "back"), ("e", "new")], "code string, v string")
+    out = dimensions.scd2(dim, batch, "k", ["code"], ["v"], "2024-01-15")
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[0])
+    assert got == [
+        (1, "a", "x", d(2024, 1, 1), d(2024, 1, 14), False, 1), (2, "a", "y", d(2024, 2, 1), None, True, 2),
+        (3, "b", "x", None, d(2024, 1, 14), False, 1), (4, "c", "x", d(2024, 3, 1), None, True, 1), (5, "d", "x", d(2024, 1, 1), d(2024, 1, 10), False, 1), (6, None, "x", d(2024, 1, 1), None, True, 1),
+        (7, "a", "late", d(2024, 1, 15), d(2024, 1, 31), False, 3), (8, "b", "late", d(2024, 1, 15), None, True, 2),
+        (9, "c", "early", d(2024, 1, 15), d(2024, 2, 29), False, 2), (10, "d", "back", d(2024, 1, 15), None, True, 2), (11, "e", "new", d(2024, 1, 15), None, True, 1),
+    ]
+    once = spark.createDataFrame(out.collect(), DIM2)
+    again = dimensions.scd2(once, batch, "k", ["code"], ["v"], "2024-01-15")
+    assert sorted(map(tuple, again.collect()), key=lambda r: r[0]) == got
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 6), st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from("xyz")), max_size=3)), max_size=4))
+def test_scd2_never_loses_a_member(spark, batches):
+    """Batches in any order of days: keys stay, intervals do not overlap, no member has two current rows."""
+    dim = spark.createDataFrame([(1, "a", "x", dt.date(2024, 3, 1), None, True, 1), (2, "b", "x", None, None, True, 1)], DIM2)
+    for month, rows in batches:
+        new = spark.createDataFrame(dimensions.scd2(dim, spark.createDataFrame(rows, "code string, v string"), "k", ["code"], ["v"], f"2024-0{month}-15").collect(), DIM2)
+        assert {r.k for r in dim.collect()} <= {r.k for r in new.collect()}
+        dim = new
+    faults = dimensions.scd2_integrity(dim.filter("effective_date is not null"), ["code"])
+    assert faults.filter("fault = 'overlap'").count() == 0 and dim.filter("is_current").groupBy("code").count().filter("count > 1").count() == 0
+
+
+def test_scd2_stamps(spark):
+    t1, t2 = F.lit("2024-01-01 10:00:00").cast("timestamp"), F.lit("2024-02-01 10:00:00").cast("timestamp")
+    dim = dimensions.stamped(spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "k long, code string, v string"), "2024-01-01", t1)
+    out = dimensions.scd2(dim, spark.createDataFrame([("a", "y")], "code string, v string"), "k", ["code"], ["v"], "2024-02-01", loaded=t2)
+    assert sorted((r.k, r.created_date.month, r.updated_date.month) for r in out.collect()) == [(1, 1, 2), (2, 1, 1), (3, 2, 2)]
