@@ -11,29 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martflow.llm.shared import Scratch
+from martflow.llm.shared import Scratch, spread_join
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node in links; root is the smallest node that it reaches."""
-    written = (scratch or Scratch(links.sparkSession)).written
-    edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    written = scratch.written
+    edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
         while True:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            jumped = written(parent.join(up, "p", "left").select("u", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")), "parents")
-            parent = jumped.select("u", "p")
+            jumped = written(spread_join(parent, up, "p", "left").select("u", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")), "parents")
+            scratch.free(parent)
+            parent = jumped
             if jumped.filter("moved").isEmpty():
                 break
         first = parent.select("u", F.col("p").alias("pu"))
         second = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = written(edges.join(first, "u").join(second, "v").filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "links")
+        n = edges.count()
+        moved = spread_join(spread_join(edges, first, "u", rows=n), second, "v", rows=n).filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
+        before, edges = edges, written(moved, "edges")
+        scratch.free(before)
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             up = parent.select(F.col("u").alias("root"), F.col("p").alias("next"))
-            labels = written(labels.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            before, labels = labels, written(spread_join(labels, up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            scratch.free(before, parent)
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,7 +1,6 @@
 """Operator 4: exact Jaccard self-join of word n-gram sets by PartEnum signatures, and its connected components.
 
-A text's set holds the 64-bit hashes of its word n-grams. Sets of equal shape are one class, known by a 64-bit
-fingerprint; copies of any number cost one class. Sizes fall into bands so that two sets that link lie in the same band
+A text's set holds the 64-bit hashes of its word n-grams. Equal sets are one class, known by a 128-bit fingerprint; copies of any number cost one class. Sizes fall into bands so that two sets that link lie in the same band
 or in neighbouring ones; a set takes part in its own band and in the next. Within a band with largest size r, sets that
 link differ in at most k = floor(2 r (1 - t) / (1 + t)) elements. The element domain is cut into n1 parts of N2 pieces by
 a hash. At most k elements differ, so at least SLACK + 1 of the n1 parts have at most one piece that differs, and the
@@ -10,19 +9,23 @@ subset that leaves this piece out agrees. Every subset of N2 - 1 pieces of every
 (elements covered, hash): two sets that link share SLACK + 1 signatures, and the greatest of those cannot be among the
 SLACK least of either. So hardly any signature covers next to nothing, and no link is lost.
 
-Signatures travel packed: a map task sends each range of hashes one sorted array, not a row for each signature. A range's
-task finds hashes that several classes share, and returns their classes as buckets, each distinct bucket once.
-  1. Every class is compared with the most central class that leads one of its buckets (one pair a class).
+Signatures travel packed: a map task sends each fine range of hashes one array, not a row for each signature. Fine ranges
+hold about RANGE signatures each, however many texts there are; a task takes a run of them, sorted by Spark, and holds one
+at a time. It finds hashes that several classes share, and returns their classes as buckets, each distinct bucket once.
+  1. Every class is compared with the most central class that leads one of its buckets (one pair a class). The text of a
+     class travels once, to its leader's group; a leader with many followers is dealt to several groups.
   2. Components of these links close most buckets: a pair within one component needs no comparison, it cannot change the
      result. Among the classes of buckets that still hold several components, pairs that share an element of their
      prefixes, rare elements first, and have different components are compared.
-Compared sets are exact; a pair links when 100 * intersection >= percent * union.
+Compared sets are exact; a pair links when 100 * intersection >= percent * union. Only texts of classes in a bucket are
+fetched: a bitmap of their ids and classes, sized by their number up to MOST_BITS, spares the others their way to a join;
+what it lets through too much costs time, not correctness.
 
 Defined results: a null or empty text, or one of white space only, has an empty set, links with nothing and is its own
 component. A text with fewer words than n has its whole word sequence as its only element. Repeated rows form a class
-like any copies. A null doc_id is never a component id unless its whole component has none. Texts are worked on whole.
-Fingerprints and element hashes are 64-bit: at 10 million classes the chance of any two falling together is about 3e-6.
-Sets that are compared hold the upper 48 bits: the chance that a pair of 1,000 elements each is off by one is about 1e-8.
+like any copies. A row with a null doc_id takes part like any other; null is a component id only where the whole component
+has no other. Texts are worked on whole. Classes are known by 128 bits and elements by 64: at 5e10 texts the chance that any
+two classes fall together is below 1e-17.
 """
 
 from __future__ import annotations
@@ -31,22 +34,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from martflow.llm.components import components
-from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, table, text_blocks, windows
+from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, row_mark, spread_join, table, text_blocks, windows
 
 N2 = 3
 #: Packed signatures (11 bytes each) that a map task gathers before it sends them.
 GATHERED = 1 << 19
-#: Bits (1 MB) of the bitmap that spares texts which no bucket names their way to a join.
-FILTER_BITS = 1 << 23
+#: Signatures of a fine range; a task holds one range at a time.
+RANGE = 1 << 21
+#: Fine ranges that one task may have to go through before there are more tasks than spark.sql.shuffle.partitions.
+RUN = 4
+#: Bits for each entry of the bitmap of wanted texts, and its largest size (128 MB).
+BITS_EACH, MOST_BITS = 8, 1 << 30
+#: Followers of a leader that are compared in one group.
+FOLLOWERS = 4096
 #: Counters of the sketch that orders elements from rare to common.
 COUNTERS = 1 << 19
 #: A signature as it travels: the lower 48 bits of its hash (its range holds upper ones) and 40 of its class.
 #: Classes with the same 40 bits are all looked up again, so that a bucket may name one too many but never one too few.
 SENT = np.dtype([("low", "<u4"), ("high", "<u2"), ("class_low", "<u4"), ("class_high", "u1")])
-#: The upper 48 bits of an element's hash, as sets travel.
-SIX = np.dtype([("low", "<u4"), ("high", "<u2")])
+_SHORT = (1 << 40) - 1
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 
@@ -133,67 +142,91 @@ def signatures(g: np.ndarray, row: np.ndarray, rows: int, percent: int) -> tuple
 
 
 def fingerprints(g: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set size, class) of each row; rows without elements have size 0."""
+    """(set size, class as two 64-bit integers) of each row; rows without elements have size 0."""
     sizes = np.bincount(row, minlength=rows)
-    fp = np.zeros(rows, np.uint64)
+    fp = np.zeros((rows, 2), np.uint64)
     some = sizes > 0
     if some.any():
         first = (np.cumsum(sizes) - sizes)[some]
-        fp[some] = mix64(np.add.reduceat(mix64(g), first) + sizes[some].astype(np.uint64) * BASE)
-    return sizes, fp.astype(np.int64)
+        for i, salt in enumerate((np.uint64(0), np.uint64(0xA0761D6478BD642F))):
+            fp[some, i] = mix64(np.add.reduceat(mix64(g ^ salt), first) + sizes[some].astype(np.uint64) * BASE)
+    return sizes, fp
+
+
+def _class_column(fp: np.ndarray, none: np.ndarray) -> pa.Array:
+    """Classes as Arrow binaries of 16 bytes; null where none."""
+    offsets = np.arange(len(fp) + 1, dtype=np.int32) * 16
+    valid = pa.py_buffer(np.packbits(~none, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(fp), [valid, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(fp))])
+
+
+def _short(fp: np.ndarray) -> np.ndarray:
+    return (fp[:, 0] & np.uint64(_SHORT)).astype(np.int64)
 
 
 def _classes(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """docs with n_shingles, class and short, the lower 40 bits of its first half."""
+
     def make(col: pa.Array):
         sizes, fps = [], []
         for i, j, raw, off in text_blocks(col):
             a, b = fingerprints(*shingles(raw, off, n), j - i)
             sizes.append(a)
             fps.append(b)
-        sizes = np.concatenate(sizes)
-        return [sizes, pa.array(np.concatenate(fps), mask=sizes == 0)]
+        sizes, fps = np.concatenate(sizes), np.concatenate(fps)
+        return [sizes, _class_column(fps, sizes == 0), _short(fps)]
+
+    return annotate(docs, text, [("n_shingles", "long"), ("class", "binary"), ("short", "long")], make)
+
 
-    return annotate(docs, text, [("n_shingles", "long"), ("class", "long")], make)
+class _Seen:
+    """The classes that a task has met lately; forgotten as a whole when there are too many, so memory is bounded."""
 
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.held = most, set()
 
-def _packed(docs: DataFrame, text: str, n: int, percent: int, ranges: int) -> DataFrame:
-    """(range, packed): signatures and classes of a map task, by range of signature hashes; a class once a task."""
+    def new(self, fp: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(fp), bool)
+        for x in np.flatnonzero(sizes):
+            if (c := fp[x].tobytes()) not in self.held:
+                if len(self.held) >= self.most:
+                    self.held.clear()
+                self.held.add(c)
+                out[x] = True
+        return out
+
+
+def _packed(docs: DataFrame, text: str, n: int, percent: int, fine: int) -> DataFrame:
+    """(fine, packed): signatures and classes of a map task, by fine range of signature hashes; a class once a task."""
 
     def run(batches):
         drop_state(__name__)
-        seen: set[int] = set()
+        seen = _Seen()
         sigs, fps, held = [], [], 0
 
         def sent():
             s, f = np.concatenate(sigs), np.concatenate(fps)
-            r = ((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(s)
-            s, f, r = s[order], f[order], r[order]
+            s, f = s[order], f[order]
+            # the upper half of the hash times the number of ranges, without overflow
+            r = ((s >> np.uint64(32)) * np.uint64(fine) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(r)) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(s)]])
             rec = np.empty(len(s), SENT)
             rec["low"], rec["high"] = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint16)
-            f = f.view(np.uint64)
-            rec["class_low"], rec["class_high"] = f.astype(np.uint32), (f >> np.uint64(32)).astype(np.uint8)
+            rec["class_low"], rec["class_high"] = f.astype(np.uint32), (f >> 32).astype(np.uint8)
             blobs = [rec[a:b].tobytes() for a, b in zip(begin, end)]
-            return pa.RecordBatch.from_arrays([pa.array(r[begin], pa.int32()), pa.array(blobs, pa.binary())], names=["range", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(r[begin], pa.int32()), pa.array(blobs, pa.binary())], names=["fine", "packed"])
 
         for b in batches:
             for i, j, raw, off in text_blocks(b.column(text)):
                 g, row = shingles(raw, off, n)
                 sizes, fp = fingerprints(g, row, j - i)
-                new = np.zeros(j - i, bool)
-                for x in np.flatnonzero(sizes):
-                    if (c := int(fp[x])) not in seen:
-                        if len(seen) >= 1 << 20:
-                            seen.clear()
-                        seen.add(c)
-                        new[x] = True
-                take = new[row]
+                take = seen.new(fp, sizes)[row]
                 s, at = signatures(g[take], row[take], j - i, percent)
                 if len(s):
                     sigs.append(s)
-                    fps.append(fp[at])
+                    fps.append(_short(fp)[at])
                     held += len(s)
                 if held >= GATHERED:
                     yield sent()
@@ -201,51 +234,62 @@ def _packed(docs: DataFrame, text: str, n: int, percent: int, ranges: int) -> Da
         if held:
             yield sent()
 
-    return docs.select(text).mapInArrow(run, "range int, packed binary")
-
-
-def _buckets(packed: DataFrame, ranges: int) -> DataFrame:
-    """(bucket, short): the classes (40 bits of each) that share a signature, each distinct bucket of a task once."""
+    return docs.select(text).mapInArrow(run, "fine int, packed binary")
+
+
+def _shared(s: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, class) of the hashes s that several of the classes f share, each distinct set of classes once."""
+    order = np.argsort(s)
+    s, f = s[order], f[order]
+    several = np.zeros(len(s), bool)
+    same = s[1:] == s[:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    s, f = s[several], f[several]
+    order = np.lexsort((f, s))
+    s, f = s[order], f[order]
+    once = np.ones(len(s), bool)
+    once[1:] = (s[1:] != s[:-1]) | (f[1:] != f[:-1])  # a class sent by several map tasks
+    s, f = s[once], f[once]
+    if not len(s):
+        return np.zeros(0, np.int64), f
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    n = np.diff(np.append(begin, len(s)))
+    name = mix64(np.add.reduceat(mix64(f.astype(np.uint64)), begin)) + n.astype(np.uint64)
+    keep = np.zeros(len(begin), bool)
+    keep[np.unique(name, return_index=True)[1]] = True
+    keep &= n > 1
+    member = np.repeat(keep, n)
+    return np.repeat(name, n)[member].astype(np.int64), f[member]
+
+
+def _buckets(packed: DataFrame, tasks: int, each: int) -> DataFrame:
+    """(bucket, short): the classes (40 bits of each) that share a signature, each distinct bucket of a fine range once."""
 
     def run(batches):
-        sigs, fps = [], []
         drop_state(__name__)
+        blobs: list[np.ndarray] = []
+        now = None
+
+        def found():
+            rec = np.concatenate(blobs)
+            blobs.clear()
+            s = rec["low"] + (rec["high"].astype(np.uint64) << np.uint64(32))
+            bucket, f = _shared(s, (rec["class_low"] + (rec["class_high"].astype(np.uint64) << np.uint64(32))).astype(np.int64))
+            for i in range(0, len(f), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (bucket, f)], names=["bucket", "short"])
+
         for b in batches:
-            for r, blob in zip(b.column("range").to_pylist(), b.column("packed")):
-                rec = np.frombuffer(blob.as_buffer(), SENT)
-                sigs.append(rec["low"] + (rec["high"].astype(np.uint64) << np.uint64(32)) + (np.uint64(r & 0xFFFF) << np.uint64(48)))
-                fps.append((rec["class_low"] + (rec["class_high"].astype(np.uint64) << np.uint64(32))).astype(np.int64))
-        if not sigs:
-            return
-        s, f = np.concatenate(sigs), np.concatenate(fps)
-        sigs.clear()
-        fps.clear()
-        order = np.argsort(s)
-        s, f = s[order], f[order]
-        shared = np.zeros(len(s), bool)
-        same = s[1:] == s[:-1]
-        shared[1:] |= same
-        shared[:-1] |= same
-        s, f = s[shared], f[shared]
-        order = np.lexsort((f, s))
-        s, f = s[order], f[order]
-        once = np.ones(len(s), bool)
-        once[1:] = (s[1:] != s[:-1]) | (f[1:] != f[:-1])  # a class sent by several map tasks
-        s, f = s[once], f[once]
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        n = np.diff(np.append(begin, len(s)))
-        name = mix64(np.add.reduceat(mix64(f.astype(np.uint64)), begin)) + n.astype(np.uint64) if len(begin) else np.zeros(0, np.uint64)
-        _, first = np.unique(name, return_index=True)
-        keep = np.zeros(len(begin), bool)
-        keep[first] = True
-        keep &= n > 1
-        member = np.repeat(keep, n)
-        bucket = np.repeat(name, n)[member].astype(np.int64)
-        f = f[member]
-        for i in range(0, len(f), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (bucket, f)], names=["bucket", "short"])
-
-    return packed.repartitionById(ranges, "range").mapInArrow(run, "bucket long, short long")
+            for r, blob in zip(b.column("fine").to_pylist(), b.column("packed")):
+                if r != now and blobs:
+                    yield from found()
+                now = r
+                blobs.append(np.frombuffer(blob.as_buffer(), SENT).copy())
+        if blobs:
+            yield from found()
+
+    dealt = packed.repartitionById(tasks, F.floor(F.col("fine") / each).cast("int"))
+    return dealt.sortWithinPartitions("fine").mapInArrow(run, "bucket long, short long")
 
 
 def _folded(parts: DataFrame, column: str, none: np.ndarray, fold, fan: int = 16) -> np.ndarray:
@@ -271,31 +315,58 @@ def _folded(parts: DataFrame, column: str, none: np.ndarray, fold, fan: int = 16
     return whole
 
 
-def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id may be one of wanted's, so that few other texts travel to the join that decides.
-
-    A bitmap of FILTER_BITS bits tells; where ids are too many for it to leave anything out, all rows pass.
-    """
-    spark = rows.sparkSession
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("slot")
-    if wanted.count() > FILTER_BITS // 2:
-        return rows
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap (packed) of a column of slots below bits: each task makes one slice of it."""
+    width = max(1 << 16, bits >> 8)
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        whole: dict[int, np.ndarray] = {}
         for b in batches:
-            bits[b.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            at = b.column("slot").to_numpy()
+            for part in np.unique(at // width):
+                whole.setdefault(int(part), np.zeros(width, bool))[at[at // width == part] % width] = True
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([np.packbits(x).tobytes() for x in whole.values()], pa.binary())], names=["part", "bits"])
+
+    slices = -(-bits // width)
+    parts = slots.repartitionById(slices, F.floor(F.col("slot") / width).cast("int")).mapInArrow(run, "part int, bits binary")
+    out = np.zeros(slices * width // 8, np.uint8)
+    for r in parts.collect():
+        out[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
 
-    whole = _folded(wanted.select(slot).mapInArrow(run, "bits binary"), "bits", np.zeros(FILTER_BITS // 8, np.uint8), np.bitwise_or)
-    shipped = spark.sparkContext.broadcast(whole)
+def _fetched(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """wanted (class, short, head, ...) with the text of each class, from rows (id, text).
+
+    The bitmap holds the heads' ids and the classes. A row with an id passes by it, a row without one is looked at; of
+    those, rows whose class passes too travel, one a class and task.
+    """
+    spark = rows.sparkSession
+    bits = 1 << 16
+    while bits < min(MOST_BITS, 2 * BITS_EACH * wanted.count()):
+        bits *= 2
+    of_id = F.pmod(F.xxhash64("id"), F.lit(bits)).alias("slot")
+    slots = wanted.filter("head is not null").select(F.col("head").alias("id")).select(of_id).union(wanted.select((F.col("short") % bits).alias("slot")))
+    shipped = spark.sparkContext.broadcast(_bitmap(slots, bits))
+
+    def held(at: np.ndarray) -> np.ndarray:
+        return (shipped.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
     def passing(batches):
+        drop_state(__name__)
+        seen = _Seen()
         for b in batches:
-            at = b.column("slot").to_numpy()
-            yield b.select(["id", "text"]).filter(pa.array((shipped.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            at = b.column("slot")
+            texts = b.column("text").filter(pa.array(held(at.fill_null(0).to_numpy(zero_copy_only=False)) | at.is_null().to_numpy(zero_copy_only=False)))
+            for i, j, raw, off in text_blocks(texts):
+                sizes, fp = fingerprints(*shingles(raw, off, n), j - i)
+                take = np.flatnonzero(seen.new(fp, sizes) & held(_short(fp) % bits))
+                if len(take):
+                    yield pa.RecordBatch.from_arrays([_class_column(fp[take], np.zeros(len(take), bool)), texts.slice(i, j - i).take(pa.array(take))], names=["class", "text"])
 
-    return rows.filter("id is not null").select("id", "text", slot).mapInArrow(passing, rows.schema)
+    found = rows.select(F.when(F.col("id").isNotNull(), of_id).alias("slot"), "text").mapInArrow(passing, "class binary, text string")
+    return found.join(wanted, "class").dropDuplicates(["class"])
 
 
 def _nearest(buckets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -304,140 +375,151 @@ def _nearest(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     Centrality is the number of fellows over all buckets, so the text that a group of near copies was made from leads.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    central = buckets.join(sizes, "bucket").groupBy("class").agg(F.sum("n").alias("rank"))
+    central = spread_join(buckets, sizes, "bucket").groupBy("class").agg(F.sum("n").alias("rank"))
     ranked = scratch.written(buckets.join(central, "class").select("bucket", "class", "rank"), "ranked")
     lead = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "class")).alias("lead"))
-    own = ranked.join(lead, "bucket").filter(F.col("lead.class") != F.col("class"))
-    return own.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.class").alias("b"))
+    own = spread_join(ranked, lead, "bucket").filter(F.col("lead.class") != F.col("class"))
+    out = scratch.written(own.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.class").alias("b")), "nearest")
+    scratch.free(ranked)
+    return out
 
 
-def _crossing(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): the pairs of classes in left (class, root) that may link and have different roots.
+def _crossing(opened: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): the pairs of classes in opened (class, root, text) that may link and have different roots.
 
     Two sets that link share an element within their first size - ceil(percent * size / 100) + 1 in any one order of all
-    elements. An element counts only where enough of both sets comes after it. The order is from rare to common by a sketch of COUNTERS counters, so that what near copies that do not link
-    have in common comes last. The sketch's size is fixed; however full it is, the order stays one order.
+    elements. An element counts only where enough of both sets comes after it. The order is from rare to common by a
+    sketch of COUNTERS counters, so that what near copies that do not link have in common comes last. The sketch's size is
+    fixed; however full it is, the order stays one order.
     """
-    spark = left.sparkSession
-
-    def elements(blob) -> np.ndarray:
-        six = np.frombuffer(blob.as_buffer(), SIX)
-        return six["low"] + (six["high"].astype(np.uint64) << np.uint64(32))
+    spark = opened.sparkSession
 
     def count(batches):
-        n = np.zeros(COUNTERS, np.int64)
+        c = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for blob in b.column("elements"):
-                np.add.at(n, (elements(blob) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+            for _, _, raw, off in text_blocks(b.column("text")):
+                c += np.bincount((shingles(raw, off, n)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary())], names=["n"])
 
-    whole = _folded(sets.select("elements").mapInArrow(count, "n binary"), "n", np.zeros(COUNTERS, np.int64), np.add)
+    whole = _folded(opened.select("text").mapInArrow(count, "n binary"), "n", np.zeros(COUNTERS, np.int64), np.add)
     shipped = spark.sparkContext.broadcast(np.minimum(whole, 2**31 - 1).astype(np.int32))
 
     def first(batches):
         for b in batches:
-            found, at, sizes, places = [], [], [], []
-            for i, blob in enumerate(b.column("elements")):
-                e = elements(blob)
-                n = len(e) - -(-percent * len(e) // 100) + 1
-                seen = shipped.value[(e % np.uint64(COUNTERS)).astype(np.int64)]
-                found.append(e[np.lexsort((e, seen))[:n]])
-                at.append(np.full(n, i))
-                sizes.append(np.full(n, len(e)))
-                places.append(np.arange(n))
-            if found:
-                at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([b.column("class").take(at), pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], names=["class", "element", "n", "at"])
-
-    prefixes = sets.select("class", "elements").mapInArrow(first, "class long, element long, n long, at long")
-    rows = scratch.written(prefixes.join(left, "class"), "prefixes")
-    shared = rows.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("element")
-    rows = scratch.written(rows.join(shared, "element", "left_semi"), "prefixes")
+            for i, j, raw, off in text_blocks(b.column("text")):
+                g, row = shingles(raw, off, n)
+                order = np.lexsort((g, shipped.value[(g % np.uint64(COUNTERS)).astype(np.int64)], row))
+                g, row = g[order], row[order]
+                size = np.bincount(row, minlength=j - i)
+                place = np.arange(len(g)) - (np.cumsum(size) - size)[row]
+                keep = place < (size - -(-percent * size // 100) + 1)[row]
+                row, columns = row[keep], (g[keep].astype(np.int64), size[row[keep]], place[keep])
+                own = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column(c).take(pa.array(row)) for c in ("class", "root")] + [pa.array(c) for c in columns], names=["class", "root", "element", "n", "at"])
+
+    prefixes = opened.select("class", "root", "text").mapInArrow(first, "class binary, root binary, element long, n long, at long")
+    every = scratch.written(prefixes, "prefixes")
+    shared = every.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("element")
+    rows = scratch.written(every.join(shared, "element", "left_semi"), "prefixes")
+    scratch.free(every)
     x = rows.select("element", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     y = rows.select("element", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
     # at the first element that two sets share, what follows in either must still hold the whole overlap that a link needs
     near = (100 + percent) * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= percent * (F.col("nx") + F.col("ny"))
-    return x.join(y, "element").filter((F.col("rx") < F.col("ry")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    pairs = x.join(y, "element").filter((F.col("rx") < F.col("ry")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    pairs = scratch.written(pairs, "pairs")
+    scratch.free(rows)
+    return pairs
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link.
+def _linked(pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of the rows (a, b, x, y) whose texts x and y have sets that link."""
 
-    The side that may repeat (b, a leader) is joined first, while rows are two integers.
-    """
+    def sets(col: pa.Array) -> list[np.ndarray]:
+        out = []
+        for i, j, raw, off in text_blocks(col):
+            g, row = shingles(raw, off, n)
+            cut = np.searchsorted(row, np.arange(j - i + 1))
+            out += [g[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        return out
+
+    def links(p: np.ndarray, q: np.ndarray) -> bool:
+        if len(p) > len(q):
+            p, q = q, p
+        if not len(p) or 100 * len(p) < percent * len(q):
+            return False
+        common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+        return 100 * common >= percent * (len(p) + len(q) - common)
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), SIX) for v in (x, y))
-                small, large = sorted((len(p), len(q)))
-                ok = 100 * small >= percent * large
-                if ok:
-                    z = np.sort(np.concatenate([p["low"] + (p["high"].astype(np.uint64) << np.uint64(32)), q["low"] + (q["high"].astype(np.uint64) << np.uint64(32))]))
-                    common = int((z[1:] == z[:-1]).sum())
-                    ok = 100 * common >= percent * (len(p) + len(q) - common)
-                keep.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = sets.select(F.col("class").alias("a"), F.col("elements").alias("x"))
-    y = sets.select(F.col("class").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        drop_state(__name__)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                codes = b.column("b").dictionary_encode().indices.to_numpy()
+                first = np.unique(codes, return_index=True)[1]  # a leader's text once
+                ys = sets(b.column("y").take(pa.array(first)))
+                keep = [links(p, ys[c]) for p, c in zip(sets(b.column("x")), codes)]
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, class) of each row of docs, and (class, root, head, component) of each class.
+    """(id, n_shingles, class, mark) of each row of docs, and (class, root, head, mark, rows, component) of each class.
 
-    head is the smallest id of a class, component that of all classes with its root.
+    head is the smallest id of a class, mark the smallest row_mark of the rows with it; component is the smallest id of
+    all classes with its root.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), row_mark(docs).alias("mark"))
     written = scratch.written
     sized = written(_classes(rows, "text", n).drop("text"), "classes")
-    heads = written(sized.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("head")), "heads")
-    shorts = written(_buckets(_packed(rows, "text", n, percent, ranges), ranges).distinct(), "buckets")
+    least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("h")
+    heads = sized.filter(F.col("class").isNotNull()).groupBy("class").agg(least, F.min("short").alias("short"), F.min("n_shingles").alias("n"), F.count("*").alias("rows"))
+    heads = written(heads.select("class", "short", "n", "rows", F.col("h.id").alias("head"), F.col("h.mark").alias("mark")), "heads")
+    # a set of n elements has fewer than n signatures in both its bands, but for the least of sets
+    total = heads.agg(F.sum(F.col("n") + 24)).first()[0] or 0
+    fine = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fine // RUN))
+    each = -(-fine // tasks)
+    shorts = written(_buckets(_packed(rows, "text", n, percent, fine), tasks, each).distinct(), "shorts")
     release(spark)
-    known = heads.select(F.col("class").bitwiseAND(F.lit((1 << 40) - 1)).alias("short"), "class")
-    buckets = written(shorts.join(known, "short").select("bucket", "class"), "buckets")
-    wanted = written(buckets.select("class").distinct().join(heads, "class").select("class", F.col("head").alias("id")), "wanted")
-
-    def elements(col: pa.Array):
-        classes, out = [], []
-        for i, j, raw, off in text_blocks(col):
-            g, row = shingles(raw, off, n)
-            cut = np.searchsorted(row, np.arange(j - i + 1))
-            six = (g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            out += [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            classes.append(fingerprints(g, row, j - i)[1])
-        return [np.concatenate(classes), pa.array(out, pa.binary())]
-
-    texts = _perhaps(rows, wanted).join(wanted, "id").dropDuplicates(["id", "class", "text"]).select(F.col("class").alias("head_class"), "text")
-    # a class without any id has no head to fetch its text by: its fingerprint finds it among the rows without id
-    unnamed = wanted.filter("id is null").select(F.col("class").alias("id"))
-    if not unnamed.isEmpty():
-        others = _classes(rows.filter("id is null"), "text", n).select(F.col("class").alias("id"), "text")
-        one = _perhaps(others, unnamed).groupBy("id").agg(F.first("text").alias("text"))
-        texts = texts.unionByName(one.join(unnamed, "id").select(F.col("id").alias("head_class"), "text"))
-    # a repeated id may hold other texts too: only the one of this class counts
-    own = annotate(texts, "text", [("class", "long"), ("elements", "binary")], elements).filter("class = head_class")
-    sets = written(own.select("class", "elements"), "sets")
+    buckets = written(shorts.join(heads.select("short", "class"), "short").select("bucket", "class"), "buckets")
+    scratch.free(shorts)
+    nearest = _nearest(buckets, scratch)
+    followers = nearest.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("groups"))
+    to = spread_join(nearest, followers, "b").select(F.col("a").alias("class"), "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("turn"))
+    wanted = buckets.select("class").distinct().join(heads.select("class", "short", "head"), "class").join(to, "class", "left").join(followers.withColumnRenamed("b", "class"), "class", "left")
+    wanted = written(wanted, "wanted")
+    texts = written(_fetched(rows.select("id", "text"), wanted, n).select("class", "text", "b", "turn", "groups"), "texts")
+    scratch.free(wanted)
     release(spark)
-    nearest = written(_nearest(buckets, scratch), "pairs")
-    links = written(_linked(nearest, sets, percent), "links")
+    x = texts.filter("b is not null").select(F.col("class").alias("a"), "b", "turn", F.col("text").alias("x"))
+    y = texts.filter("groups is not null").select(F.col("class").alias("b"), F.col("text").alias("y"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("turn"))
+    links = written(_linked(x.join(y, ["b", "turn"]), n, percent), "links")
     release(spark)
     roots = components(links, scratch=scratch)
     placed = written(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root")), "placed")
+    scratch.free(buckets)
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     left = placed.join(several, "bucket", "left_semi").select("class", "root").distinct()
-    crossing = _crossing(left, sets, percent, scratch)
-    more = written(_linked(written(crossing.join(nearest, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+    opened = written(texts.select("class", "text").join(left, "class"), "opened")
+    scratch.free(placed, texts)
+    release(spark)
+    pairs = _crossing(opened, n, percent, scratch)
+    release(spark)
+    pairs = pairs.join(nearest, ["a", "b"], "left_anti")
+    x = opened.select(F.col("class").alias("a"), F.col("text").alias("x"))
+    y = opened.select(F.col("class").alias("b"), F.col("text").alias("y"))
+    more = written(_linked(pairs.join(y, "b").join(x, "a"), n, percent), "links")
+    scratch.free(opened)
     release(spark)
     if not more.isEmpty():
         roots = components(links.union(more), scratch=scratch)
-    rooted = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "head")
+    rooted = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "head", "mark", "rows")
     smallest = rooted.groupBy("root").agg(F.min("head").alias("component"))
-    return sized, rooted.join(smallest, "root").select("class", "root", "head", "component")
+    return sized, spread_join(rooted, smallest, "root", rows=heads.count()).select("class", "root", "head", "mark", "rows", "component")
 
 
 def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,31 +529,54 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     """
     scratch = Scratch(docs.sparkSession)
     sized, named = _components(docs, n, percent, key, text, scratch)
-    named = named.select("class", "component")
-    return scratch.result(sized.join(named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "components")
+    named = scratch.written(named.select("class", "component"), "named")
+    return scratch.result(spread_join(sized, named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "components")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
 
-def unique_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (5 words, 80 percent), the row with the smallest doc_id.
+def unique_rows(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies in docs: the one with the smallest key; without any key, one of them.
 
-    Groups are those of texts: rows of one doc_id with texts that do not link are of different groups. Of a group's rows
-    without doc_id one stays too. Rows without words are of no group: one of each doc_id stays, and all without doc_id.
+    Groups are those of texts: rows of one key with texts that do not link are of different groups. Among rows alike in
+    set and key the one with the smallest row_mark stays, so reruns agree. Rows without words are of no group and all stay.
     """
-    scratch = Scratch(spark)
-    found, named = _components(docs, 5, 80, "doc_id", "text", scratch)
-    first = named.groupBy("root").agg(F.min(F.when(F.col("head").isNotNull(), F.struct("head", "class"))).alias("f")).filter("f is not null").select("f.class", "f.head")
-    unnamed = found.filter("id is null and class is not null").select("class").distinct().join(named, "class").groupBy("root").agg(F.min("class").alias("class"))
-    keep = scratch.result(first.unionByName(unnamed.select("class", F.lit(None).cast(first.schema["head"].dataType).alias("head"))), "keep")
-    keep = keep.select(F.col("class").alias("_class"), F.col("head").alias("_head"))
-    words = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    scratch = Scratch(docs.sparkSession)
+    _, named = _components(docs, n, percent, key, text, scratch)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("no"), "head", "class", "mark")).alias("f"))
+    keep = scratch.result(first.select(F.col("f.class").alias("_class"), F.col("f.mark").alias("_mark")), "keep")
     columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
     back = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]
-    text, key = f"_{docs.columns.index('text')}", f"_{docs.columns.index('doc_id')}"
-    sized = _classes(docs.filter(words).select(*columns), text, 5)
-    groups = sized.join(keep, (F.col("class") == F.col("_class")) & F.col(key).eqNullSafe(F.col("_head"))).dropDuplicates(["_class", key]).select(*back)
-    empty = docs.filter(~words)
-    return groups.unionByName(empty.filter("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(empty.filter("doc_id is null"))
+    own = docs.select(*columns, row_mark(docs).alias("_mark"), F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("_words"))
+    at = f"_{docs.columns.index(text)}"
+    arrow_columns = [f"_{i}" for i in range(len(docs.columns))]
+
+    def one_a_task(batches):
+        """Each (class, mark) once a task, so that no number of repeated rows goes to one place."""
+        drop_state(__name__)
+        seen: set[bytes] = set()
+        for b in batches:
+            marks = b.column("_mark").to_numpy()
+            for i, j, raw, off in text_blocks(b.column(at)):
+                _, fp = fingerprints(*shingles(raw, off, n), j - i)
+                take = []
+                for x in range(j - i):
+                    if (c := fp[x].tobytes() + marks[i + x].tobytes()) not in seen:
+                        if len(seen) >= 1 << 20:
+                            seen.clear()
+                        seen.add(c)
+                        take.append(x)
+                part = b.slice(i, j - i).take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in (*arrow_columns, "_mark")] + [_class_column(fp[take], np.zeros(len(take), bool))], names=[*arrow_columns, "_mark", "_class"])
+
+    worded = own.filter("_words").drop("_words")
+    schema = StructType([*worded.schema.fields, StructField("_class", BinaryType())])
+    groups = worded.mapInArrow(one_a_task, schema).join(keep, ["_class", "_mark"], "left_semi").dropDuplicates(["_class", "_mark"])
+    return groups.select(*back).unionByName(own.filter("NOT _words").select(*back))
+
+
+def unique_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one row of each group of near copies (5 words, 80 percent), see unique_rows."""
+    return unique_rows(docs, 5, 80)

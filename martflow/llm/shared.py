@@ -7,27 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from martflow.sources.scratch import checkpoint_dir
+
+#: A key with more than one row in HOT of a table, in a table of over HOT_ROWS rows, travels by broadcast in spread_join.
+HOT, HOT_ROWS = 4096, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors reach."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the folder of spark.checkpoint.dir, which all executors reach."""
+    return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -38,27 +34,63 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables in the shared folder that are removed together once their reader has been written."""
+    """Tables in the shared folder, each removed with its last reader, all of them when the result has been written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths = spark, {}
 
     def written(self, df: DataFrame, what: str) -> DataFrame:
         path = new_path(self.spark, what)
-        self.paths.append(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Remove tables that written() gave and that nothing reads any more."""
+        for t in tables:
+            if found := self.paths.pop(id(t), None):
+                drop_table(self.spark, found[0])
 
     def result(self, df: DataFrame, what: str) -> DataFrame:
         """df as a table that stays; the others go, and with them the shuffle files of the jobs that made them."""
         out = written(df, what)
-        for p in self.paths:
-            drop_table(self.spark, p)
+        for path, _ in self.paths.values():
+            drop_table(self.spark, path)
         self.paths.clear()
         release(self.spark)
         return out
 
 
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType) and kind.typeName() != "variant"
+
+
+def row_mark(df: DataFrame) -> Column:
+    """A 64-bit hash of a row: all columns that Spark can hash, nulls told from each other by their place."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    return F.xxhash64(*[x for c in columns for x in (c, c.isNull())]) if columns else F.lit(0).cast("long")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left.join(right, key, how), for a right side with one row a key, where a few keys may hold most rows of left.
+
+    Rows of keys with more than one row in HOT stay where they are: those keys' rows of right, at most HOT, are broadcast.
+    A table of up to HOT_ROWS rows is joined as it is, as none of its keys can overload a task. rows: left's number, if known.
+    """
+    n = left.count() if rows is None else rows
+    if n <= HOT_ROWS:
+        return left.join(right, key, how)
+    hot = [r[0] for r in left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > n // HOT).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_semi").join(few, key, how).unionByName(left.join(keys, key, "left_anti").join(right, key, how))
+
+
 def text_blocks(col: pa.Array, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, row offsets) of runs of rows with at most `most` bytes, or of one longer row.
 
