@@ -34,10 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from martflow.llm.components import components
-from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, row_mark, spread_join, table, text_blocks, windows
+from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, row_marks, spread_join, table, text_blocks, windows
 
 N2 = 3
 #: Packed signatures (11 bytes each) that a map task gathers before it sends them.
@@ -385,7 +384,7 @@ def _nearest(buckets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _crossing(opened: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): the pairs of classes in opened (class, root, text) that may link and have different roots.
+    """(a, b): the pairs of numbers in opened (no, root, text) whose classes may link and have different roots.
 
     Two sets that link share an element within their first size - ceil(percent * size / 100) + 1 in any one order of all
     elements. An element counts only where enough of both sets comes after it. The order is from rare to common by a
@@ -415,15 +414,15 @@ def _crossing(opened: DataFrame, n: int, percent: int, scratch: Scratch) -> Data
                 keep = place < (size - -(-percent * size // 100) + 1)[row]
                 row, columns = row[keep], (g[keep].astype(np.int64), size[row[keep]], place[keep])
                 own = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(c).take(pa.array(row)) for c in ("class", "root")] + [pa.array(c) for c in columns], names=["class", "root", "element", "n", "at"])
+                yield pa.RecordBatch.from_arrays([own.column(c).take(pa.array(row)) for c in ("no", "root")] + [pa.array(c) for c in columns], names=["no", "root", "element", "n", "at"])
 
-    prefixes = opened.select("class", "root", "text").mapInArrow(first, "class binary, root binary, element long, n long, at long")
+    prefixes = opened.select("no", F.xxhash64("root").alias("root"), "text").mapInArrow(first, "no long, root long, element long, n long, at long")
     every = scratch.written(prefixes, "prefixes")
     shared = every.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("element")
     rows = scratch.written(every.join(shared, "element", "left_semi"), "prefixes")
     scratch.free(every)
-    x = rows.select("element", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    y = rows.select("element", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    x = rows.select("element", F.col("no").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = rows.select("element", F.col("no").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("ay"))
     # at the first element that two sets share, what follows in either must still hold the whole overlap that a link needs
     near = (100 + percent) * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= percent * (F.col("nx") + F.col("ny"))
     pairs = x.join(y, "element").filter((F.col("rx") < F.col("ry")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
@@ -462,17 +461,18 @@ def _linked(pairs: DataFrame, n: int, percent: int) -> DataFrame:
                 keep = [links(p, ys[c]) for p, c in zip(sets(b.column("x")), codes)]
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    kind = dict(pairs.dtypes)["a"]
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, class, mark) of each row of docs, and (class, root, head, mark, rows, component) of each class.
 
-    head is the smallest id of a class, mark the smallest row_mark of the rows with it; component is the smallest id of
+    head is the smallest id of a class, mark the smallest row_marks of the rows with both; component is the smallest id of
     all classes with its root.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), row_mark(docs).alias("mark"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*row_marks(docs)).alias("mark"))
     written = scratch.written
     sized = written(_classes(rows, "text", n).drop("text"), "classes")
     least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("h")
@@ -504,16 +504,18 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     scratch.free(buckets)
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     left = placed.join(several, "bucket", "left_semi").select("class", "root").distinct()
-    opened = written(texts.select("class", "text").join(left, "class"), "opened")
+    opened = written(texts.select("class", "text", "b").join(left, "class").withColumn("no", F.monotonically_increasing_id()), "opened")
     scratch.free(placed, texts)
     release(spark)
     pairs = _crossing(opened, n, percent, scratch)
     release(spark)
-    pairs = pairs.join(nearest, ["a", "b"], "left_anti")
-    x = opened.select(F.col("class").alias("a"), F.col("text").alias("x"))
-    y = opened.select(F.col("class").alias("b"), F.col("text").alias("y"))
-    more = written(_linked(pairs.join(y, "b").join(x, "a"), n, percent), "links")
-    scratch.free(opened)
+    names = opened.select("no", "class")
+    known = opened.select("no", F.col("b").alias("class")).join(names.withColumnRenamed("no", "to"), "class").select(F.greatest("no", "to").alias("a"), F.least("no", "to").alias("b"))
+    x, y = opened.select(F.col("no").alias("a"), F.col("text").alias("x")), opened.select(F.col("no").alias("b"), F.col("text").alias("y"))
+    more = written(_linked(pairs.join(known, ["a", "b"], "left_anti").join(y, "b").join(x, "a"), n, percent), "more")
+    more = more.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    more = written(more, "links")
+    scratch.free(opened, pairs)
     release(spark)
     if not more.isEmpty():
         roots = components(links.union(more), scratch=scratch)
@@ -541,40 +543,34 @@ def unique_rows(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text
     """One row of each group of near copies in docs: the one with the smallest key; without any key, one of them.
 
     Groups are those of texts: rows of one key with texts that do not link are of different groups. Among rows alike in
-    set and key the one with the smallest row_mark stays, so reruns agree. Rows without words are of no group and all stay.
+    set and key the one with the smallest row_marks stays, so reruns agree. Rows without words are of no group and all stay.
     """
     scratch = Scratch(docs.sparkSession)
     _, named = _components(docs, n, percent, key, text, scratch)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("no"), "head", "class", "mark")).alias("f"))
-    keep = scratch.result(first.select(F.col("f.class").alias("_class"), F.col("f.mark").alias("_mark")), "keep")
+    keep = scratch.result(first.select(F.col("f.mark.m1").alias("_m1"), F.col("f.mark.m2").alias("_m2")), "keep")
     columns = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
     back = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]
-    own = docs.select(*columns, row_mark(docs).alias("_mark"), F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("_words"))
-    at = f"_{docs.columns.index(text)}"
-    arrow_columns = [f"_{i}" for i in range(len(docs.columns))]
+    words = F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    m1, m2 = row_marks(docs)
 
     def one_a_task(batches):
-        """Each (class, mark) once a task, so that no number of repeated rows goes to one place."""
+        """Each pair of marks once a task, so that no number of repeated rows goes to one place."""
         drop_state(__name__)
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            marks = b.column("_mark").to_numpy()
-            for i, j, raw, off in text_blocks(b.column(at)):
-                _, fp = fingerprints(*shingles(raw, off, n), j - i)
-                take = []
-                for x in range(j - i):
-                    if (c := fp[x].tobytes() + marks[i + x].tobytes()) not in seen:
-                        if len(seen) >= 1 << 20:
-                            seen.clear()
-                        seen.add(c)
-                        take.append(x)
-                part = b.slice(i, j - i).take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in (*arrow_columns, "_mark")] + [_class_column(fp[take], np.zeros(len(take), bool))], names=[*arrow_columns, "_mark", "_class"])
-
-    worded = own.filter("_words").drop("_words")
-    schema = StructType([*worded.schema.fields, StructField("_class", BinaryType())])
-    groups = worded.mapInArrow(one_a_task, schema).join(keep, ["_class", "_mark"], "left_semi").dropDuplicates(["_class", "_mark"])
-    return groups.select(*back).unionByName(own.filter("NOT _words").select(*back))
+            take = []
+            for i, pair in enumerate(zip(b.column("_m1").to_pylist(), b.column("_m2").to_pylist())):
+                if pair not in seen:
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(pair)
+                    take.append(i)
+            yield b.take(pa.array(take, pa.int64())) if len(take) < b.num_rows else b
+
+    worded = docs.filter(words).select(*columns, m1.alias("_m1"), m2.alias("_m2"))
+    groups = worded.mapInArrow(one_a_task, worded.schema).join(keep, ["_m1", "_m2"], "left_semi").dropDuplicates(["_m1", "_m2"])
+    return groups.select(*back).unionByName(docs.filter(~words))
 
 
 def unique_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,10 +68,11 @@ def _hashable(kind: DataType) -> bool:
     return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType) and kind.typeName() != "variant"
 
 
-def row_mark(df: DataFrame) -> Column:
-    """A 64-bit hash of a row: all columns that Spark can hash, nulls told from each other by their place."""
+def row_marks(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row, m1 and m2: of all columns that Spark can hash, and which of them are null."""
     columns = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
-    return F.xxhash64(*[x for c in columns for x in (c, c.isNull())]) if columns else F.lit(0).cast("long")
+    parts = [x for c in columns for x in (c, c.isNull())]
+    return F.xxhash64(F.lit(1), *parts).alias("m1"), F.xxhash64(F.lit(2), *parts).alias("m2")
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
