@@ -80,14 +80,16 @@ class FactSpec:
     degenerate_dimensions: list[str] = field(default_factory=list)
     degenerate_mappings: dict[str, str] = field(default_factory=dict)
     fact_type: str = "transaction"
+    #: The business day: date_key comes from it where a lookup asks for one that the feed lacks.
+    date_column: str = "report_date"
 
     def check(self):
         _named(self.fact_table, *self.measures, *self.degenerate_dimensions)
         if self.fact_type not in ("transaction", "periodic_snapshot"):
             raise ConfigError(f"{self.fact_table}: fact_type {self.fact_type!r}")
         for look in self.dimension_lookups:
-            if not {"dimension", "natural_keys", "surrogate_key"} <= set(look):
-                raise ConfigError(f"{self.fact_table}: a lookup needs dimension, natural_keys and surrogate_key")
+            if not {"dimension", "natural_keys", "surrogate_key"} <= set(look) or set(look) - {"dimension", "natural_keys", "surrogate_key", "as_of"}:
+                raise ConfigError(f"{self.fact_table}: a lookup has dimension, natural_keys, surrogate_key and perhaps as_of (a day column)")
 
     @property
     def mapping(self) -> dict[str, str]:
@@ -128,17 +130,22 @@ def views(text: str) -> dict[str, ViewSpec]:
 
 
 def models(text: str) -> dict[str, tuple[list[DimSpec], list[FactSpec]]]:
-    """{source table: (dimensions, facts)}."""
+    """{source table: (dimensions, facts)}; both may stand in an object named dimensional_model."""
     out = {}
     for raw in json.loads(text):
-        out[raw["source_table"]] = [_made(DimSpec, d) for d in raw.get("dimensions", [])], [_made(FactSpec, f) for f in raw.get("facts", [])]
+        model = raw.get("dimensional_model", raw)
+        out[raw["source_table"]] = [_made(DimSpec, d) for d in model.get("dimensions", [])], [_made(FactSpec, f) for f in model.get("facts", [])]
     return out
 
 
+def base_name(path: str) -> str:
+    """The last part of a path, in the form in which file names are compared."""
+    return path.rstrip("/").rsplit("/", 1)[-1].strip().lower()
+
+
 def find_job(specs: list[JobSpec], path: str) -> tuple[JobSpec | None, str]:
-    """(job, outcome) for a file: triggered, inactive or not_configured; names are compared in any case."""
-    base = path.rstrip("/").rsplit("/", 1)[-1].strip().lower()
+    """(job, outcome) for a file: triggered, inactive or not_configured; base names are compared in any case."""
     for s in specs:
-        if s.source_file_name.strip().lower() == base:
+        if base_name(s.source_file_name) == base_name(path):
             return s, "triggered" if s.is_active else "inactive"
     return None, "not_configured"

@@ -56,3 +56,24 @@ def erased(df: DataFrame, keys: DataFrame, on: list[str], columns: list[str]) ->
     return df.join(mark, on, "left").select(*[F.when(F.col("_gone"), None).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def soft_deleted(df: DataFrame, keys: DataFrame, on: list[str], at: Column) -> DataFrame:
+    """The rows of keys marked as deleted at a time (deleted_at); a row that is marked keeps its first mark."""
+    mark = keys.select(*on).distinct().withColumn("_gone", F.lit(True))
+    before = F.col("deleted_at") if "deleted_at" in df.columns else F.lit(None).cast("timestamp")
+    out = df.join(mark, on, "left").withColumn("deleted_at", F.coalesce(before, F.when(F.col("_gone"), at)))
+    return out.select(*[c for c in df.columns if c != "deleted_at"], "deleted_at")
+
+
+def live(df: DataFrame) -> DataFrame:
+    """The rows that are not marked as deleted."""
+    return df.filter("deleted_at IS NULL")
+
+
+#: The zones of a warehouse, in the order in which data goes through them.
+LAYERS = ("raw", "curated", "reporting")
+
+
+def layer_path(root: str, layer: str, table: str) -> str:
+    if layer not in LAYERS:
+        raise ValueError(f"a layer is one of {', '.join(LAYERS)}, not {layer!r}")
+    return f"{root.rstrip('/')}/{layer}/{table}"

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import logging
 import random
-import re
 import time
 import uuid
 from functools import wraps
@@ -82,7 +81,7 @@ def route_files(files: DataFrame, jobs: DataFrame, path: str = "path") -> DataFr
     jobs: source_file_name, job_id, is_active. Of several jobs for a name the first by job_id counts.
     """
     low = lambda c: F.lower(F.trim(c))
-    known = jobs.groupBy(low(F.col("source_file_name")).alias("_name")).agg(F.min(F.struct("job_id", "is_active")).alias("_j"))
+    known = jobs.groupBy(low(F.element_at(F.split("source_file_name", "/"), -1)).alias("_name")).agg(F.min(F.struct("job_id", "is_active")).alias("_j"))
     base = F.element_at(F.split(path, "/"), -1)
     outcome = F.when(F.col("_j").isNull(), "not_configured").when(~F.coalesce(F.col("_j.is_active"), F.lit(False)), "inactive").otherwise("triggered")
     return files.withColumn("_name", low(base)).join(known, "_name", "left").select(*files.columns, F.col("_j.job_id").alias("job_id"), outcome.alias("outcome"))
@@ -93,13 +92,24 @@ def pending_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.filter("status = 'DONE'").select("key", "etag"), ["key", "etag"], "left_anti")
 
 
-def normalized(name: str) -> str:
-    return name.strip().lower()
+def route_by_pattern(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """files (path) with the job of the first rule that fits: rules (priority, kind, pattern, job_id), kind prefix or regex.
 
-
-def sanitized(text: str, most: int = 80) -> str:
-    """A text as a run name: letters, digits, dash and underscore."""
-    return re.sub(r"[^A-Za-z0-9_-]+", "-", text).strip("-")[:most]
+    Prefixes fit the start of the whole path, patterns any part of its base name, both in any case. Rules are a
+    configuration: as many rows as jobs. No rule: job_id is null and the outcome not_configured.
+    """
+    low, base = F.lower(F.trim(F.col(path))), F.lower(F.element_at(F.split(path, "/"), -1))
+    fits = F.when(F.col("kind") == "prefix", F.startswith(low, F.lower("pattern"))).otherwise(F.rlike(base, F.lower("pattern")))
+    known = F.broadcast(rules.select("priority", "kind", "pattern", F.col("job_id").alias("_job")))
+    hits = files.select(path).distinct().join(known, fits).groupBy(path).agg(F.min(F.struct("priority", "_job")).alias("_r"))
+    out = files.join(hits, path, "left").select(*[F.col(c) for c in files.columns], F.col("_r._job").alias("job_id"))
+    return out.withColumn("outcome", F.when(F.col("job_id").isNull(), "not_configured").otherwise("triggered"))
+
+
+def health(spark: SparkSession, tables: dict) -> DataFrame:
+    """table_health of snapshot tables by name, from their own statistics."""
+    rows = [(n, s["rows"], s["bytes"], s["files"], float(s["unsorted"]), float(s["stats_off"])) for n, s in ((n, t.stats()) for n, t in tables.items())]
+    return table_health(spark.createDataFrame(rows, "table_name string, rows long, bytes long, files int, unsorted double, stats_off double"))
 
 
 class JsonFormatter(logging.Formatter):

@@ -41,14 +41,18 @@ def insert_rows(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFra
     return batch.join(target.select(*keys).distinct(), keys, "left_anti")
 
 
-def insert_only(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Idempotent append: a key enters once; of several new rows of a key, the least by all columns."""
+def new_rows(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The batch's rows whose key the target lacks, one a key: the least by all columns. Null keys are all new."""
     new = insert_rows(target, batch, keys)
     named = new.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
     rest = new.filter(reduce(Column.__or__, [F.col(k).isNull() for k in keys]))
     first = named.groupBy(*keys).agg(F.min(F.struct(*[c for c in new.columns if c not in keys])).alias("_r"))
-    picked = first.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in new.columns])
-    return target.unionByName(picked).unionByName(rest)
+    return first.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in new.columns]).unionByName(rest)
+
+
+def insert_only(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Idempotent append: a key enters once; of several new rows of a key, the least by all columns."""
+    return target.unionByName(new_rows(target, batch, keys))
 
 
 def delete_version(target: DataFrame, batch: DataFrame, version: str, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,10 @@ from martflow.functions.timefn import datediff_boundary, ratio
 RESULT = "check_name string, table_name string, column_name string, check_type string, expected string, actual string, passed boolean"
 
 
+#: The results table: a row a check and run.
+RESULTS = f"run_id string, {RESULT}, details string, checked_at timestamp"
+
+
 class CheckFailed(ValueError):
     pass
 
@@ -76,6 +81,12 @@ def key_null_guard(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     return df.filter(~lacks), df.filter(lacks)
 
 
+def logged(results: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """Check results as rows of the results table, with details in words."""
+    details = F.concat(F.col("check_type"), F.lit(": expected "), F.col("expected"), F.lit(", found "), F.coalesce("actual", F.lit("nothing")))
+    return results.select(F.lit(run_id).alias("run_id"), *results.columns, details.alias("details"), at.cast("timestamp").alias("checked_at"))
+
+
 def require(results: DataFrame) -> None:
     """Raise if any check failed, naming up to 20 of them."""
     bad = results.filter(~F.col("passed")).select("check_name", "table_name", "actual").limit(20).collect()
@@ -97,10 +108,11 @@ def within_errors(bad: DataFrame, total: DataFrame, table: str, most: float) ->
     return _row(one, "error_threshold", table, "*", "ERRORS", f"<= {most}", F.col("b"), pct <= most)
 
 
-def trailer(df: DataFrame, table: str, rows: int, amount: str | None = None, total: float | None = None) -> DataFrame:
-    """A file's trailer against its rows: their number and, if given, the sum of a column."""
-    one = df.agg(F.count("*").alias("n"), *([F.sum(F.col(amount).cast("decimal(38,2)")).cast("double").alias("s")] if amount else []))
+def trailer(df: DataFrame, table: str, rows: int, amount: str | None = None, total=None) -> DataFrame:
+    """A file's trailer against its rows: their number and, if given, the sum of a column, both exact (two decimals)."""
+    one = df.agg(F.count("*").alias("n"), *([F.sum(F.col(amount).cast("decimal(38,2)")).cast("decimal(38,2)").alias("s")] if amount else []))
     out = _row(one, "trailer_rows", table, "*", "TRAILER", str(rows), F.col("n"), F.col("n") == rows)
     if amount:
-        out = out.unionByName(_row(one, f"trailer_{amount}", table, amount, "TRAILER", str(total), F.col("s"), F.coalesce(F.abs(F.col("s") - total) < 0.005, F.lit(False))))
+        told = Decimal(str(total)).quantize(Decimal("0.01"))
+        out = out.unionByName(_row(one, f"trailer_{amount}", table, amount, "TRAILER", str(told), F.col("s"), F.coalesce(F.col("s") == F.lit(told).cast("decimal(38,2)"), F.lit(False))))
     return out

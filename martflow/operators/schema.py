@@ -33,10 +33,53 @@ def spark_type(name: str) -> T.DataType:
     return SPARK.get(base.strip(), T.StringType())
 
 
-def create_table_ddl(table: str, schema: T.StructType, keys: list[str]) -> str:
-    """CREATE TABLE of a frame's schema in warehouse types; keys are NOT NULL."""
-    cols = ", ".join(f"{f.name} {warehouse_type(f.dataType)}{' NOT NULL' if f.name in keys else ''}" for f in schema.fields)
-    return f"CREATE TABLE {table} ({cols})"
+def length_of(field: T.StructField) -> int | None:
+    """The warehouse length of a text column, kept in its metadata."""
+    return (field.metadata or {}).get("max_length")
+
+
+def with_lengths(schema: T.StructType, lengths: dict[str, int], default: int = 256) -> T.StructType:
+    """The schema whose text columns carry a length: that of lengths, or their own, or the default."""
+    out = []
+    for f in schema.fields:
+        known = {k: v for k, v in (f.metadata or {}).items() if k != "max_length"}
+        text = {"max_length": lengths.get(f.name) or length_of(f) or default} if isinstance(f.dataType, T.StringType) else {}
+        out.append(T.StructField(f.name, f.dataType, f.nullable, known | text))
+    return T.StructType(out)
+
+
+def alter_lengths(schema: T.StructType, lengths: dict[str, int]) -> T.StructType:
+    """The schema with text columns grown to lengths; a column never shrinks, nor grows over MOST_VARCHAR."""
+    return with_lengths(schema, {f.name: min(max(lengths.get(f.name, 0), length_of(f) or 256), MOST_VARCHAR) for f in schema.fields})
+
+
+def column_metadata(spark, schema: T.StructType) -> DataFrame:
+    """(column_name, data_type, max_length, is_nullable) of a table's schema, in order."""
+    rows = [(i + 1, f.name, warehouse_type(f.dataType).partition("(")[0] if length_of(f) else warehouse_type(f.dataType), length_of(f), f.nullable) for i, f in enumerate(schema.fields)]
+    return spark.createDataFrame(rows, "ordinal int, column_name string, data_type string, max_length int, is_nullable boolean")
+
+
+def create_table_ddl(table: str, schema: T.StructType, keys: list[str], using: str | None = None) -> str:
+    """CREATE TABLE of a frame's schema; keys are NOT NULL. In warehouse types, or in Spark's own for a table `using` a source."""
+    kind = (lambda t: t.simpleString()) if using else warehouse_type
+    cols = ", ".join(f"{f.name} {kind(f.dataType)}{' NOT NULL' if f.name in keys else ''}" for f in schema.fields)
+    return f"CREATE TABLE {table} ({cols})" + (f" USING {using}" if using else "")
+
+
+def grown(target: T.StructType, df: DataFrame) -> T.StructType:
+    """The target's schema, wide enough for df: texts as long as its longest (plus 10), integers of its least and largest.
+
+    One pass over df. An integer grows to the smallest type that holds both; a text not over MOST_VARCHAR.
+    """
+    have = set(df.columns)
+    texts = {f.name: length_of(f) or 256 for f in target.fields if f.name in have and isinstance(f.dataType, T.StringType)}
+    whole = {f.name: f.dataType.simpleString() for f in target.fields if f.name in have and f.dataType.simpleString() in dict(INTEGERS) and isinstance(df.schema[f.name].dataType, T.IntegralType)}
+    if not texts and not whole:
+        return target
+    need = {r.column_name: r.needed_type for r in widen_report(df, texts, whole).collect()}
+    lengths = {c: int(t[8:-1]) for c, t in need.items() if c in texts}
+    out = alter_lengths(target, lengths)
+    return T.StructType([T.StructField(f.name, spark_type(need[f.name]) if f.name in whole and f.name in need else f.dataType, f.nullable, f.metadata) for f in out.fields])
 
 
 def default_for(t: T.DataType) -> Column:
@@ -54,7 +97,7 @@ def backfill(df: DataFrame, target: T.StructType, policy: str = "default") -> Da
 def widened(target: T.StructType, df: DataFrame) -> T.StructType:
     """The target's schema with the columns that only df has added, nullable."""
     have = {f.name for f in target.fields}
-    return T.StructType([*target.fields, *[T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name not in have]])
+    return T.StructType([*target.fields, *[T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema.fields if f.name not in have]])
 
 
 def align(df: DataFrame, target: T.StructType, policy: str = "default") -> DataFrame:

@@ -155,6 +155,20 @@ def scd2_rerun_same_day(spark, d):
     return dimensions.scd2(_scd2(spark, d), _batch(spark, d), "customer_key", ["customer_id"], ["segment", "nation_id"], _DAY1)
 
 
+@query(f"""WITH {_DIM}, late AS (SELECT customer_id, 'LATE' AS segment FROM src WHERE customer_id % 3 = 0 UNION ALL SELECT customer_id + 10000000, 'LATE' FROM src WHERE customer_id % 60 = 0 UNION ALL SELECT customer_id + 20000000, 'LATE' FROM src WHERE customer_id % 50 = 0),
+v AS (SELECT s.* FROM scd2 s JOIN late USING (customer_id) WHERE DATE '2024-01-15' BETWEEN effective_date AND coalesce(end_date, DATE '9999-12-31')),
+n AS (SELECT customer_id, max(version) AS m, min(effective_date) FILTER (effective_date > DATE '2024-01-15') AS nx FROM scd2 GROUP BY 1),
+todo AS (SELECT v.customer_id IS NULL AS g, l.customer_id, v.name, l.segment, v.nation_id, CASE WHEN v.customer_id IS NULL THEN n.nx - 1 ELSE v.end_date END AS end_date, CASE WHEN v.customer_id IS NULL THEN n.nx IS NULL ELSE v.is_current END AS is_current, coalesce(n.m, 0) + 1 AS version
+ FROM late l LEFT JOIN v USING (customer_id) LEFT JOIN n USING (customer_id))
+SELECT s.customer_key, s.customer_id, s.name, s.segment, s.nation_id, s.effective_date, CASE WHEN v.customer_key IS NULL THEN s.end_date ELSE DATE '2024-01-14' END AS end_date, s.is_current AND v.customer_key IS NULL AS is_current, s.version FROM scd2 s LEFT JOIN v USING (customer_key)
+UNION ALL SELECT (SELECT max(customer_key) FROM scd2) + row_number() OVER (ORDER BY g, customer_id), customer_id, name, segment, nation_id, DATE '2024-01-15', CAST(end_date AS DATE), is_current, version FROM todo""")
+def scd2_late_batch(spark, d):
+    """A batch that is back-dated between two loads: into the history of known members, of members that began later, and new ones."""
+    c = tab(spark, d, "customer").select(C("c_custkey").alias("customer_id"))
+    ids = c.filter("customer_id % 3 = 0").union(c.filter("customer_id % 60 = 0").select(C("customer_id") + 10_000_000)).union(c.filter("customer_id % 50 = 0").select(C("customer_id") + 20_000_000))
+    return dimensions.scd2(_scd2(spark, d), ids.withColumn("segment", F.lit("LATE")), "customer_key", ["customer_id"], ["segment", "nation_id"], "2024-01-15")
+
+
 @query(f"WITH {_DIM} SELECT customer_id, segment FROM chg")
 def scd2_change_detect(spark, d):
     b, c = _batch(spark, d).alias("b"), _dim(spark, d).alias("c")
@@ -224,6 +238,13 @@ def surrogate_keys(spark, d):
     return dimensions.numbered(tab(spark, d, "supplier").select("s_nationkey", "s_name", "s_suppkey"), "supplier_key", ["s_nationkey", "s_name"])
 
 
+@query("SELECT row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey) AS line_key, l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem")
+def surrogate_keys_large(spark, d):
+    """A key for every line, after a shuffle whose rows come in any order."""
+    lines = tab(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey").repartition(7)
+    return dimensions.numbered(lines, "line_key", ["l_partkey", "l_orderkey"])
+
+
 @query("""WITH dim AS (SELECT row_number() OVER (ORDER BY c_custkey) AS customer_key, c_custkey FROM customer WHERE c_custkey % 10 <> 3),
 lost AS (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM dim))
 SELECT (SELECT max(customer_key) FROM dim) + row_number() OVER (ORDER BY c_custkey) AS customer_key, c_custkey, TRUE AS is_inferred FROM lost""")
@@ -355,6 +376,16 @@ def dq_expectations(spark, d):
     return quality.expectations(tab(spark, d, "lineitem"), "lineitem", {"l_discount": (0.01, 0.09)}, {"l_returnflag": "^[ARN]$"})
 
 
+@query("""WITH r AS (SELECT 'null_check_o_orderpriority' AS check_name, count(*) FILTER (o_orderkey % 13 = 0) AS n FROM orders UNION ALL SELECT 'duplicate_check', 0)
+SELECT 'run-1' AS run_id, check_name, 'orders' AS table_name, CASE check_name WHEN 'duplicate_check' THEN 'o_orderkey' ELSE 'o_orderpriority' END AS column_name, CASE check_name WHEN 'duplicate_check' THEN 'DUPLICATE' ELSE 'NULL' END AS check_type,
+'0' AS expected, CAST(n AS VARCHAR) AS actual, n = 0 AS passed, CASE check_name WHEN 'duplicate_check' THEN 'DUPLICATE' ELSE 'NULL' END || ': expected 0, found ' || n AS details, TIMESTAMP '2024-02-01' AS checked_at FROM r""")
+def dq_results_table(spark, d):
+    """Checks as rows of the results table, with their run and details."""
+    o = _holes(spark, d)
+    found = quality.nulls(o, "orders", "o_orderpriority").unionByName(quality.duplicates(o, "orders", ["o_orderkey"]))
+    return quality.logged(found, "run-1", F.lit("2024-02-01").cast("timestamp")).withColumn("checked_at", C("checked_at").cast("timestamp_ntz"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 13 = 0")
 def key_null_guard(spark, d):
     return quality.key_null_guard(_holes(spark, d), ["o_orderkey", "o_orderpriority"])[1].select("o_orderkey", "o_custkey")
@@ -430,6 +461,17 @@ def widen_report(spark, d):
     return schema.widen_report(c, {"c_name": 10, "c_mktsegment": 256}, {"k": "smallint", "j": "int"})
 
 
+@query("""WITH m AS (SELECT max(length(c_name)) AS n, max(c_custkey * 100) AS k FROM customer)
+SELECT 1 AS ordinal, 'c_name' AS column_name, 'VARCHAR' AS data_type, CAST(CASE WHEN n > 10 THEN least(n + 10, 65535) ELSE 10 END AS INTEGER) AS max_length, TRUE AS is_nullable FROM m
+UNION ALL SELECT 2, 'c_mktsegment', 'VARCHAR', 256, TRUE UNION ALL SELECT 3, 'k', CASE WHEN k <= 32767 THEN 'SMALLINT' WHEN k <= 2147483647 THEN 'INTEGER' ELSE 'BIGINT' END, NULL, TRUE FROM m UNION ALL SELECT 4, 'j', 'INTEGER', NULL, TRUE""")
+def widen_applied(spark, d):
+    """A table's columns after they have grown for a batch: texts in length, integers in type."""
+    c = tab(spark, d, "customer").select("c_name", "c_mktsegment", (C("c_custkey") * 100).alias("k"), C("c_nationkey").alias("j"))
+    kinds = {"c_name": T.StringType(), "c_mktsegment": T.StringType(), "k": T.ShortType(), "j": T.IntegerType()}
+    target = schema.with_lengths(T.StructType([T.StructField(n, t) for n, t in kinds.items()]), {"c_name": 10})
+    return schema.column_metadata(spark, schema.grown(target, c))
+
+
 @query("SELECT * FROM (VALUES ('c_acctbal', 'type double -> string', TRUE), ('c_mktsegment', 'removed', TRUE), ('c_new', 'added', FALSE), ('c_name', 'varchar_grown', FALSE), ('c_custkey', 'key_type bigint -> int', TRUE)) v(column_name, change, is_breaking)")
 def contract_diff(spark, d):
     old = tab(spark, d, "customer")
@@ -483,17 +525,21 @@ def error_threshold(spark, d):
     return quality.within_errors(schema.quarantine(x, {"v": "double"})[1], x, "events", 40.0)
 
 
-@query("SELECT CASE i WHEN 0 THEN 'trailer_rows' ELSE 'trailer_o_totalprice' END AS check_name, 'orders' AS table_name, CASE i WHEN 0 THEN '*' ELSE 'o_totalprice' END AS column_name, 'TRAILER' AS check_type, CASE i WHEN 0 THEN '1' ELSE '2.5' END AS expected, CASE i WHEN 0 THEN CAST(n AS VARCHAR) ELSE '2.5' END AS actual, i = 1 OR n = 1 AS passed FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey < 3), range(2) g(i)")
+@query("""WITH o AS (SELECT count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(38,2))) AS t FROM orders)
+SELECT CASE i WHEN 0 THEN 'trailer_rows' ELSE 'trailer_o_totalprice' END AS check_name, 'orders' AS table_name, CASE i WHEN 0 THEN '*' ELSE 'o_totalprice' END AS column_name, 'TRAILER' AS check_type,
+CASE i WHEN 0 THEN CAST(n + 1 AS VARCHAR) ELSE CAST(t AS VARCHAR) END AS expected, CASE i WHEN 0 THEN CAST(n AS VARCHAR) ELSE CAST(t AS VARCHAR) END AS actual, i = 1 AS passed FROM o, range(2) g(i)""")
 def trailer_check(spark, d):
-    """A trailer with a wrong row count and a right sum."""
-    o = tab(spark, d, "orders").filter("o_orderkey < 3").withColumn("o_totalprice", F.when(C("o_orderkey") == 0, 2.5).otherwise(0.0))
-    return quality.trailer(o, "orders", 1, "o_totalprice", 2.5)
+    """All orders against a trailer with their sum and one row too many."""
+    o = tab(spark, d, "orders")
+    told = o.agg(F.count("*").alias("n"), F.sum(C("o_totalprice").cast("decimal(38,2)")).alias("t")).first()
+    return quality.trailer(o, "orders", told.n + 1, "o_totalprice", told.t)
 
 
-@query("SELECT c_custkey, o_orderkey, c_custkey IS NULL AS no_customer FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 3 = 0) o ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey, c_custkey IS NULL AS no_customer FROM customer FULL JOIN (SELECT CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS k, o_orderkey FROM orders) o ON c_custkey = k")
 def full_outer_join(spark, d):
-    c, o = tab(spark, d, "customer").filter("c_custkey % 2 = 0"), tab(spark, d, "orders").filter("o_custkey % 3 = 0")
-    return c.join(o, C("c_custkey") == C("o_custkey"), "full").select("c_custkey", "o_orderkey", C("c_custkey").isNull().alias("no_customer"))
+    """Whole tables; a third of the customers' orders name customers that there are not."""
+    o = tab(spark, d, "orders").select(F.when(C("o_custkey") % 3 == 0, C("o_custkey") + 10_000_000).otherwise(C("o_custkey")).alias("k"), "o_orderkey")
+    return tab(spark, d, "customer").join(o, C("c_custkey") == C("k"), "full").select("c_custkey", "o_orderkey", C("c_custkey").isNull().alias("no_customer"))
 
 
 @query("SELECT a.n_name AS name, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -597,9 +643,10 @@ def point_in_time(spark, d):
     return reports.totals_by(f, _scd2(spark, d), C("k") == C("customer_key"), [C("segment"), C("version")], {"total": C("amount")})
 
 
-@query(f"WITH {_DIM} SELECT * FROM scd2 WHERE customer_id IN (7, 14, 21)")
+@query(f"WITH {_DIM} SELECT * FROM scd2")
 def dimension_history(spark, d):
-    return _scd2(spark, d).filter(C("customer_id").isin(7, 14, 21)).orderBy("customer_id", "version")
+    """Every member's versions in order."""
+    return _scd2(spark, d).orderBy("customer_id", "version")
 
 
 @query("SELECT c_name, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spend FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1")
@@ -730,12 +777,19 @@ def repartition_join(spark, d):
 
 @query("SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def bucketed_join(spark, d):
+    """Two bucketed tables, joined without a shuffle; the tables are dropped again."""
     line = tab(spark, d, "lineitem").select(C("l_orderkey").alias("k"), "l_linenumber")
     orders = tab(spark, d, "orders").select(C("o_orderkey").alias("k"), "o_totalprice")
     run = uuid.uuid4().hex[:12]  # a session without a shared catalog may find the folders of another's tables
-    joins.write_bucketed(line, f"martflow_lines_{run}", ["k"], 8)
-    joins.write_bucketed(orders, f"martflow_orders_{run}", ["k"], 8)
-    return joins.bucketed_join(spark, f"martflow_lines_{run}", f"martflow_orders_{run}", ["k"]).agg(F.count("*").alias("n"), reports.money("o_totalprice").alias("total"))
+    names = [f"martflow_lines_{run}", f"martflow_orders_{run}"]
+    try:
+        for df, name in zip((line, orders), names):
+            joins.write_bucketed(df, name, ["k"], 8)
+        out = joins.bucketed_join(spark, *names, ["k"]).agg(F.count("*").alias("n"), reports.money("o_totalprice").alias("total"))
+        return spark.createDataFrame(out.collect(), out.schema)
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
@@ -779,6 +833,18 @@ def lambda_reconcile(spark, d):
     return lambda_view(batch, by(e.filter("event_id % 10 <> 0")).filter(C("hour") >= F.lit("2024-01-01").cast("timestamp_ntz")).join(batch.select("user_id", "hour"), ["user_id", "hour"], "left_anti").filter(C("hour") >= cut), ["user_id", "hour"])
 
 
+@query("""WITH b AS (SELECT user_id, time_bucket(INTERVAL 60 MINUTE, ts) AS hour, count(*) AS n, max(event_id) AS seen FROM events WHERE event_id % 10 <> 0 AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL),
+s AS (SELECT user_id, time_bucket(INTERVAL 60 MINUTE, ts) AS hour, count(*) AS n, max(event_id) AS seen FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL)
+SELECT user_id, hour, CASE WHEN s.seen > b.seen OR b.seen IS NULL THEN s.n ELSE b.n END AS n, CASE WHEN s.seen > b.seen OR b.seen IS NULL THEN s.seen ELSE b.seen END AS seen FROM b FULL JOIN s USING (user_id, hour)""")
+def lambda_merge(spark, d):
+    """A batch layer that lacks some events, merged with a speed layer: new windows are added, changed ones replaced."""
+    from martflow.streaming.stream import lambda_merge
+
+    e, ntz = tab(spark, d, "events"), lambda x: F.lit(x).cast("timestamp_ntz")
+    by = lambda df: df.groupBy("user_id", F.window("ts", "60 minutes").alias("w")).agg(F.count("*").alias("n"), F.max("event_id").alias("seen")).select("user_id", C("w.start").alias("hour"), "n", "seen")
+    return lambda_merge(by(e.filter("event_id % 10 <> 0").filter(C("ts") < ntz("2024-01-20"))), by(e.filter(C("ts") >= ntz("2024-01-10"))), ["user_id", "hour"], "seen")
+
+
 @query("SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 2 DAY")
 def incremental_watermark(spark, d):
     return ingest.after_time(tab(spark, d, "events").select("event_id", "ts"), "ts", F.lit("2024-01-20").cast("timestamp_ntz"), 2)
@@ -875,6 +941,14 @@ def route_files(spark, d):
     return audit.route_files(files, jobs)
 
 
+@query("""SELECT path, CASE WHEN starts_with(path, 'in/click/') THEN 'clicks' WHEN regexp_matches(path, '_[0-9]*7\\.csv$') THEN 'sevens' WHEN starts_with(path, 'in/view/') THEN 'views' END AS job_id,
+CASE WHEN starts_with(path, 'in/click/') OR starts_with(path, 'in/view/') OR regexp_matches(path, '_[0-9]*7\\.csv$') THEN 'triggered' ELSE 'not_configured' END AS outcome FROM (SELECT 'in/' || event_type || '/file_' || event_id || '.csv' AS path FROM events)""")
+def route_by_pattern(spark, d):
+    files = tab(spark, d, "events").select(F.concat(F.lit("in/"), "event_type", F.lit("/file_"), C("event_id").cast("string"), F.lit(".csv")).alias("path"))
+    rules = [(1, "prefix", "IN/click/", "clicks"), (2, "regex", r"_[0-9]*7\.csv$", "sevens"), (3, "prefix", "in/view/", "views")]
+    return audit.route_by_pattern(files, spark.createDataFrame(rules, "priority int, kind string, pattern string, job_id string"))
+
+
 @query("SELECT event_type || event_id AS key, CAST(event_id AS VARCHAR) AS etag FROM events WHERE event_id % 3 <> 0 OR event_id % 9 = 0")
 def file_ledger(spark, d):
     files = tab(spark, d, "events").select(F.concat("event_type", C("event_id").cast("string")).alias("key"), C("event_id").cast("string").alias("etag"), "event_id")
@@ -885,6 +959,24 @@ def file_ledger(spark, d):
 # ---- privacy and scalar functions
 
 
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP '2024-02-01' END AS deleted_at FROM customer WHERE c_custkey % 14 <> 0")
+def soft_delete(spark, d):
+    """Customers marked as deleted; those of an earlier day are no longer live."""
+    c = tab(spark, d, "customer").select("c_custkey", "c_name")
+    before = privacy.live(privacy.soft_deleted(c, c.filter("c_custkey % 14 = 0"), ["c_custkey"], F.lit("2024-01-01").cast("timestamp"))).drop("deleted_at")
+    return privacy.soft_deleted(before, c.filter("c_custkey % 7 = 0"), ["c_custkey"], F.lit("2024-02-01").cast("timestamp")).withColumn("deleted_at", C("deleted_at").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def two_catalog_join(spark, d):
+    """A table of the session's catalog joined with one that another name resolves to."""
+    from martflow.sources import catalog
+
+    tab(spark, d, "orders").select("o_orderkey", "o_totalprice", C("o_custkey").alias("k")).createOrReplaceTempView("martflow_lake_orders")
+    tab(spark, d, "customer").select("c_name", C("c_custkey").alias("k")).createOrReplaceGlobalTempView("martflow_customers")
+    return catalog.federated_join(spark, "martflow_lake_orders", "global_temp.martflow_customers", ["k"]).select("o_orderkey", "o_totalprice", "c_name")
+
+
 @query("SELECT c_custkey, repeat('*', length(c_name) - 4) || right(c_name, 4) AS masked FROM customer")
 def pii_mask(spark, d):
     return tab(spark, d, "customer").select("c_custkey", privacy.mask_last(C("c_name")).alias("masked"))

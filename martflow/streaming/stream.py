@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from martflow.operators.joins import broadcast_if_small
-from martflow.operators.merge import insert_only
+from martflow.operators.merge import upsert_if_newer
 from martflow.operators.windows import window_sums
 from martflow.sources.store import SnapshotTable
 
@@ -52,13 +52,10 @@ def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
 
 
 def merge_sink(table: SnapshotTable, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that adds each key once: a batch that comes again changes nothing."""
+    """A sink that adds each key once: a batch that comes again changes nothing. Nothing that is there is written again."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        if not table.exists():
-            table.write(insert_only(batch.limit(0), batch, keys))
-        else:
-            table.update(lambda current: insert_only(current, batch, keys))
+        table.insert_only(batch, keys)
 
     return sink
 
@@ -73,6 +70,11 @@ def lambda_view(batch: DataFrame, speed: DataFrame, keys: list[str]) -> DataFram
     return batch.unionByName(speed.join(batch.select(*keys), keys, "left_anti"))
 
 
+def lambda_merge(batch: DataFrame, speed: DataFrame, keys: list[str], updated: str) -> DataFrame:
+    """Both layers' windows: the speed layer adds those that the batch layer lacks and replaces those that it has newer."""
+    return upsert_if_newer(batch, speed, keys, updated)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State in RocksDB on local disk instead of the executors' heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
