@@ -9,13 +9,15 @@ N-grams are N consecutive letters of the lower-cased text within a word, with on
 that is not a letter is an edge. The filters hold the TOP most frequent n-grams of each language that are not
 foreign to it (RARE).
 
-Fitting reads the whole table's doc_id and lang, then texts of at most about PER_LANGUAGE rows a language, the lowest by
-a hash of doc_id: a documented bound, so that the model's cost does not grow with the corpus. Prediction reads the text
-alone, whole, whatever its length, in a narrow map; the filter (a few MB) travels as a broadcast variable.
+Fitting counts the rows of every language over the whole table, then reads the texts of about PER_LANGUAGE distinct rows
+of each, those least by a hash of the text, up to CHARS characters together: documented bounds, exact at any number of
+rows, so the model's cost does not grow with the corpus. Where the labels name more than LANGUAGES languages, the most
+frequent are learned. Prediction reads the text alone, whole, whatever its length, in a narrow map; the filter (2 MB for
+each 64 languages) travels as a broadcast variable.
 
 Defined results: `und` with score 0 where the text is null or has no letter. A text with letters but no n-gram that any
-filter knows takes the language with the most training rows, score 0. Ties go to the language that sorts first. Without
-any training rows every text is `und`. Repeated rows repeat.
+filter knows takes the language with the most training rows (ties: the first by name), score 0. Other ties go to the
+language that sorts first. Without any training rows every text is `und`. Repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.shared import annotate, mix64, table
+from martflow.llm.shared import annotate, content_hash, mix64, sampled, table
 
 N = (2, 3, 4)
 K = 3
@@ -36,7 +38,7 @@ TOP = 20_000
 #: A language holds an n-gram if it is at least so frequent there as a share of where it is most frequent: foreign
 #: passages within a language's texts do not enter its filter.
 RARE = 0.5
-PER_LANGUAGE = 800
+PER_LANGUAGE, CHARS, LANGUAGES = 800, 1 << 25, 1024
 UNKNOWN = "und"
 #: The pipeline rejects texts whose best language covers less of their n-grams than this.
 LEAST_SCORE = 0.3
@@ -128,8 +130,8 @@ class Filters:
         return np.where(lettered, best, -1), np.where(lettered, top, 0.0)
 
 
-def fit(samples: dict[str, list[str]]) -> Filters:
-    """Filters of the languages named in samples, from the texts of each."""
+def fit(samples: dict[str, list[str]], rows: dict[str, int] | None = None) -> Filters:
+    """Filters of the languages named in samples, from the texts of each; rows: how many training rows each has."""
     languages = sorted(samples)
     tops: list[tuple[np.ndarray, np.ndarray]] = []
     for name in languages:
@@ -152,7 +154,7 @@ def fit(samples: dict[str, list[str]]) -> Filters:
         for k in range(K):
             bits[i // 64, _slots(h[held], k)] |= np.uint64(1) << np.uint64(i % 64)
     full = np.array([((bits[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    sizes = [len(samples[x]) for x in languages]
+    sizes = [(rows or {}).get(x, len(samples[x])) for x in languages]
     return Filters(languages, bits, full**K, np.maximum(own, 1e-9), int(np.argmax(sizes)) if sizes else 0)
 
 
@@ -176,20 +178,17 @@ def remainder(key: str, of: int) -> Column:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Filters:
-    """Fit on rows of docs that have text and lang: all of a language, or about per_language of them by a hash of key."""
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).filter("l is not null")
-    totals = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    """Fit on rows of docs that have text and lang: all distinct texts of a language, or per_language of them."""
+    rows = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).filter("l is not null and t is not null").withColumn("h", content_hash("t"))
+    by = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d"))
+    totals = by.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
     if not totals:
         return fit({})
-    wanted = F.lit(False)
-    for name, n in totals.items():
-        share = F.lit(per_language / n >= 1) | (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1e6 * per_language / n))
-        wanted = wanted | ((F.col("l") == name) & share)
-    picked = rows.filter(wanted & F.col("t").isNotNull()).select("l", "k", "t").toArrow()
+    picked = sampled(rows, "l", {r.l: r.d for r in totals}, per_language, CHARS).select("l", "h", "t").toArrow()
     samples: dict[str, list[tuple]] = {}
-    for name, k, t in zip(*(picked.column(c).to_pylist() for c in ("l", "k", "t"))):
-        samples.setdefault(name, []).append((str(k), t))
-    return fit({name: [t for _, t in sorted(found)] for name, found in samples.items()})
+    for name, h, t in zip(*(picked.column(c).to_pylist() for c in ("l", "h", "t"))):
+        samples.setdefault(name, []).append((h, t))
+    return fit({name: [t for _, t in sorted(found)] for name, found in samples.items()}, {r.l: r.n for r in totals})
 
 
 def language_id(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:

@@ -9,8 +9,10 @@ within a pass. Within a shard, draws are ordered by a keyed hash.
 
 Only sizes travel: the texts are read once to count words (a JVM expression), and again where texts are put out. A row's
 place in its source's stream is a prefix sum in two levels, within buckets of about PER_BUCKET rows and over the bucket
-totals, so that a source with a third of all rows is spread like any other. The driver holds one row for each source, and
-the quotas by source and shard, at most MOST_QUOTAS of them: shards grow with the corpus.
+totals, so that a source with a third of all rows is spread like any other. Rows alike, where they are more than a
+bucket holds, have buckets of their own, as many as it takes: which of them stands where makes no difference. The driver
+holds one row for each source, and the quotas by source and shard, at most MOST_QUOTAS of them: shards grow with the corpus.
+Draws are exact at any size: below 10^9 blocks by numpy, above by rejection from the same distribution.
 
 Targets: sources in code point order (null last) weigh WEIGHTS in turn and share `share` times all words by weight; a
 source stops at `cap` times its own words, and what it leaves is shared by weight among the others until none is above.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, exp, lgamma, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martflow.llm.feistel import Feistel
-from martflow.llm.shared import BASE, drop_state, mix64, table, written
+from martflow.llm.shared import BASE, Scratch, drop_state, mix64, row_marks, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -41,7 +43,7 @@ SHARE, CAP = 1.5, 2.0
 BLOCK = 32
 SHARD_BLOCKS = 1 << 16
 MOST_QUOTAS = 1 << 22
-PER_BUCKET = 20_000
+PER_BUCKET = 4096
 SEED = 20240229
 DRAWS = "array<struct<shard:int,place:long,pass:int,first:long,words:long>>"
 
@@ -64,23 +66,74 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: f
     return out
 
 
-def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """A draw of `take` from an urn that holds counts, by kind.
+def _stirling(n: float) -> float:
+    """log(n!) less Stirling's approximation of it, n > 0."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi)
+    m = 1 / (n * n)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - m / 1188) * m) * m) * m) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where x is near mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            more = total + term / (2 * j + 1)
+            if more == total:
+                return total
+            total, j = more, j + 1
+    return (x * log(x / mean) if x > 0 else 0.0) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """The logarithm of the binomial probability, as accurate at 10^15 as at 10 (saddle-point expansion)."""
+    if x == 0:
+        return n * log1p(-p) if p < 0.5 else n * log(q)
+    if x == n:
+        return n * log(p) if p < 0.5 else n * log1p(-q)
+    out = _stirling(n) - _stirling(x) - _stirling(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return out + 0.5 * log(n / (2 * pi * x * (n - x)))
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of `take` draws without return are good: exact at any size.
 
-    numpy draws exactly below 10^9 items; above, each kind in turn gets its conditional mean plus normal noise of the
-    conditional variance, rounded and held within what leaves a whole solution.
+    Below 10^9 by numpy. Above, by rejection from a flat top with exponential tails, which lies over every log-concave
+    distribution with the same mode; about three trials a draw. Probabilities are good to about 1e-12.
     """
+    total = good + bad
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    p, q = take / total, (total - take) / total
+    mass = lambda k: _log_binomial(k, good, p, q) + _log_binomial(take - k, bad, p, q)
+    mode = min(max((take + 1) * (good + 1) // (total + 2), low), high)
+    top = mass(mode)
+    peak = exp(top - _log_binomial(take, total, p, q))
+    width = 1 + peak / 2
+    while True:
+        u, w = rng.random(), rng.random()
+        y = rng.random() * width / peak if u <= width / (1 + width) else (width + rng.standard_exponential()) / peak
+        k = mode + (1 if rng.random() < 0.5 else -1) * round(y)
+        if low <= k <= high and w * min(1.0, exp(width - peak * y)) <= exp(mass(k) - top):
+            return k
+
+
+def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """A draw of `take` from an urn that holds counts, by kind: each kind's part in turn, given those before it."""
     total = int(counts.sum())
     if total < 1_000_000_000:
         return rng.multivariate_hypergeometric(counts, take, method="marginals")
     out = np.zeros_like(counts)
     for i, c in enumerate(counts.tolist()):
-        rest = total - c
-        mean = take * c / total
-        spread = (take * (c / total) * (rest / total) * ((total - take) / max(total - 1, 1))) ** 0.5
-        out[i] = min(max(round(mean + spread * rng.standard_normal()), take - rest, 0), c, take)
+        out[i] = hypergeometric(c, total - c, take, rng)
         take -= int(out[i])
-        total = rest
+        total -= c
     return out
 
 
@@ -170,21 +223,31 @@ def _named(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source)))
 
 
-def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(key, mark, size, source, source_size, target, taken, draws) of each row of docs; mark is a hash of its text.
+def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+    """(key, m1, m2, size, source, source_size, target, taken, draws) of each row of docs; m1 and m2 are its row_marks.
 
     draws lists what the mixture takes of the row: output shard, sort key within it, pass, first word, words.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), _named(source).alias("name"), F.col(text).alias("t"))
-    sized = written(rows.select("key", "name", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("t").alias("mark")), "sizes")
+    rows = docs.select(F.col(key).alias("key"), _named(source).alias("name"), F.col(text).alias("t"), *row_marks(docs))
+    counted = rows.select("key", "name", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("t").alias("mark"), "m1", "m2")
+    sized = (scratch.written if scratch else written)(counted.withColumn("no", F.monotonically_increasing_id()), "sizes")
     totals = [(r.name[1:] if r.name[0] == "+" else None, r.size) for r in sized.groupBy("name").agg(F.sum("size").alias("size")).collect()]
     sources = spark.sparkContext.broadcast(plan_sources(totals, weights, share, cap, block, seed))
     many = ceil(sized.count() / PER_BUCKET) or 1
-    dealt = sized.withColumn("bucket", F.pmod(F.xxhash64("key", "mark"), F.lit(many)))
-    starts = dealt.groupBy("name", "bucket").agg(F.sum("size").alias("n")).select("name", "bucket", (F.sum("n").over(W.partitionBy("name").orderBy("bucket")) - F.col("n")).alias("base"))
-    inner = F.sum("size").over(W.partitionBy("name", "bucket").orderBy("key", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    placed = dealt.withColumn("inner", inner).join(starts, ["name", "bucket"]).select("key", "mark", "name", "size", (F.col("base") + F.col("inner")).alias("start"))
+    dealt = sized.withColumns({"bucket": F.pmod(F.xxhash64("key", "mark"), F.lit(many)), "part": F.lit(0).cast("long")})
+    if (dealt.groupBy("bucket").count().agg(F.max("count").alias("n")).first().n or 0) > 2 * PER_BUCKET:
+        # at most one group in PER_BUCKET rows is so large; it follows its bucket's other rows
+        alike = dealt.groupBy("key", "mark", "name").agg(F.count("*").alias("copies")).filter(F.col("copies") > PER_BUCKET)
+        parts = alike.select(F.struct("key").alias("k"), F.col("mark").alias("_mark"), F.col("name").alias("_name"), F.ceil(F.col("copies") / PER_BUCKET).alias("_parts"))
+        hot = F.struct("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("_mark")) & (F.col("name") == F.col("_name"))
+        own = F.concat_ws(":", F.lpad(F.col("bucket").cast("string"), 19, "0"), F.hex("mark"), F.coalesce(F.col("key").cast("string"), F.lit("")))
+        dealt = dealt.join(parts, hot, "left").select(*dealt.columns, "_parts")
+        dealt = dealt.withColumns({"part": F.coalesce(F.pmod("no", F.col("_parts")), F.lit(0).cast("long")), "bucket": F.when(F.col("_parts").isNull(), F.lpad(F.col("bucket").cast("string"), 19, "0")).otherwise(own)}).drop("_parts")
+    starts = dealt.groupBy("name", "bucket", "part").agg(F.sum("size").alias("n"))
+    starts = starts.select("name", "bucket", "part", (F.sum("n").over(W.partitionBy("name").orderBy("bucket", "part")) - F.col("n")).alias("base"))
+    inner = F.sum("size").over(W.partitionBy("name", "bucket", "part").orderBy("key", "mark", "m1", "m2").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    placed = dealt.withColumn("inner", inner).join(starts, ["name", "bucket", "part"]).select("key", "mark", "name", "size", "m1", "m2", (F.col("base") + F.col("inner")).alias("start"))
 
     def run(batches):
         drop_state(__name__)
@@ -204,12 +267,12 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
             draws = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), struct)
             source = pa.array([known[i][0] for i in range(len(known))], pa.string()).take(pa.array(which))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("mark"), b.column("size"), source, pa.array(np.array([p.size for p in plans])[which]), pa.array(np.array([p.target for p in plans])[which]), pa.array(taken), draws],
-                names=["key", "mark", "size", "source", "source_size", "target", "taken", "draws"],
+                [b.column("key"), b.column("m1"), b.column("m2"), b.column("size"), source, pa.array(np.array([p.size for p in plans])[which]), pa.array(np.array([p.target for p in plans])[which]), pa.array(taken), draws],
+                names=["key", "m1", "m2", "size", "source", "source_size", "target", "taken", "draws"],
             )
 
     kind = dict(docs.dtypes)[key]
-    return placed.mapInArrow(run, f"key {kind}, mark long, size long, source string, source_size long, target double, taken long, draws {DRAWS}").withColumnRenamed("key", key)
+    return placed.mapInArrow(run, f"key {kind}, m1 long, m2 long, size long, source string, source_size long, target double, taken long, draws {DRAWS}").withColumnRenamed("key", key)
 
 
 def pieces(text: str, draws: list[dict]) -> list[str]:
@@ -229,32 +292,50 @@ def pieces(text: str, draws: list[dict]) -> list[str]:
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed corpus: docs' columns, one row for each pass that takes of a row, with text as taken, in shard order.
 
-    Added columns: mix_shard and mix_place of the row's first draw. The texts shuffle once, to their rows' draws.
+    Added columns: mix_shard and mix_place of the row's first draw; columns of docs with these names give way. The texts
+    shuffle once, to their rows' draws. Rows alike in all columns share one text, sent once by each map task.
     """
-    plan = mix_plan(docs, key, text, source, **how).filter(F.size("draws") > 0)
-    # rows alike in key, text and source share one text: they join by a hash of the three, so that texts shuffle once
-    plan = plan.select(F.xxhash64(key, "mark", "source").alias("alike"), F.col(key).alias("k1"), F.col("mark").alias("m1"), F.col("source").alias("s1"), "draws")
-    names = docs.columns
-    mine = docs.withColumn("m2", F.xxhash64(text)).withColumn("alike", F.xxhash64(key, "m2", source))
-    mine = mine.withColumn("n2", F.row_number().over(W.partitionBy("alike").orderBy(key, "m2", source))).filter("n2 = 1")
-    same = F.col(key).eqNullSafe(F.col("k1")) & (F.col("m2") == F.col("m1")) & F.col(source).eqNullSafe(F.col("s1"))
-    both = mine.join(plan, "alike").filter(same)
+    docs = docs.drop("mix_shard", "mix_place")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plan = mix_plan(docs, key, text, source, **how).filter(F.size("draws") > 0).select("m1", "m2", "draws")
+    m1, m2 = row_marks(docs)
+    mine = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], m1, m2)
+
+    def one_a_task(batches):
+        drop_state(__name__)
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            take = []
+            for i, pair in enumerate(zip(b.column("m1").to_pylist(), b.column("m2").to_pylist())):
+                if pair not in seen:
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(pair)
+                    take.append(i)
+            yield b.take(pa.array(take, pa.int64())) if len(take) < b.num_rows else b
+
+    mine = mine.mapInArrow(one_a_task, mine.schema)
+    mine = mine.withColumn("n", F.row_number().over(W.partitionBy("m1", "m2").orderBy(F.lit(0)))).filter("n = 1").drop("n")
+    both = mine.join(plan, ["m1", "m2"]).drop("m1", "m2")
     both = both.select(*names, "draws", F.explode(F.array_distinct(F.transform("draws", lambda d: d["pass"]))).alias("mix_pass"))
     both = both.withColumn("draws", F.filter("draws", lambda d: d["pass"] == F.col("mix_pass")))
     both = both.withColumns({"mix_shard": F.col("draws")[0]["shard"], "mix_place": F.col("draws")[0]["place"]})
-    where = both.columns.index(text)
+    where = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            texts = pa.array(["\n".join(pieces(t, d)) for t, d in zip(b.column(text).to_pylist(), b.column("draws").to_pylist())], b.schema.field(text).type)
-            yield b.set_column(where, b.schema.field(text), texts)
+            kind = b.schema.field(where).type
+            texts = pa.array(["\n".join(pieces(t, d)) for t, d in zip(b.column(where).to_pylist(), b.column("draws").to_pylist())], kind)
+            yield b.set_column(where, b.schema.field(where), texts)
 
     cut = both.mapInArrow(run, both.schema)
-    return cut.select(*names, "mix_shard", "mix_place")
+    return cut.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)], "mix_shard", "mix_place")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    scratch = Scratch(spark)
+    plan = mix_plan(table(spark, sf_dir, "documents"), scratch=scratch)
+    return scratch.result(plan.select("doc_id", "size", "source_size", "target", "taken"), "mixed")
 
 
 def mixed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

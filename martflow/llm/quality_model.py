@@ -9,11 +9,12 @@ The output is linear in the average, so a fitted model folds each row into one n
 text's score is the logistic function of its mean margin. That is the same score at a tenth of the reads, and the model
 to ship is one array of 2 ** BITS floats.
 
-Fitting takes at most about PER_CLASS labelled texts of each class, those lowest by a hash of doc_id: a documented
-bound. Everything else reads all rows. Scoring is a narrow map over whole texts.
+Fitting takes at most PER_CLASS labelled keys of each class, those least by a hash of the key, one text a key (of several
+the one with the least hash), and at most CHARS characters a class: documented bounds, exact at any number of rows.
+Everything else reads all rows. Scoring is a narrow map over whole texts.
 
-Defined results: a null or empty text, or one of white space only, has no features and scores the model's share for that,
-that of an average of zero: 0.5. A row with several labels counts with each of them. Without labelled rows of both classes every text scores 0.5.
+Defined results: a null or empty text, or one of white space only, has no features, so its average is zero and it scores
+0.5. A key with several labels counts with each of them. Without labelled rows of both classes every text scores 0.5.
 Repeated rows repeat.
 """
 
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.language_id import remainder
-from martflow.llm.shared import BASE, BYTE_CODE, SPACE, Words, annotate, mix64, table, text_blocks
+from martflow.llm.shared import BASE, BYTE_CODE, SPACE, Words, annotate, content_hash, mix64, sampled, table, text_blocks, threshold
 
 BITS = 18
 N = (3, 4)
 DIM = 12
 EPOCHS, RATE = 6, 0.5
-PER_CLASS = 2500
+PER_CLASS, CHARS = 2500, 1 << 25
 LEAST = 0.7
 
 
@@ -123,17 +124,19 @@ def scores(margins: np.ndarray, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> np.ndarray:
-    """Fit on the rows of docs that labels marks 0 or 1: all of a class, or about per_class of them by a hash of key."""
-    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
-    totals = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    """Fit on the rows of docs that labels marks 0 or 1: one text of every key of a class, or of per_class of them."""
+    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)").withColumn("h", content_hash("k"))
+    totals = {r.y: r.n for r in marks.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not totals:
         return fit([], [])
     wanted = F.lit(False)
-    for y, n in totals.items():
-        wanted = wanted | ((F.col("y") == y) & (F.lit(per_class / n >= 1) | (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1e6 * per_class / n))))
-    few = F.broadcast(marks.filter(wanted))  # about 2 * per_class rows
-    got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(few, "k").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "y", "t"))))
+    for y, n in totals.items():  # two at most
+        wanted = wanted | ((F.col("y") == y) & (F.col("h") <= F.lit(threshold(n, per_class))))
+    few = F.broadcast(marks.filter(wanted).distinct())  # about 2 * per_class keys a class
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(few, "k")
+    one = texts.groupBy("y", "h", "k").agg(F.min(F.struct(F.xxhash64("t").alias("g"), "t")).alias("one")).select("y", "h", F.col("one.t").alias("t"))
+    got = sampled(one, "y", totals, per_class, CHARS).select("h", "y", "t").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("h", "y", "t"))))
     return fit([t for _, _, t in rows], [y for _, y, _ in rows])
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
@@ -75,6 +76,35 @@ def row_marks(df: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts).alias("m1"), F.xxhash64(F.lit(2), *parts).alias("m2")
 
 
+#: Hashes that samples go by lie in 0 .. 2^63 - 1.
+MOST_HASH = 2**63
+
+
+def threshold(distinct: int, wanted: int) -> int:
+    """The hash below which about twice `wanted` of so many distinct values lie; all of them where they are fewer."""
+    return MOST_HASH - 1 if distinct <= 2 * wanted else MOST_HASH * 2 * wanted // distinct
+
+
+def content_hash(*columns: Column) -> Column:
+    return F.xxhash64(*columns).bitwiseAND(F.lit(MOST_HASH - 1))
+
+
+def sampled(rows: DataFrame, group: str, groups: dict, wanted: int, most_chars: int, text: str = "t") -> DataFrame:
+    """Of each group, the `wanted` rows with the least hash h, as long as their texts hold most_chars characters together.
+
+    rows: group, h, text; groups: {group: its distinct hashes, about}. Rows with one hash count once, so neither a
+    repeated row nor a repeated key makes the sample larger. Only about twice `wanted` rows of a group are ever compared:
+    a threshold on the hash leaves out the others in the scan, at any number of rows. The first row of a group always
+    counts.
+    """
+    spark = rows.sparkSession
+    limits = spark.createDataFrame([(g, threshold(n, wanted)) for g, n in groups.items()], rows.select(F.col(group), F.lit(0).cast("long").alias("_below")).schema)
+    few = rows.join(F.broadcast(limits), group).filter(F.col("h") <= F.col("_below")).drop("_below").dropDuplicates([group, "h"])
+    first = W.partitionBy(group).orderBy("h")
+    few = few.withColumns({"_rank": F.row_number().over(first), "_chars": F.sum(F.length(text)).over(first.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    return few.filter(f"_rank = 1 OR _rank <= {int(wanted)} AND _chars <= {int(most_chars)}").drop("_rank", "_chars")
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """left.join(right, key, how), for a right side with one row a key, where a few keys may hold most rows of left.
 

@@ -73,9 +73,26 @@ def _texts(col: pa.Array):
             yield t or ""
 
 
+#: Hadoop's names of object stores, and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfss": "abfs"}
+
+
+def _uri(out: str) -> str:
+    """A folder's URI as Arrow names it, from Hadoop's name or Arrow's; without a scheme it is a path of this machine."""
+    scheme, mark, rest = out.partition("://")
+    if not mark:
+        return "file:///" + out.removeprefix("file:").lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
+
+
+def _store(out: str):
+    """(file system, path) of a folder."""
+    return fs.FileSystem.from_uri(_uri(out))
+
+
 def _put(uri: str, name: str, data: bytes) -> None:
     """Write a file whole or not at all."""
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _store(uri)
     store.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
     with store.open_output_stream(part) as f:
@@ -86,12 +103,10 @@ def _put(uri: str, name: str, data: bytes) -> None:
 def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY) -> DataFrame:
     """Write docs' sequences under out and return (key, piece, n_ids, slot, shard, offset, crc32) of each of them.
 
-    out is a path that pyarrow's file systems and all executors reach. out/index.json tells readers the shape.
+    out is a path that Arrow's file systems and all executors reach; Hadoop's names (s3a://) are understood. out/index.json tells readers the shape.
     """
     spark = docs.sparkSession
-    out = os.fspath(out)
-    uri = out if "://" in out or out.startswith("file:") else f"file://{out}"
-    uri = uri.replace("file:///", "file:/").replace("file:/", "file:///")
+    uri = os.fspath(out)
     if path is None:
         import public_tokenizers
 
@@ -177,7 +192,7 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
 def read_slots(out: str, start: int, n: int) -> np.ndarray:
     """Sequences start .. start + n - 1 of the training order: [n, length]."""
     out = os.fspath(out)
-    store, path = fs.FileSystem.from_uri(out if "://" in out else f"file://{out.removeprefix('file:')}")
+    store, path = _store(out)
     with store.open_input_stream(f"{path}/index.json") as f:
         shape = json.loads(f.read())
     n = max(0, min(n, shape["sequences"] - start))

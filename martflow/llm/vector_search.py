@@ -2,19 +2,22 @@
 
 Inner product becomes distance: with M the largest norm, a vector x gets one more coordinate sqrt(M^2 - |x|^2), a query
 gets 0, and the nearest point is the one with the largest product. All are turned by one random rotation, after which any
-leading part of the coordinates estimates the whole distance. Lists are the cells of k-means centres, fitted on at most
-about SAMPLE vectors (a documented bound); every vector is assigned to a list and every query scans the PROBED share of
-lists nearest to it. A scan goes by blocks of BLOCK coordinates: after d of D of them a candidate is abandoned if
-partial * D / d > bound * (1 + EPSILON / sqrt(d))^2, a test of the hypothesis that its distance is within the bound, which
-is the query's 2 * K-th distance within the sample. What survives all blocks is scored exactly, in double precision, on the
-original vectors.
-
-Vectors without any structure (equally spread over a sphere) need over half of the lists for a recall of 0.9; PROBED is
-set for that. Clustered vectors reach it with far fewer.
-
-A list of any size is dealt out in blocks of about LIST_BLOCK vectors, its queries in blocks of about QUERY_BLOCK, and each
-pair of blocks is one bounded task group, so a vector that a third of all rows repeat only makes more of them. Each
-group returns at most K rows a query.
+leading part of the coordinates estimates the whole distance. Lists are the cells of k-means centres, about the square root
+of the number of vectors, up to MOST_LISTS; every vector is assigned to a list. A query scans the lists nearest to it. How
+many is fitted: the share that holds TARGET of the K nearest of held-out sample vectors. Within the sample neighbours are
+further away, and more spread, than within all vectors, so the share errs to the safe side. A scan goes by blocks of BLOCK
+coordinates: after d of D of them a candidate is abandoned if partial * D / d > bound * (1 + EPSILON / sqrt(d))^2, a test
+of the hypothesis that its distance is within the bound, which is the query's 2 * K-th distance within the sample. What
+survives all blocks is scored exactly, in double precision, on the original vectors.
+
+The sample has SAMPLE vectors, or PER_LIST for each list where that is more: those least by a hash of the row, exactly so
+many at any number of rows, a documented bound. Clustered vectors need few lists; vectors without any structure (equally
+spread over a sphere) need half of them for a recall of 0.9, and then work grows with queries times vectors.
+
+Neighbouring lists form bundles of about BUNDLE vectors, a longer list several; queries form turns of about TURN by the
+bundle they lie in, a crowded bundle's several. A bundle meets a turn in one task group if any of its queries probes it;
+a query travels once to such a bundle with the lists it probes there. So memory is bounded, and a vector that a third of
+all rows repeat only makes more bundles. Each group returns at most K rows a query.
 
 Defined results: rows with a null id, or a vector that is null, zero, of another length than most, or holds a null or
 non-finite component, take no part. A query's own row, and any row of its id, is no candidate; of several query rows with one
@@ -31,15 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martflow.llm.shared import table, written
+from martflow.llm.shared import Scratch, content_hash, table, threshold
 
 K = 20
-SAMPLE = 16_384
-MOST_LISTS = 1024
-PROBED = 0.66
+SAMPLE, PER_LIST = 16_384, 16
+MOST_LISTS = 4096
+TARGET, HELD_OUT = 0.95, 512
 BLOCK = 16
 EPSILON = 2.1
-LIST_BLOCK, QUERY_BLOCK = 4096, 2048
+BUNDLE, TURN = 32_768, 4096
 
 
 class Index:
@@ -52,7 +55,11 @@ class Index:
         self.rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
         self.ids, self.sample = ids, self.stored(sample)
         self.centres = self._fit(lists, rng)
-        self.cells = self.distances(self.sample, self.centres).argmin(1)
+        self.cells = self.nearest(self.sample)
+        self._plain = sample
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_plain"}
 
     def stored(self, x: np.ndarray) -> np.ndarray:
         extra = np.sqrt(np.maximum(self.largest - (x * x).sum(1), 0))
@@ -64,16 +71,41 @@ class Index:
     def distances(self, x: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.maximum((x * x).sum(1)[:, None] + (to * to).sum(1) - 2 * (x @ to.T), 0)
 
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The list of each stored vector."""
+        parts = [self.distances(x[i : i + 1024], self.centres).argmin(1) for i in range(0, len(x), 1024)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
     def _fit(self, lists: int, rng) -> np.ndarray:
         s = self.sample
-        c = s[rng.choice(len(s), min(lists, len(s)), replace=False)]
+        self.centres = c = s[rng.choice(len(s), min(lists, len(s)), replace=False)]
         for _ in range(8):
-            near = self.distances(s, c).argmin(1)
+            near = self.nearest(s)
             n = np.bincount(near, minlength=len(c))
             total = np.zeros_like(c)
             np.add.at(total, near, s)
-            c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-        return c
+            self.centres = c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        # neighbouring lists get neighbouring numbers, along the direction in which the centres differ most
+        middle = c - c.mean(0)
+        return c[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
+
+    def fitted(self, k: int, target: float = TARGET, held_out: int = HELD_OUT) -> float:
+        """The least share of the lists that holds `target` of the k nearest of held-out sample vectors."""
+        n = len(self.sample)
+        if n <= 2 * k:
+            return 1.0
+        at = np.random.default_rng(7).choice(n, min(held_out, n), replace=False)
+        ranks = []
+        for part in np.array_split(at, ceil(len(at) / 128)):
+            q = self.asked(self._plain[part])
+            d = self.distances(q, self.sample)
+            d[self.ids[part][:, None] == self.ids[None, :]] = np.inf
+            near = np.argpartition(d, k, axis=1)[:, :k]
+            order = np.argsort(self.distances(q, self.centres), axis=1)
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+            ranks.append(np.take_along_axis(rank, self.cells[near], axis=1))
+        return float(np.quantile(np.concatenate(ranks), target, method="higher") + 1) / len(self.centres)
 
     def probes(self, q: np.ndarray, held: np.ndarray, share: float, k: int) -> np.ndarray:
         """[queries, lists]: the share of lists nearest to each query, and as many more as it takes to hold 2 * k vectors."""
@@ -116,63 +148,106 @@ def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, block: int = BLOCK, ep
     return qi, xi
 
 
+def bundled(lengths: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bundle, bundles) of each list: consecutive lists share a bundle of up to `most` vectors, a longer list has several."""
+    first, count = np.zeros(len(lengths), np.int64), np.ones(len(lengths), np.int64)
+    now, held = 0, 0
+    for c, n in enumerate(lengths):
+        if held and held + n > most:
+            now, held = now + 1, 0
+        first[c] = now
+        if n > most:
+            count[c] = -(-n // most)
+            now, held = now + int(count[c]), 0
+        else:
+            held += n
+    return first, count
+
+
 def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, probed: float = PROBED) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k candidates among vectors with the largest inner product with each query."""
-    spark = vectors.sparkSession
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, probed: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k candidates among vectors with the largest inner product with each query.
+
+    probed: the share of the lists that a query scans; fitted where it is not given.
+    """
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     take = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(good)
-    rows = take(vectors)
+    rows = take(vectors).withColumn("h", content_hash("id", "v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    shapes = sorted(rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m")).collect(), key=lambda r: (-r.n, r.d))
+    shapes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("u"), F.max(norm).alias("m"))
+    most = shapes.orderBy(F.desc("n"), "d").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not shapes:
+    if not most:
         return empty
-    dims, n, largest = shapes[0]
+    dims, n, unlike, largest = most[0]
     right = F.size("v") == dims
     rows = rows.filter(right)
     asking = take(queries).filter(right).groupBy("id").agg(F.min("v").alias("v"))
-    share = int(min(1.0, SAMPLE / n) * 1_000_000)
-    picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share) if share < 1_000_000 else rows
-    got = picked.toArrow()
-    if not got.num_rows:
-        got = rows.limit(SAMPLE).toArrow()
+    lists = max(1, min(MOST_LISTS, isqrt(n)))
+    size = max(SAMPLE, PER_LIST * lists)
+    picked = rows.filter(F.col("h") <= F.lit(threshold(unlike, size))).dropDuplicates(["h"])
+    got = picked.orderBy("h").limit(size).toArrow()
     order = np.argsort(ids := got.column("id").to_numpy(), kind="stable")
-    index = Index(ids[order], _matrix(got.column("v"))[order], largest, max(1, min(MOST_LISTS, isqrt(n), got.num_rows // 8)))
+    index = Index(ids[order], _matrix(got.column("v"))[order], largest, max(1, min(lists, got.num_rows // 8)))
+    share = index.fitted(k) if probed is None else probed
     shipped = spark.sparkContext.broadcast(index)
 
     def assign(batches):
         for b in batches:
             if b.num_rows:
-                near = shipped.value.distances(shipped.value.stored(_matrix(b.column("v"))), shipped.value.centres).argmin(1)
+                near = shipped.value.nearest(shipped.value.stored(_matrix(b.column("v"))))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32())], names=["id", "v", "cell"])
 
-    stored = written(rows.mapInArrow(assign, "id long, v array<double>, cell int"), "lists")
-    cells = range(len(index.centres))
+    # the number of a row deals out a list that is longer than a bundle, whatever its rows hold
+    stored = scratch.written(rows.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int").withColumn("no", F.monotonically_increasing_id()), "lists")
+    cells = len(index.centres)
     held = {r.cell: r.n for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    lengths = np.array([held.get(c, 0) for c in cells])
+    lengths = np.array([held.get(c, 0) for c in range(cells)])
+    first, count = bundled(lengths.tolist(), BUNDLE)
 
     def probe(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 128):
                 b, ix = whole.slice(i, 128), shipped.value
                 q = ix.asked(_matrix(b.column("v")))
-                near = ix.probes(q, lengths, probed, k)
+                near = ix.probes(q, lengths, share, k)
                 bound = ix.bounds(q, b.column("id").to_numpy(), near, k)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(bound), pa.array([np.flatnonzero(x).astype(np.int32) for x in near], pa.list_(pa.int32()))], names=["id", "v", "bound", "cells"])
+                home = first[ix.distances(q, ix.centres).argmin(1)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(bound), pa.array(home, pa.int32()), pa.array([np.flatnonzero(x).astype(np.int32) for x in near], pa.list_(pa.int32()))], names=["id", "v", "bound", "home", "cells"])
 
-    asked = written(asking.mapInArrow(probe, "id long, v array<double>, bound double, cells array<int>"), "probes")
-    probing = {r.cell: r.n for r in asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = F.array(*[F.lit(max(1, ceil(held.get(c, 0) / LIST_BLOCK))) for c in cells])
-    turns = F.array(*[F.lit(max(1, ceil(probing.get(c, 0) / QUERY_BLOCK))) for c in cells])
-    part, turn = F.get(parts, F.col("cell")), F.get(turns, F.col("cell"))
-    left = stored.withColumn("part", F.pmod(F.xxhash64("id"), part).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), turn - 1)))
-    ask = asked.select("id", "v", "bound", F.explode("cells").alias("cell")).withColumn("turn", F.pmod(F.xxhash64("id"), turn).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), part - 1)))
+    asked = scratch.written(asking.mapInArrow(probe, "id long, v array<double>, bound double, home int, cells array<int>"), "probes")
+    turns = {r.home: ceil(r.n / TURN) for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}
+
+    def spread(batches):
+        """A row for each bundle in which a query probes lists, with those lists."""
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                at, bundle, lists = [], [], []
+                for j, probed_cells in enumerate(b.column("cells").to_pylist()):
+                    by: dict[int, list[int]] = {}
+                    for c in probed_cells:
+                        for x in range(first[c], first[c] + count[c]):
+                            by.setdefault(x, []).append(c)
+                    at += [j] * len(by)
+                    bundle += by
+                    lists += by.values()
+                if at:
+                    part = b.select(["id", "v", "bound", "home"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bundle, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "bound", "home", "bundle", "cells"])
+
+    several = F.get(F.lit([turns.get(h, 1) for h in range(int((first + count).max()))]).cast("array<int>"), F.col("home"))
+    ask = asked.mapInArrow(spread, "id long, v array<double>, bound double, home int, bundle int, cells array<int>")
+    ask = ask.withColumn("turn", F.struct("home", F.pmod(F.xxhash64("id"), several).cast("int").alias("part"))).drop("home")
+    meet = ask.select(F.col("bundle").alias("at"), F.col("turn").alias("met")).distinct()
+    of = lambda values: F.get(F.lit(values.tolist()).cast("array<bigint>"), F.col("cell"))
+    left = stored.withColumn("bundle", (of(first) + F.pmod(F.col("no"), of(count))).cast("int")).drop("no").join(meet, F.col("bundle") == F.col("at")).drop("at")
 
     def scanned(x: pa.Table, q: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -180,25 +255,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             return schema.empty_table()
         ix = shipped.value
         xs, qs, xid, qid, bound = _matrix(x.column("v")), _matrix(q.column("v")), x.column("id").to_numpy(), q.column("id").to_numpy(), q.column("bound").to_numpy()
-        turned = ix.stored(xs)
+        turned, cell = ix.stored(xs), x.column("cell").to_numpy()
+        lists = q.column("cells").combine_chunks()
+        probing = np.repeat(np.arange(len(qs)), lists.value_lengths().to_numpy())
+        probes = lists.flatten().to_numpy()
         out = []
+        here = [(np.flatnonzero(cell == c), np.sort(probing[probes == c])) for c in np.unique(cell)]
         for i in range(0, len(qs), 256):
-            qi, xi = scan(ix.asked(qs[i : i + 256]), turned, bound[i : i + 256])
-            qi += i
+            pairs = []
+            whole = ix.asked(qs[i : i + 256])
+            for xi_of, qi_of in here:
+                mine = qi_of[(qi_of >= i) & (qi_of < i + 256)]
+                if len(mine) and len(xi_of):
+                    qi, xi = scan(whole[mine - i], turned[xi_of], bound[mine])
+                    pairs.append((mine[qi], xi_of[xi]))
+            if not pairs:
+                continue
+            qi, xi = (np.concatenate(p) for p in zip(*pairs))
             other = qid[qi] != xid[xi]
             qi, xi = qi[other], xi[other]
             score = (qs[qi] * xs[xi]).sum(1)
             order = np.lexsort((xid[xi], -score, qi))
             qi, xi, score = qi[order], xi[order], score[order]
-            rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            best = rank < k
+            best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
             out.append(pa.table([qid[qi[best]], xid[xi[best]], score[best]], schema=schema))
-        return pa.concat_tables(out)
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    keys = ("cell", "part", "turn")
-    found = left.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(scanned, "query_id long, vec_id long, score double")
+    found = left.groupBy("bundle", "met").cogroup(ask.groupBy("bundle", "turn")).applyInArrow(scanned, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scratch.result(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
 
 
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

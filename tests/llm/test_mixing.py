@@ -1,5 +1,7 @@
+import math
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -35,6 +37,38 @@ def test_large_counts_split_whole():
     assert s.sum() == 2_500_000_001 and (s >= 0).all() and (s <= counts).all() and abs(s[0] - 1.5e9) < 2e5
 
 
+def test_draws_of_large_urns_are_exact():
+    """Above 10^9 the sampler is that of the same distribution: its probabilities against exact fractions, its draws against them."""
+    for good, bad, take in ((9, 5, 7), (40, 1000, 30), (300, 200, 450)):
+        p, q = take / (good + bad), (good + bad - take) / (good + bad)
+        for k in range(max(0, take - bad), min(good, take) + 1):
+            exact = math.comb(good, k) * math.comb(bad, take - k) / math.comb(good + bad, take)
+            got = math.exp(M._log_binomial(k, good, p, q) + M._log_binomial(take - k, bad, p, q) - M._log_binomial(take, good + bad, p, q))
+            assert abs(got - exact) < 1e-11 * exact
+    rng = np.random.default_rng(3)
+    good, bad, take = 6, 2 * 10**9, 7 * 10**8  # nearly binomial: a third of six
+    draws = Counter(M.hypergeometric(good, bad, take, rng) for _ in range(4000))
+    for k in range(7):
+        want = 4000 * math.comb(6, k) * 0.35**k * 0.65 ** (6 - k)
+        assert abs(draws[k] - want) < 5 * want**0.5 + 5
+    x = np.array([M.hypergeometric(10**12, 3 * 10**12, 10**9, rng) for _ in range(2000)])
+    spread = (10**9 * 0.25 * 0.75 * (1 - 10**9 / (4 * 10**12))) ** 0.5
+    assert abs(x.mean() - 2.5e8) < 5 * spread / 2000**0.5 and 0.93 < x.std() / spread < 1.07
+    assert M.hypergeometric(10**10, 0, 5, rng) == 5 and M.hypergeometric(0, 10**10, 5, rng) == 0
+
+
+def plain_targets(sizes, weights):
+    """Targets by bisection: the level at which capped shares use up all there is to share."""
+    whole, cap = Fraction(3, 2) * sum(sizes), [2 * n for n in sizes]
+    if whole == 0:
+        return [0.0] * len(sizes)
+    lo, hi = Fraction(0), Fraction(2 * sum(sizes) + 1)
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(level * w, c) for w, c in zip(weights, cap)) < whole else (lo, level)
+    return [float(min(hi * w, c)) for w, c in zip(weights, cap)]
+
+
 def check(rows, words):
     by, target, size = Counter(), {}, Counter()
     for r in rows:
@@ -43,7 +77,7 @@ def check(rows, words):
         size[r["source"]] += r["size"]
         target[r["source"]] = (r["target"], r["source_size"])
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = M.targets([size[s] for s in order], [M.WEIGHTS[i % 3] for i in range(len(order))])
+    want = plain_targets([size[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))])
     for s, w in zip(order, want):
         assert target[s] == (pytest.approx(w), size[s])
         assert abs(by[s] - w) <= M.BLOCK
@@ -85,3 +119,42 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix_plan(df).count() == 0
     assert M.mixture(df).count() == 0
+
+
+def test_rows_that_differ_elsewhere_and_clashing_names(spark):
+    """Rows alike in id, text and source keep their other columns; columns with names of the operator's own stay whole."""
+    text = " ".join(f"w{i}" for i in range(100))
+    data = [(1, text, "a", "one", 1, 2, "m", "s", "t"), (1, text, "a", "two", 3, 4, "m", "s", "t"), (1, text, "a", "two", 3, 4, "m", "s", "t"), (2, "other " * 50, "b", None, None, None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, extra string, draws int, k1 int, m2 string, m1 string, mix_shard string")
+    out = M.mixture(df)
+    assert out.columns == ["doc_id", "text", "source", "extra", "draws", "k1", "m2", "m1", "mix_shard", "mix_place"]
+    plan = Counter()
+    for r in M.mix_plan(df).collect():
+        plan[r.doc_id] += len({d["pass"] for d in r.draws})
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == +plan
+    assert {(r.extra, r.draws, r.k1, r.m2, r.m1) for r in rows} <= {("one", 1, 2, "m", "s"), ("two", 3, 4, "m", "s"), (None, None, None, None, None)}
+    assert {r.extra for r in rows if r.doc_id == 1} == {"one", "two"}
+
+
+def test_a_third_of_all_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(M, "PER_BUCKET", 7)
+    data = [(i, f"a{i} b c d e f g" * (i % 4), f"s{i % 3}") for i in range(120)] + [(500, "the same row again " * 9, "s1")] * 90 + [(None, "no id " * 9, None)] * 30
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = [r.asDict() for r in M.mix_plan(df).collect()]
+    assert len(rows) == len(data)
+    check(rows, None)
+    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"], str(r["draws"]))
+    again = [r.asDict() for r in M.mix_plan(df.repartition(5)).collect()]
+    assert sorted(map(key, rows)) == sorted(map(key, again))  # whichever of the rows alike took them
+    got, taken = Counter(), Counter()
+    for r in rows:
+        taken[r["doc_id"]] += r["taken"]
+    for r in M.mixture(df).collect():
+        got[r.doc_id] += len(r.text.split())
+    assert +got == +taken
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "few words", "b")], "doc_id long, text string, source string")
+    check([r.asDict() for r in M.mix_plan(df).collect()], None)

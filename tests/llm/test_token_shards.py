@@ -69,3 +69,10 @@ def test_query(spark):
     rows = T.op3_token_shards(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert len({r.doc_id for r in rows}) == docs and sorted(r.slot for r in rows) == list(range(len(rows)))
+
+
+def test_names_of_stores(tmp_path):
+    for name in (f"{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert T._store(name)[1] == str(tmp_path)
+    names = {"s3a://bucket/a/b": "s3://bucket/a/b", "hdfs://node:9000/a": "hdfs://node:9000/a", "gcs://bucket/a": "gs://bucket/a", "abfss://c@account/a": "abfs://c@account/a"}
+    assert {k: T._uri(k) for k in names} == names

@@ -56,8 +56,8 @@ def test_exact_when_all_lists_are_probed(spark):
 
 
 def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(V, "LIST_BLOCK", 30)
-    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "BUNDLE", 30)
+    monkeypatch.setattr(V, "TURN", 7)
     rng = np.random.default_rng(4)
     x = np.float32(rng.normal(size=(500, 8))).astype(float)
     x[100:350] = x[100]
@@ -95,3 +95,49 @@ def test_query_recall(spark):
     hit = sum((r.vec_id, r.score) in want[r.query_id] for r in rows)
     assert hit / sum(map(len, want.values())) >= 0.9
     assert {r.query_id for r in rows} == want.keys() and len(rows) == 20 * len(want)
+
+
+def shapes(rng, n, d):
+    centres = rng.normal(size=(60, d)) * 3
+    yield "clusters", centres[rng.integers(0, 60, n)] + rng.normal(size=(n, d)) * 0.3
+    x = rng.normal(size=(n, d))
+    yield "sphere", x / np.linalg.norm(x, axis=1, keepdims=True)
+    yield "norms", x * rng.lognormal(0, 0.7, (n, 1))
+
+
+def test_recall_and_probes_on_three_shapes(spark):
+    """Few lists where vectors are clustered, as many as it takes where they are not."""
+    share = {}
+    for name, x in shapes(np.random.default_rng(8), 6000, 16):
+        x = np.float32(x).astype(float)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        rows = V.nearest(df, df.filter("vec_id % 20 = 0")).collect()
+        want = brute(range(6000), x, range(0, 6000, 20))
+        assert sum((r.vec_id, r.score) in want[r.query_id] for r in rows) >= 0.9 * sum(map(len, want.values())), name
+        share[name] = V.Index(np.arange(6000), x, (x * x).sum(1).max(), 77).fitted(20)
+    assert share["clusters"] < 0.25 < share["sphere"] < 0.9
+
+
+def test_bundles():
+    first, count = V.bundled([3, 4, 0, 25, 1, 9, 2], 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5] and count.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+def test_sample_is_exactly_bounded(spark, monkeypatch):
+    """One row many times over, and more vectors than the sample holds."""
+    monkeypatch.setattr(V, "SAMPLE", 200)
+    sizes = []
+    made = V.Index.__init__
+    monkeypatch.setattr(V.Index, "__init__", lambda self, ids, sample, *a, **k: (sizes.append(len(sample)), made(self, ids, sample, *a, **k))[1])
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 900
+    V.nearest(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id = 0")).collect()
+    assert sizes == [max(200, 16 * math.isqrt(2400))]
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 3 + [(20, [0.9, 0.1]), (20, [0.8, 0.2]), (2, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, V.nearest(df, df.filter("vec_id = 20"), k=4).collect()))
+    assert got == [(20, 1, 1, 0.8), (20, 2, 1, 0.8), (20, 3, 1, 0.8), (20, 4, 2, 0.5)]
