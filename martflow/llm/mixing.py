@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martflow.llm.feistel import Feistel
-from martflow.llm.shared import BASE, Scratch, drop_state, mix64, row_marks, table, written
+from martflow.llm.shared import BASE, LEFT, Scratch, drop_state, mix64, row_marks, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -340,4 +340,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mixture of docs; a row for each pass over a row, its text as taken, n_chars of that text."""
-    return mixture(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    LEFT.append(Scratch(spark))
+    return mixture(docs, scratch=LEFT[-1]).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from martflow.llm import oracles, quality_rules
 from martflow.llm.bpe import op6_bpe
 from martflow.llm.html_text import op2_html_text
 from martflow.llm.jaccard_join import op4_jaccard_join
@@ -28,4 +29,8 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": _licenses()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": oracles.jaccard_join(4, 85),
+    "op5_license_scan": _licenses(),
+    "op7_quality_rules": oracles.quality_rules(quality_rules.COVERAGE, quality_rules.LINE_COVERAGE),
+}

@@ -63,6 +63,16 @@ class Scratch:
         return out
 
 
+#: Tables that lazily read results of stages still need; clear_left() removes them once those results are written.
+LEFT: list[Scratch] = []
+
+
+def clear_left() -> None:
+    for s in LEFT:
+        s.free(*[t for _, t in s.paths.values()])
+    LEFT.clear()
+
+
 def _hashable(kind: DataType) -> bool:
     if isinstance(kind, StructType):
         return all(_hashable(f.dataType) for f in kind.fields)
