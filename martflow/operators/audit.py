@@ -32,7 +32,11 @@ def summary(log: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """By job: runs, successes, failures, success rate in percent, average seconds, rows, last run; of the last days."""
     recent = history(log.filter(F.col("run_start_ts") >= now - F.expr(f"INTERVAL {int(days)} DAYS")))
     ok, bad = F.count_if(F.col("status") == "SUCCESS"), F.count_if(F.col("status") == "FAILED")
-    by = recent.groupBy("job_id").agg(F.count("*").alias("total_runs"), ok.alias("successful_runs"), bad.alias("failed_runs"), F.round(F.avg("duration_seconds"), 1).alias("avg_duration_seconds"), F.sum("records_read").alias("total_records"), F.max("run_start_ts").alias("last_run_ts"))
+    by = recent.groupBy("job_id").agg(
+        F.count("*").alias("total_runs"), ok.alias("successful_runs"), bad.alias("failed_runs"),
+        F.round(F.avg("duration_seconds"), 1).alias("avg_duration_seconds"), F.sum("records_read").alias("total_records"),
+        F.max("run_start_ts").alias("last_run_ts")
+    )
     return by.withColumn("success_rate", ratio(F.col("successful_runs"), F.col("total_runs"), 100, 1))
 
 
@@ -60,14 +64,20 @@ def outcome_counts(lines: DataFrame, message: str = "message") -> DataFrame:
 
 def unconfigured_files(lines: DataFrame, message: str = "message") -> DataFrame:
     """How often files went to each place for want of a configuration."""
-    found = lines.filter(F.contains(message, F.lit("outcome=not_configured"))).select(F.regexp_extract(message, r"moved_to=(\S+)", 1).alias("moved_to")).filter("moved_to <> ''")
+    found = lines.filter(F.contains(message, F.lit("outcome=not_configured"))).select(
+        F.regexp_extract(message, r"moved_to=(\S+)", 1).alias("moved_to")
+    ).filter("moved_to <> ''")
     return found.groupBy("moved_to").agg(F.count("*").alias("n"))
 
 
 def daily_stats(log: DataFrame) -> DataFrame:
     """By day: successful runs, average and largest duration and row count."""
     by = history(log.filter("status = 'SUCCESS'")).groupBy(F.to_date("run_start_ts").alias("day"))
-    return by.agg(F.count("*").alias("n_success"), F.round(F.avg("duration_seconds"), 2).alias("avg_duration"), F.max("duration_seconds").alias("max_duration"), F.round(F.avg("records_read"), 2).alias("avg_records"), F.max("records_read").alias("max_records"))
+    return by.agg(
+        F.count("*").alias("n_success"), F.round(F.avg("duration_seconds"), 2).alias("avg_duration"),
+        F.max("duration_seconds").alias("max_duration"), F.round(F.avg("records_read"), 2).alias("avg_records"),
+        F.max("records_read").alias("max_records")
+    )
 
 
 def error_tail(log: DataFrame, n: int = 100) -> DataFrame:
@@ -84,7 +94,9 @@ def route_files(files: DataFrame, jobs: DataFrame, path: str = "path") -> DataFr
     known = jobs.groupBy(low(F.element_at(F.split("source_file_name", "/"), -1)).alias("_name")).agg(F.min(F.struct("job_id", "is_active")).alias("_j"))
     base = F.element_at(F.split(path, "/"), -1)
     outcome = F.when(F.col("_j").isNull(), "not_configured").when(~F.coalesce(F.col("_j.is_active"), F.lit(False)), "inactive").otherwise("triggered")
-    return files.withColumn("_name", low(base)).join(known, "_name", "left").select(*files.columns, F.col("_j.job_id").alias("job_id"), outcome.alias("outcome"))
+    return files.withColumn("_name", low(base)).join(known, "_name", "left").select(
+        *files.columns, F.col("_j.job_id").alias("job_id"), outcome.alias("outcome")
+    )
 
 
 def pending_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -116,7 +128,10 @@ class JsonFormatter(logging.Formatter):
     """One JSON object a line; extra fields under `fields`."""
 
     def format(self, record: logging.LogRecord) -> str:
-        out = {"ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(record.created)), "level": record.levelname, "msg": record.getMessage(), **getattr(record, "fields", {})}
+        out = {
+            "ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(record.created)), "level": record.levelname, "msg": record.getMessage(),
+            **getattr(record, "fields", {})
+        }
         return json.dumps(out, default=str)
 
 

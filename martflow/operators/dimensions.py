@@ -76,7 +76,10 @@ def _on(natural: list[str], a: str, b: str) -> Column:
     return reduce(Column.__and__, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in natural])
 
 
-def scd2(dim: DataFrame, batch: DataFrame, key: str, natural: list[str], tracked: list[str], as_of, order: Column | None = None, loaded: Column | None = None) -> DataFrame:
+def scd2(
+    dim: DataFrame, batch: DataFrame, key: str, natural: list[str], tracked: list[str], as_of, order: Column | None = None,
+    loaded: Column | None = None
+) -> DataFrame:
     """Type 2: a changed member's version of the day ends the day before as_of and a new version takes its place.
 
     * The batch is reduced to one row a natural key; attributes it lacks are carried over from the version of the day.
@@ -97,26 +100,38 @@ def scd2(dim: DataFrame, batch: DataFrame, key: str, natural: list[str], tracked
     day = F.lit(as_of).cast("date")
     b = one_per_key(batch.select(*[c for c in names if c in batch.columns]), natural, order)
     began = F.col("effective_date").isNull() | (F.col("effective_date") <= day)
-    version = F.struct(F.coalesce("effective_date", F.lit("0001-01-01").cast("date")).alias("_start"), "version", key, "effective_date", "end_date", "is_current", *[c for c in names if c not in natural])
+    version = F.struct(
+        F.coalesce("effective_date", F.lit("0001-01-01").cast("date")).alias("_start"), "version", key, "effective_date", "end_date",
+        "is_current", *[c for c in names if c not in natural]
+    )
     known = dim.join(b.select(*natural), natural, "left_semi").groupBy(*natural).agg(
         F.max("version").alias("_last"), F.max(F.when(began, version)).alias("_v"), F.min(F.when(~began, F.col("effective_date"))).alias("_next"))
     valid = F.col("_v").isNotNull() & (F.coalesce(F.col("_v.end_date"), F.lit("9999-12-31").cast("date")) >= day)
     found = b.join(known, natural, "left").withColumn("_valid", valid)
     moved = reduce(Column.__or__, [~F.col(t).eqNullSafe(F.col(f"_v.{t}")) for t in tracked if t in b.columns and t not in natural], F.lit(False))
     merged = [F.col(c) if c in b.columns else F.when(F.col("_valid"), F.col(f"_v.{c}")).cast(kinds[c]).alias(c) for c in names]
-    found = found.filter(~F.col("_valid") | moved).select(*merged, "_valid", "_last", "_v", "_next", F.coalesce(F.col("_valid") & (F.col("_v.effective_date") == day), F.lit(False)).alias("_again"))
+    found = found.filter(~F.col("_valid") | moved).select(
+        *merged, "_valid", "_last", "_v", "_next",
+        F.coalesce(F.col("_valid") & (F.col("_v.effective_date") == day), F.lit(False)).alias("_again")
+    )
 
     hit = found.filter("_valid").select(F.col(f"_v.{key}").alias(key), "_again", F.struct(*names).alias("_new"))
     joined = dim.join(hit, key, "left")
     ended, over = F.coalesce(~F.col("_again"), F.lit(False)), F.coalesce(F.col("_again"), F.lit(False))
     change = {c: F.when(over, F.col(f"_new.{c}").cast(kinds[c])).otherwise(F.col(c)) for c in names if c not in natural}
-    change |= {"end_date": F.when(ended, F.date_sub(day, 1)).otherwise(F.col("end_date")), "is_current": F.when(ended, F.lit(False)).otherwise(F.col("is_current"))}
+    change |= {
+        "end_date": F.when(ended, F.date_sub(day, 1)).otherwise(F.col("end_date")),
+        "is_current": F.when(ended, F.lit(False)).otherwise(F.col("is_current"))
+    }
     change |= {c: F.when(ended | over, loaded).otherwise(F.col(c)).cast(kinds[c]) for c in stamps if c == "updated_date"}
     old = joined.select(*[change[c].alias(c) if c in change else F.col(c) for c in dim.columns])
 
     until = F.when(F.col("_valid"), F.col("_v.end_date")).otherwise(F.date_sub("_next", 1))
     current = F.when(F.col("_valid"), F.col("_v.is_current")).otherwise(F.col("_next").isNull())
-    todo = found.filter(~F.col("_again")).select((~F.col("_valid")).cast("int").alias("_group"), *names, (F.coalesce("_last", F.lit(0)) + 1).alias("version"), until.alias("end_date"), current.alias("is_current"))
+    todo = found.filter(~F.col("_again")).select(
+        (~F.col("_valid")).cast("int").alias("_group"), *names, (F.coalesce("_last", F.lit(0)) + 1).alias("version"),
+        until.alias("end_date"), current.alias("is_current")
+    )
     added = numbered(todo, key, ["_group", *names], after=dim.agg(F.max(key).alias("k"))).withColumns({"effective_date": day, **{c: loaded for c in stamps}})
     return old.unionByName(added.select(*[F.col(c).cast(kinds[c]).alias(c) for c in dim.columns]))
 
@@ -126,7 +141,9 @@ def scd1(dim: DataFrame, batch: DataFrame, key: str, natural: list[str]) -> Data
     names = [c for c in dim.columns if c != key]
     b = one_per_key(batch.select(*[c for c in names if c in batch.columns]), natural)
     hit = b.withColumn("_hit", F.lit(True))
-    cols = [F.when(F.col("b._hit"), F.col(f"b.{c}")).otherwise(F.col(f"d.{c}")).alias(c) if c in b.columns and c not in natural else F.col(f"d.{c}").alias(c) for c in dim.columns]
+    cols = [
+        F.when(F.col("b._hit"), F.col(f"b.{c}")).otherwise(F.col(f"d.{c}")).alias(c) if c in b.columns and c not in natural else F.col(f"d.{c}").alias(c) for c in dim.columns
+    ]
     old = dim.alias("d").join(hit.alias("b"), _on(natural, "d", "b"), "left").select(*cols)
     new = b.join(dim.select(*natural).distinct(), natural, "left_anti")
     new = numbered(new, key, [c for c in names if c in b.columns], after=dim.agg(F.max(key).alias("k")))
@@ -145,7 +162,9 @@ def scd3(dim: DataFrame, batch: DataFrame, natural: list[str], attribute: str) -
     d = dim if prev in dim.columns else dim.withColumn(prev, F.lit(None).cast(dim.schema[attribute].dataType))
     b = one_per_key(batch.select(*natural, attribute), natural).withColumn("_hit", F.lit(True))
     moved = F.col("b._hit") & ~F.col(f"b.{attribute}").eqNullSafe(F.col(f"d.{attribute}"))
-    cols = [F.when(moved, F.col(f"b.{c}")).otherwise(F.col(f"d.{c}")).alias(c) if c == attribute else F.when(moved, F.col(f"d.{attribute}")).otherwise(F.col(f"d.{c}")).alias(c) if c == prev else F.col(f"d.{c}").alias(c) for c in d.columns]
+    cols = [
+        F.when(moved, F.col(f"b.{c}")).otherwise(F.col(f"d.{c}")).alias(c) if c == attribute else F.when(moved, F.col(f"d.{attribute}")).otherwise(F.col(f"d.{c}")).alias(c) if c == prev else F.col(f"d.{c}").alias(c) for c in d.columns
+    ]
     return d.alias("d").join(b.alias("b"), _on(natural, "d", "b"), "left").select(*cols)
 
 

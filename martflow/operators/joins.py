@@ -49,7 +49,9 @@ def hot_key_split_join(facts: DataFrame, dim: DataFrame, on: list[str], least: i
     """
     hot = hot_keys(facts, on, least)
     few = broadcast_if_small(dim.join(broadcast_if_small(hot, most), on, "left_semi"), most)
-    return facts.join(broadcast_if_small(hot, most), on, "left_semi").join(few, on, how).unionByName(facts.join(broadcast_if_small(hot, most), on, "left_anti").join(dim, on, how))
+    return facts.join(broadcast_if_small(hot, most), on, "left_semi").join(few, on, how).unionByName(
+        facts.join(broadcast_if_small(hot, most), on, "left_anti").join(dim, on, how)
+    )
 
 
 def repartitioned_join(left: DataFrame, right: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
@@ -74,8 +76,14 @@ def last_known(facts: DataFrame, rates: DataFrame, by: list[str], at: str, rate_
     same key and time are reduced to the greatest.
     """
     latest = rates.groupBy(*by, rate_at).agg(F.max(F.struct(*values)).alias("_v"))
-    r = latest.select(*by, F.col(rate_at).alias("_at"), F.lit(0).alias("_kind"), "_v", F.lit(None).cast(facts.select(F.struct("*")).schema[0].dataType).alias("_f"))
-    f = facts.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(latest.schema["_v"].dataType).alias("_v"), F.struct("*").alias("_f"))
+    r = latest.select(
+        *by, F.col(rate_at).alias("_at"), F.lit(0).alias("_kind"), "_v",
+        F.lit(None).cast(facts.select(F.struct("*")).schema[0].dataType).alias("_f")
+    )
+    f = facts.select(
+        *by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(latest.schema["_v"].dataType).alias("_v"),
+        F.struct("*").alias("_f")
+    )
     w = W.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = r.unionByName(f).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_kind = 1")
     return both.select("_f.*", *[F.col(f"_v.{v}").alias(v) for v in values])

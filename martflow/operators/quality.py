@@ -22,7 +22,10 @@ class CheckFailed(ValueError):
 
 
 def _row(one: DataFrame, name: str, table: str, column: str, kind: str, expected: str, actual: Column, passed: Column) -> DataFrame:
-    return one.select(F.lit(name).alias("check_name"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), F.lit(kind).alias("check_type"), F.lit(expected).alias("expected"), actual.cast("string").alias("actual"), passed.alias("passed"))
+    return one.select(
+        F.lit(name).alias("check_name"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+        F.lit(kind).alias("check_type"), F.lit(expected).alias("expected"), actual.cast("string").alias("actual"), passed.alias("passed")
+    )
 
 
 def nulls(df: DataFrame, table: str, column: str) -> DataFrame:
@@ -44,7 +47,10 @@ def row_count(df: DataFrame, table: str, least: int, most: int) -> DataFrame:
 def freshness(df: DataFrame, table: str, column: str, hours: int, now: Column) -> DataFrame:
     """Hour boundaries since the latest value; an empty table fails with NO DATA."""
     one = df.agg(F.max(column).alias("m")).select(datediff_boundary("hour", F.col("m"), now).alias("h"))
-    return _row(one, f"freshness_check_{column}", table, column, "FRESHNESS", f"<= {hours}", F.coalesce(F.col("h").cast("string"), F.lit("NO DATA")), F.coalesce(F.col("h") <= hours, F.lit(False)))
+    return _row(
+        one, f"freshness_check_{column}", table, column, "FRESHNESS", f"<= {hours}",
+        F.coalesce(F.col("h").cast("string"), F.lit("NO DATA")), F.coalesce(F.col("h") <= hours, F.lit(False))
+    )
 
 
 def referential(child: DataFrame, parent: DataFrame, table: str, column: str, parent_column: str) -> DataFrame:
@@ -62,13 +68,19 @@ def rules(df: DataFrame, table: str, positive: list[str] = (), complete: list[st
     for c in complete:
         pct = F.coalesce(ratio(F.col(f"m_{c}"), F.col("n"), 100, 4), F.lit(0.0))
         parts.append(_row(one, f"complete_{c}", table, c, "COMPLETENESS", f"< {most_missing}", F.col(f"m_{c}"), pct < most_missing))
-    parts += [duplicates(df.filter(F.col(c).isNotNull()), table, [c]).withColumn("check_name", F.lit(f"unique_{c}")).withColumn("check_type", F.lit("UNIQUE")) for c in unique]
+    parts += [
+        duplicates(
+            df.filter(F.col(c).isNotNull()), table, [c]
+        ).withColumn("check_name", F.lit(f"unique_{c}")).withColumn("check_type", F.lit("UNIQUE")) for c in unique
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def expectations(df: DataFrame, table: str, between: dict[str, tuple], matches: dict[str, str]) -> DataFrame:
     """Values within bounds, and texts that match a pattern; nulls are left to completeness. One pass."""
-    aggs = [F.count_if(~F.col(c).between(*b)).alias(f"b_{c}") for c, b in between.items()] + [F.count_if(~F.col(c).rlike(p)).alias(f"r_{c}") for c, p in matches.items()]
+    aggs = [
+        F.count_if(~F.col(c).between(*b)).alias(f"b_{c}") for c, b in between.items()
+    ] + [F.count_if(~F.col(c).rlike(p)).alias(f"r_{c}") for c, p in matches.items()]
     one = df.agg(*aggs)
     parts = [_row(one, f"between_{c}", table, c, "BETWEEN", f"{b[0]}..{b[1]}", F.col(f"b_{c}"), F.col(f"b_{c}") == 0) for c, b in between.items()]
     parts += [_row(one, f"regex_{c}", table, c, "REGEX", p, F.col(f"r_{c}"), F.col(f"r_{c}") == 0) for c, p in matches.items()]
@@ -98,7 +110,9 @@ def dashboard(results: DataFrame, checked: str, now: Column, days: int = 7) -> D
     """Checks of the last days by table and type: total, passed, failed, pass rate in percent."""
     recent = results.filter(F.col(checked) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
     by = recent.groupBy("table_name", "check_type").agg(F.count("*").alias("total_checks"), F.count_if(F.col("passed")).alias("passed_checks"))
-    return by.withColumn("failed_checks", F.col("total_checks") - F.col("passed_checks")).withColumn("pass_rate", ratio(F.col("passed_checks"), F.col("total_checks"), 100, 1))
+    return by.withColumn("failed_checks", F.col("total_checks") - F.col("passed_checks")).withColumn(
+        "pass_rate", ratio(F.col("passed_checks"), F.col("total_checks"), 100, 1)
+    )
 
 
 def within_errors(bad: DataFrame, total: DataFrame, table: str, most: float) -> DataFrame:
@@ -114,5 +128,10 @@ def trailer(df: DataFrame, table: str, rows: int, amount: str | None = None, tot
     out = _row(one, "trailer_rows", table, "*", "TRAILER", str(rows), F.col("n"), F.col("n") == rows)
     if amount:
         told = Decimal(str(total)).quantize(Decimal("0.01"))
-        out = out.unionByName(_row(one, f"trailer_{amount}", table, amount, "TRAILER", str(told), F.col("s"), F.coalesce(F.col("s") == F.lit(told).cast("decimal(38,2)"), F.lit(False))))
+        out = out.unionByName(
+            _row(
+                one, f"trailer_{amount}", table, amount, "TRAILER", str(told), F.col("s"),
+                F.coalesce(F.col("s") == F.lit(told).cast("decimal(38,2)"), F.lit(False))
+            )
+        )
     return out

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Warehouse type names by Spark type.
-DDL = {"string": "VARCHAR(256)", "int": "INTEGER", "smallint": "SMALLINT", "bigint": "BIGINT", "float": "REAL", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "binary": "VARBYTE"}
+DDL = {
+    "string": "VARCHAR(256)", "int": "INTEGER", "smallint": "SMALLINT", "bigint": "BIGINT", "float": "REAL", "double": "DOUBLE PRECISION",
+    "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "binary": "VARBYTE"
+}
 #: Spark types by warehouse type name.
 SPARK = {
     "varchar": T.StringType(), "char": T.StringType(), "character varying": T.StringType(), "text": T.StringType(), "int": T.IntegerType(), "integer": T.IntegerType(), "int4": T.IntegerType(), "smallint": T.ShortType(), "int2": T.ShortType(), "bigint": T.LongType(), "int8": T.LongType(),
@@ -55,7 +58,10 @@ def alter_lengths(schema: T.StructType, lengths: dict[str, int]) -> T.StructType
 
 def column_metadata(spark, schema: T.StructType) -> DataFrame:
     """(column_name, data_type, max_length, is_nullable) of a table's schema, in order."""
-    rows = [(i + 1, f.name, warehouse_type(f.dataType).partition("(")[0] if length_of(f) else warehouse_type(f.dataType), length_of(f), f.nullable) for i, f in enumerate(schema.fields)]
+    rows = [
+        (i + 1, f.name, warehouse_type(f.dataType).partition("(")[0] if length_of(f) else warehouse_type(f.dataType), length_of(f), f.nullable) for i,
+        f in enumerate(schema.fields)
+    ]
     return spark.createDataFrame(rows, "ordinal int, column_name string, data_type string, max_length int, is_nullable boolean")
 
 
@@ -73,13 +79,19 @@ def grown(target: T.StructType, df: DataFrame) -> T.StructType:
     """
     have = set(df.columns)
     texts = {f.name: length_of(f) or 256 for f in target.fields if f.name in have and isinstance(f.dataType, T.StringType)}
-    whole = {f.name: f.dataType.simpleString() for f in target.fields if f.name in have and f.dataType.simpleString() in dict(INTEGERS) and isinstance(df.schema[f.name].dataType, T.IntegralType)}
+    whole = {
+        f.name: f.dataType.simpleString() for f in target.fields if f.name in have and f.dataType.simpleString() in dict(INTEGERS) and isinstance(
+            df.schema[f.name].dataType, T.IntegralType
+        )
+    }
     if not texts and not whole:
         return target
     need = {r.column_name: r.needed_type for r in widen_report(df, texts, whole).collect()}
     lengths = {c: int(t[8:-1]) for c, t in need.items() if c in texts}
     out = alter_lengths(target, lengths)
-    return T.StructType([T.StructField(f.name, spark_type(need[f.name]) if f.name in whole and f.name in need else f.dataType, f.nullable, f.metadata) for f in out.fields])
+    return T.StructType(
+        [T.StructField(f.name, spark_type(need[f.name]) if f.name in whole and f.name in need else f.dataType, f.nullable, f.metadata) for f in out.fields]
+    )
 
 
 def default_for(t: T.DataType) -> Column:
@@ -91,7 +103,9 @@ def default_for(t: T.DataType) -> Column:
 def backfill(df: DataFrame, target: T.StructType, policy: str = "default") -> DataFrame:
     """df with the target's columns that it lacks: the type's default value, or null (policy="null")."""
     have = set(df.columns)
-    return df.withColumns({f.name: default_for(f.dataType) if policy == "default" else F.lit(None).cast(f.dataType) for f in target.fields if f.name not in have})
+    return df.withColumns(
+        {f.name: default_for(f.dataType) if policy == "default" else F.lit(None).cast(f.dataType) for f in target.fields if f.name not in have}
+    )
 
 
 def widened(target: T.StructType, df: DataFrame) -> T.StructType:
@@ -114,7 +128,12 @@ def widen_report(df: DataFrame, varchar: dict[str, int], integers: dict[str, str
     rows = []
     for c, n in varchar.items():
         need = F.least(F.col(f"len_{c}") + 10, F.lit(MOST_VARCHAR))
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(f"varchar({n})").alias("current_type"), F.when(F.col(f"len_{c}") > n, F.concat(F.lit("varchar("), need.cast("string"), F.lit(")"))).alias("needed_type")))
+        rows.append(
+            F.struct(
+                F.lit(c).alias("column_name"), F.lit(f"varchar({n})").alias("current_type"),
+                F.when(F.col(f"len_{c}") > n, F.concat(F.lit("varchar("), need.cast("string"), F.lit(")"))).alias("needed_type")
+            )
+        )
     order = [t for t, _ in INTEGERS]
     for c, t in integers.items():
         need = F.lit("bigint")
@@ -142,11 +161,21 @@ def contract_diff(spark, old: T.StructType, new: T.StructType, keys: list[str],
 def type_guard(df: DataFrame, target: T.StructType) -> DataFrame:
     """(column, source_type, target_type, n_values) of text columns that would land in numeric ones with values; one pass."""
     numeric = (T.NumericType,)
-    bad = [(f.name, df.schema[f.name].dataType, f.dataType) for f in target.fields if f.name in df.columns and isinstance(f.dataType, numeric) and not isinstance(df.schema[f.name].dataType, numeric)]
+    bad = [
+        (
+            f.name, df.schema[f.name].dataType, f.dataType
+        ) for f in target.fields if f.name in df.columns and isinstance(f.dataType, numeric) and not isinstance(df.schema[f.name].dataType, numeric)
+    ]
     if not bad:
         return df.sparkSession.createDataFrame([], "column_name string, source_type string, target_type string, n_values long")
     one = df.agg(*[F.count(c).alias(c) for c, *_ in bad])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(s.simpleString()).alias("source_type"), F.lit(t.simpleString()).alias("target_type"), F.col(c).alias("n_values")) for c, s, t in bad]
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(s.simpleString()).alias("source_type"), F.lit(t.simpleString()).alias("target_type"),
+            F.col(c).alias("n_values")
+        ) for c,
+        s, t in bad
+    ]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("n_values > 0")
 
 
@@ -183,7 +212,15 @@ def apply_mapping(df: DataFrame, mapping: list[tuple[str, str, str, str]]) -> Da
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     """Struct fields as columns of their own, to any depth."""
     while any(isinstance(f.dataType, T.StructType) for f in df.schema.fields):
-        df = df.select(*[c for f in df.schema.fields for c in ([F.col(f"`{f.name}`.`{g.name}`").alias(f"{f.name}{sep}{g.name}") for g in f.dataType.fields] if isinstance(f.dataType, T.StructType) else [F.col(f"`{f.name}`")])])
+        df = df.select(
+            *[
+                c for f in df.schema.fields for c in (
+                    [
+                        F.col(f"`{f.name}`.`{g.name}`").alias(f"{f.name}{sep}{g.name}") for g in f.dataType.fields
+                    ] if isinstance(f.dataType, T.StructType) else [F.col(f"`{f.name}`")]
+                )
+            ]
+        )
     return df
 
 

@@ -20,7 +20,9 @@ def top_per_key(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataF
 def ranked(df: DataFrame, keys: list[str], *order: Column, tiles: int = 4) -> DataFrame:
     """row_number, rank, dense_rank and ntile within a key."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({"row_number": F.row_number().over(w), "rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "tile": F.ntile(tiles).over(w)})
+    return df.withColumns(
+        {"row_number": F.row_number().over(w), "rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "tile": F.ntile(tiles).over(w)}
+    )
 
 
 def since_last(df: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
@@ -36,7 +38,9 @@ def high_pairs(df: DataFrame, key: str, at: str, value: str, least: float, withi
     Two rows of look-ahead are compared; the pairs need not adjoin each other.
     """
     w = W.partitionBy(key).orderBy(at, ties)
-    hit = df.withColumns({"_v": F.lead(value).over(w), "_t": F.lead(at).over(w)}).filter((F.col(value) > least) & (F.col("_v") > least) & (F.col("_t") <= F.col(at) + F.expr(f"INTERVAL {within}")))
+    hit = df.withColumns({"_v": F.lead(value).over(w), "_t": F.lead(at).over(w)}).filter(
+        (F.col(value) > least) & (F.col("_v") > least) & (F.col("_t") <= F.col(at) + F.expr(f"INTERVAL {within}"))
+    )
     return hit.groupBy(key).agg(F.count("*").alias("n_pairs")).filter(F.col("n_pairs") >= pairs)
 
 
@@ -45,8 +49,12 @@ def high_runs(df: DataFrame, key: str, at: str, value: str, least: float, within
     w = W.partitionBy(key).orderBy(at, ties)
     high = F.col(value) > least
     goes_on = high & (F.lag(value).over(w) > least) & (F.col(at) <= F.lag(at).over(w) + F.expr(f"INTERVAL {within}"))
-    marked = df.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).filter(high)
-    return marked.groupBy(key, "_run").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"), F.count("*").alias("n_rows")).filter(F.col("n_rows") >= length).drop("_run")
+    marked = df.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn(
+        "_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ).filter(high)
+    return marked.groupBy(key, "_run").agg(
+        F.min(at).alias("run_start"), F.max(at).alias("run_end"), F.count("*").alias("n_rows")
+    ).filter(F.col("n_rows") >= length).drop("_run")
 
 
 def velocity(df: DataFrame, key: str, at: str, place: str, within: str, ties: str) -> DataFrame:

@@ -62,7 +62,9 @@ def load_dimension(house: Warehouse, spec: DimSpec, batch: DataFrame, as_of) ->
     if spec.scd_type == 2:
         return table.update(lambda dim: dimensions.scd2(dim, rows, spec.key, spec.natural_keys, spec.scd_attributes, as_of))
     if spec.scd_type == 3:
-        return table.update(lambda dim: dimensions.scd3(dimensions.scd0(dim, rows, spec.key, spec.natural_keys), rows, spec.natural_keys, spec.scd_attributes[0]))
+        return table.update(
+            lambda dim: dimensions.scd3(dimensions.scd0(dim, rows, spec.key, spec.natural_keys), rows, spec.natural_keys, spec.scd_attributes[0])
+        )
     step = dimensions.scd1 if spec.scd_type == 1 else dimensions.scd0
     return table.update(lambda dim: step(dim, rows, spec.key, spec.natural_keys))
 
@@ -92,7 +94,9 @@ def load_fact(house: Warehouse, spec: FactSpec, dims: dict[str, DimSpec], batch:
     used = {k for look in spec.dimension_lookups for k in (*look["natural_keys"], *filter(None, [look.get("as_of")]))}
     if lost := sorted(k for k in used if k not in source):
         raise ValueError(f"{spec.fact_table}: the feed has no {', '.join(lost)}")
-    found = batch.withColumns({f"_n_{k}": source[k].cast("date") if any(k == look.get("as_of") for look in spec.dimension_lookups) else source[k] for k in used})
+    found = batch.withColumns(
+        {f"_n_{k}": source[k].cast("date") if any(k == look.get("as_of") for look in spec.dimension_lookups) else source[k] for k in used}
+    )
     rows = facts.project(found, spec.mapping, [f"_n_{k}" for k in sorted(used)], loaded)
     for look in spec.dimension_lookups:
         dim = _fixed(house, look["dimension"], batch, spec.date_column)
@@ -129,7 +133,10 @@ def load_base(table: SnapshotTable, batch: DataFrame, keys: list[str]) -> tuple[
     return rows, counts, table.merge(rows, keys, change, counts, expect=base, schema=wide)
 
 
-def run_job(spark: SparkSession, house: Warehouse, root: str, path: str, jobs: list[JobSpec], models: dict | None = None, now: datetime | None = None, checks=None) -> Outcome:
+def run_job(
+    spark: SparkSession, house: Warehouse, root: str, path: str, jobs: list[JobSpec], models: dict | None = None,
+    now: datetime | None = None, checks=None
+) -> Outcome:
     """One file, from arrival to archive.
 
     The base load is one atomic version of its table. A failure of the model part, or of the move to the archive, keeps
@@ -156,7 +163,12 @@ def run_job(spark: SparkSession, house: Warehouse, root: str, path: str, jobs: l
             move(spark, path, lifecycle_path(root, name, "failed", stamp))
         except Exception as m:
             said = f"{said[:3000]}; the file stays: {m}"
-        put(audit.log_row(spark, **entry, run_end_ts=datetime.now(), records_read=0, records_updated=0, records_inserted=0, status="FAILED", error_message=said[:4000]))
+        put(
+            audit.log_row(
+                spark, **entry, run_end_ts=datetime.now(), records_read=0, records_updated=0, records_inserted=0, status="FAILED",
+                error_message=said[:4000]
+            )
+        )
         if batch is not None:
             batch.unpersist()
         raise
@@ -178,6 +190,11 @@ def run_job(spark: SparkSession, house: Warehouse, root: str, path: str, jobs: l
     except Exception as e:
         errors.append(f"archive: {e}")
     error = "; ".join(errors)[:4000] or None
-    put(audit.log_row(spark, **entry, run_end_ts=datetime.now(), records_read=counts["rows_read"], records_updated=counts["updated_est"], records_inserted=counts["inserted_est"], status="SUCCESS", error_message=error))
+    put(
+        audit.log_row(
+            spark, **entry, run_end_ts=datetime.now(), records_read=counts["rows_read"], records_updated=counts["updated_est"],
+            records_inserted=counts["inserted_est"], status="SUCCESS", error_message=error
+        )
+    )
     batch.unpersist()
     return Outcome("loaded", run_id, version, counts, error, target)

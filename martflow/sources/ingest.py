@@ -27,7 +27,11 @@ def normalized(df: DataFrame) -> DataFrame:
 
 def with_decimals(df: DataFrame, keys: list[str]) -> DataFrame:
     """Doubles that are no keys as DECIMAL(38,18); what overflows it is null (see quarantine)."""
-    return df.select(*[F.col(f.name).try_cast(WIDE).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in keys else F.col(f.name) for f in df.schema.fields])
+    return df.select(
+        *[
+            F.col(f.name).try_cast(WIDE).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in keys else F.col(f.name) for f in df.schema.fields
+        ]
+    )
 
 
 def with_audit(df: DataFrame, run_at: Column, file_name: Column | None = None) -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from martflow.sources.ingest import after_key, after_time
 from martflow.sources.store import SnapshotTable
 
-_READ = {"int": int, "float": float, "str": str, "Decimal": Decimal, "date": dt.date.fromisoformat, "datetime": dt.datetime.fromisoformat, "NoneType": lambda _: None}
+_READ = {
+    "int": int, "float": float, "str": str, "Decimal": Decimal, "date": dt.date.fromisoformat, "datetime": dt.datetime.fromisoformat,
+    "NoneType": lambda _: None
+}
 
 
 class Marks:

@@ -56,7 +56,13 @@ def test_upsert_and_newer(spark):
 
 
 def seed(spark):
-    return spark.createDataFrame([(1, "F1", "One", 0.5, D(2024, 1, 1), None, True, 1), (2, "F2", "Two", 0.6, D(2024, 1, 1), None, True, 1), (3, "F3", "Three", None, D(2024, 1, 1), None, True, 1)], DIM)
+    return spark.createDataFrame(
+        [
+            (1, "F1", "One", 0.5, D(2024, 1, 1), None, True, 1), (2, "F2", "Two", 0.6, D(2024, 1, 1), None, True, 1),
+            (3, "F3", "Three", None, D(2024, 1, 1), None, True, 1)
+        ],
+        DIM
+    )
 
 
 def step(dim, batch, day, tracked=("name", "fee")):
@@ -87,7 +93,10 @@ def test_b8_missing_attributes_are_carried_over(spark):
 
 
 def test_b9_null_differs_from_text(spark):
-    out = step(seed(spark).withColumn("name", F.when(F.col("code") != "F1", F.col("name"))), spark.createDataFrame([("F1", "__NULL__", 0.5), ("F3", "Three", None)], "code string, name string, fee double"), "2024-03-01")
+    out = step(
+        seed(spark).withColumn("name", F.when(F.col("code") != "F1", F.col("name"))),
+        spark.createDataFrame([("F1", "__NULL__", 0.5), ("F3", "Three", None)], "code string, name string, fee double"), "2024-03-01"
+    )
     assert rows(out.filter("version = 2").select("code")) == [("F1",)]
 
 
@@ -108,7 +117,10 @@ def test_b26_a_closed_member_comes_back(spark):
 def test_scd2_invariants(spark, batches):
     dim = spark.createDataFrame([], "k long, code string, v string, effective_date date, end_date date, is_current boolean, version int")
     for i, b in enumerate(batches):
-        dim = spark.createDataFrame(dimensions.scd2(dim, spark.createDataFrame(b, "code string, v string"), "k", ["code"], ["v"], f"2024-0{i + 1}-01").collect(), dim.schema)
+        dim = spark.createDataFrame(
+            dimensions.scd2(dim, spark.createDataFrame(b, "code string, v string"), "k", ["code"], ["v"], f"2024-0{i + 1}-01").collect(),
+            dim.schema
+        )
     keys = [r.k for r in dim.collect()]
     assert sorted(keys) == list(range(1, len(keys) + 1))
     assert dimensions.scd2_integrity(dim, ["code"]).count() == 0
@@ -132,7 +144,10 @@ def test_numbering_is_dense_over_partitions(spark):
 
 def test_lookups_do_not_change_row_counts(spark):
     dim = step(seed(spark), spark.createDataFrame([("F1", "Uno", 0.5)], "code string, name string, fee double"), "2024-01-15")
-    f = spark.createDataFrame([("F1", D(2024, 1, 14)), ("F1", D(2024, 1, 15)), ("F2", D(2023, 1, 1)), ("zz", D(2024, 1, 1)), (None, None)], "code string, day date")
+    f = spark.createDataFrame(
+        [("F1", D(2024, 1, 14)), ("F1", D(2024, 1, 15)), ("F2", D(2023, 1, 1)), ("zz", D(2024, 1, 1)), (None, None)],
+        "code string, day date"
+    )
     assert [r.fund_key for r in facts.lookup_as_of(f, dim, {"code": "code"}, "fund_key", "day").collect()] == [1, 4, -1, -1, -1]
     assert sorted(r.fund_key for r in facts.lookup_current(f, dim, {"code": "code"}, "fund_key").collect()) == [-1, -1, 2, 4, 4]
 
@@ -141,14 +156,22 @@ def test_lookups_do_not_change_row_counts(spark):
 
 
 def test_align_defaults_and_new_columns(spark):
-    target = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("d", T.DateType()), T.StructField("m", T.DecimalType(18, 2)), T.StructField("s", T.ShortType())])
+    target = T.StructType(
+        [T.StructField("a", T.IntegerType()), T.StructField("d", T.DateType()), T.StructField("m", T.DecimalType(18, 2)), T.StructField("s", T.ShortType())]
+    )
     df = spark.createDataFrame([(1, "new")], "a int, extra string")
     assert rows(schema.align(df, target)) == [(1, None, Decimal("0.00"), 0)]
     assert schema.widened(target, df).names == ["a", "d", "m", "s", "extra"]  # B1: columns that only the source has are added
     assert rows(schema.backfill(df, target, "null")) == [(1, "new", None, None, None)]
 
 
-@pytest.mark.parametrize(("name", "kind"), [("smallint", "smallint"), ("REAL", "float"), ("numeric(10,2)", "decimal(10,2)"), ("decimal", "decimal(38,18)"), ("varchar(20)", "string"), ("weird", "string"), ("timestamp", "timestamp_ntz")])
+@pytest.mark.parametrize(
+    ("name", "kind"),
+    [
+        ("smallint", "smallint"), ("REAL", "float"), ("numeric(10,2)", "decimal(10,2)"), ("decimal", "decimal(38,18)"),
+        ("varchar(20)", "string"), ("weird", "string"), ("timestamp", "timestamp_ntz")
+    ]
+)
 def test_types(name, kind):
     assert schema.spark_type(name).simpleString() == kind
 
@@ -186,7 +209,9 @@ def test_csv(spark, tmp_path):
     (tmp_path / "f.csv").write_text('Fund Code,Rate,"Day"\n"a ""q"" b",0.25,2024-01-02\n,,\n')
     df = ingest.read_csv(spark, str(tmp_path / "f.csv"), ["fund_code"], F.lit("2024-01-01").cast("timestamp"))
     assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields][:3] == [("fund_code", "string"), ("rate", "decimal(38,18)"), ("day", "date")]
-    assert [(r.fund_code, r.rate, r.day, r.file_name) for r in df.collect()] == [('a "q" b', Decimal("0.25"), D(2024, 1, 2), "f.csv"), (None, None, None, "f.csv")]
+    assert [(r.fund_code, r.rate, r.day, r.file_name) for r in df.collect()] == [
+        ('a "q" b', Decimal("0.25"), D(2024, 1, 2), "f.csv"), (None, None, None, "f.csv")
+    ]
 
 
 def test_marks(spark):
@@ -240,7 +265,10 @@ def test_retry():
 
 
 @QUICK
-@given(st.lists(st.one_of(st.integers(0, 4), st.none()), max_size=25), st.lists(st.one_of(st.integers(0, 5), st.none()), max_size=8), st.integers(1, 5), st.integers(0, 6))
+@given(
+    st.lists(st.one_of(st.integers(0, 4), st.none()), max_size=25), st.lists(st.one_of(st.integers(0, 5), st.none()), max_size=8),
+    st.integers(1, 5), st.integers(0, 6)
+)
 def test_skew_joins_equal_the_plain_one(spark, left, right, salts, least):
     a = spark.createDataFrame(list(enumerate(left)), "i int, k int")
     b = spark.createDataFrame(list(enumerate(right)), "j int, k int").select("k", "j")
@@ -277,13 +305,24 @@ def test_last_known(spark):
 
 
 def test_boundaries(spark):
-    r = spark.createDataFrame([(dt.datetime(2024, 1, 1, 10, 59), dt.datetime(2024, 1, 1, 11, 1)), (dt.datetime(1969, 12, 31, 23, 59), dt.datetime(1970, 1, 1, 0, 0)), (None, dt.datetime(2024, 1, 1))], "a timestamp_ntz, b timestamp_ntz")
-    assert [tuple(x) for x in r.select(*[datediff_boundary(u, F.col("a"), F.col("b")) for u in ("second", "hour", "day", "year")]).collect()] == [(120, 1, 0, 0), (60, 1, 1, 1), (None,) * 4]
+    r = spark.createDataFrame(
+        [
+            (dt.datetime(2024, 1, 1, 10, 59), dt.datetime(2024, 1, 1, 11, 1)),
+            (dt.datetime(1969, 12, 31, 23, 59), dt.datetime(1970, 1, 1, 0, 0)), (None, dt.datetime(2024, 1, 1))
+        ],
+        "a timestamp_ntz, b timestamp_ntz"
+    )
+    assert [
+        tuple(x) for x in r.select(*[datediff_boundary(u, F.col("a"), F.col("b")) for u in ("second", "hour", "day", "year")]).collect()
+    ] == [(120, 1, 0, 0), (60, 1, 1, 1), (None,) * 4]
 
 
 def test_runs_need_neighbours(spark):
     t = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    e = spark.createDataFrame([(1, 1, t(0), 9.0), (2, 1, t(1), 9.0), (3, 1, t(2), 1.0), (4, 1, t(3), 9.0), (5, 1, t(4), 9.0), (6, 1, t(5), 9.0)], "i int, u int, ts timestamp, v double")
+    e = spark.createDataFrame(
+        [(1, 1, t(0), 9.0), (2, 1, t(1), 9.0), (3, 1, t(2), 1.0), (4, 1, t(3), 9.0), (5, 1, t(4), 9.0), (6, 1, t(5), 9.0)],
+        "i int, u int, ts timestamp, v double"
+    )
     assert rows(windows.high_pairs(e, "u", "ts", "v", 5, "1 HOUR", "i")) == [(1, 3)]
     assert [r.n_rows for r in windows.high_runs(e, "u", "ts", "v", 5, "1 HOUR", "i").collect()] == [3]
 
@@ -318,16 +357,22 @@ def test_scd2_late_batches_go_into_the_history(spark):
     d = dt.date
     dim = spark.createDataFrame([
         (1, "a", "x", d(2024, 1, 1), d(2024, 1, 31), False, 1), (2, "a", "y", d(2024, 2, 1), None, True, 2),
-        (3, "b", "x", None, None, True, 1), (4, "c", "x", d(2024, 3, 1), None, True, 1), (5, "d", "x", d(2024, 1, 1), d(2024, 1, 10), False, 1), (6, None, "x", d(2024, 1, 1), None, True, 1),
+        (3, "b", "x", None, None, True, 1), (4, "c", "x", d(2024, 3, 1), None, True, 1), (
+            5, "d", "x", d(2024, 1, 1), d(2024, 1, 10), False, 1
+        ), (6, None, "x", d(2024, 1, 1), None, True, 1),
     ], DIM2)
     batch = spark.createDataFrame([("a", "late"), ("b", "late"), ("c", "early"), ("d", "back"), ("e", "new")], "code string, v string")
     out = dimensions.scd2(dim, batch, "k", ["code"], ["v"], "2024-01-15")
     got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[0])
     assert got == [
         (1, "a", "x", d(2024, 1, 1), d(2024, 1, 14), False, 1), (2, "a", "y", d(2024, 2, 1), None, True, 2),
-        (3, "b", "x", None, d(2024, 1, 14), False, 1), (4, "c", "x", d(2024, 3, 1), None, True, 1), (5, "d", "x", d(2024, 1, 1), d(2024, 1, 10), False, 1), (6, None, "x", d(2024, 1, 1), None, True, 1),
+        (3, "b", "x", None, d(2024, 1, 14), False, 1), (4, "c", "x", d(2024, 3, 1), None, True, 1), (
+            5, "d", "x", d(2024, 1, 1), d(2024, 1, 10), False, 1
+        ), (6, None, "x", d(2024, 1, 1), None, True, 1),
         (7, "a", "late", d(2024, 1, 15), d(2024, 1, 31), False, 3), (8, "b", "late", d(2024, 1, 15), None, True, 2),
-        (9, "c", "early", d(2024, 1, 15), d(2024, 2, 29), False, 2), (10, "d", "back", d(2024, 1, 15), None, True, 2), (11, "e", "new", d(2024, 1, 15), None, True, 1),
+        (
+            9, "c", "early", d(2024, 1, 15), d(2024, 2, 29), False, 2
+        ), (10, "d", "back", d(2024, 1, 15), None, True, 2), (11, "e", "new", d(2024, 1, 15), None, True, 1),
     ]
     once = spark.createDataFrame(out.collect(), DIM2)
     again = dimensions.scd2(once, batch, "k", ["code"], ["v"], "2024-01-15")
@@ -340,7 +385,10 @@ def test_scd2_never_loses_a_member(spark, batches):
     """Batches in any order of days: keys stay, intervals do not overlap, no member has two current rows."""
     dim = spark.createDataFrame([(1, "a", "x", dt.date(2024, 3, 1), None, True, 1), (2, "b", "x", None, None, True, 1)], DIM2)
     for month, rows in batches:
-        new = spark.createDataFrame(dimensions.scd2(dim, spark.createDataFrame(rows, "code string, v string"), "k", ["code"], ["v"], f"2024-0{month}-15").collect(), DIM2)
+        new = spark.createDataFrame(
+            dimensions.scd2(dim, spark.createDataFrame(rows, "code string, v string"), "k", ["code"], ["v"], f"2024-0{month}-15").collect(),
+            DIM2
+        )
         assert {r.k for r in dim.collect()} <= {r.k for r in new.collect()}
         dim = new
     faults = dimensions.scd2_integrity(dim.filter("effective_date is not null"), ["code"])

@@ -15,8 +15,19 @@ JOBS = json.dumps([
 ])
 MODELS = json.dumps([{
     "source_table": "funds",
-    "dimensions": [{"dimension_table": "dim_fund", "natural_keys": ["code"], "scd_type": 2, "scd_attributes": ["name"], "column_mappings": {"code": "fund_code", "name": "fund_name"}}],
-    "facts": [{"fact_table": "fact_aum", "dimension_lookups": [{"dimension": "dim_fund", "natural_keys": ["code"], "surrogate_key": "fund_key"}], "measures": ["aum"], "degenerate_dimensions": ["tx"], "degenerate_mappings": {"tx": "transaction_id"}}],
+    "dimensions": [
+        {
+            "dimension_table": "dim_fund", "natural_keys": ["code"], "scd_type": 2, "scd_attributes": ["name"],
+            "column_mappings": {"code": "fund_code", "name": "fund_name"}
+        }
+    ],
+    "facts": [
+        {
+            "fact_table": "fact_aum",
+            "dimension_lookups": [{"dimension": "dim_fund", "natural_keys": ["code"], "surrogate_key": "fund_key"}], "measures": ["aum"],
+            "degenerate_dimensions": ["tx"], "degenerate_mappings": {"tx": "transaction_id"}
+        }
+    ],
 }])
 
 
@@ -26,7 +37,9 @@ def test_snapshots(spark, tmp_path):
     one = spark.createDataFrame([(1,), (2,)], "a int")
     assert t.write(one, now=100.0) == 1
     assert t.update(lambda d: d.withColumn("a", F.col("a") * 10), {"n": 2}) == 2
-    assert sorted(r.a for r in t.read().collect()) == [10, 20] and sorted(r.a for r in t.read(version=1).collect()) == [1, 2] and t.read(as_of=150.0).count() == 2
+    assert sorted(r.a for r in t.read().collect()) == [10, 20] and sorted(
+        r.a for r in t.read(version=1).collect()
+    ) == [1, 2] and t.read(as_of=150.0).count() == 2
     with pytest.raises(Conflict):
         t.write(one, expect=1)
     t.tag("audit", 1)
@@ -69,7 +82,9 @@ def test_a_file_from_arrival_to_archive(spark, tmp_path):
     funds = house.table("funds").read()
     assert "region" in funds.columns and funds.count() == 2 and out.metrics["rows_deleted"] == 2
     dim = house.table("dim_fund").read()
-    assert sorted((r.fund_key, r.code, r.name, r.version, r.is_current) for r in dim.collect()) == [(1, "F1", "One", 1, False), (2, "F2", "Two", 1, True), (3, "F1", "Uno", 2, True)]
+    assert sorted((r.fund_key, r.code, r.name, r.version, r.is_current) for r in dim.collect()) == [
+        (1, "F1", "One", 1, False), (2, "F2", "Two", 1, True), (3, "F1", "Uno", 2, True)
+    ]
     fact = house.table("fact_aum").read()
     assert sorted((r.tx, float(r.aum), r.fund_key) for r in fact.collect()) == [("TX-1", 10.5, 3), ("TX-2", 20.0, 2)]
     log = house.table("job_sts").read()
@@ -107,7 +122,10 @@ def test_configs_are_checked():
         config.models('[{"source_table": "t", "dimensions": [{"dimension_table": "dim_x", "natural_keys": ["k"], "column_mappings": {"a": "b"}}]}]')
     with pytest.raises(config.ConfigError, match="identifier"):
         config.views('[{"view_name": "v; drop table x", "source_table": "t", "definition": "SELECT 1"}]')
-    two = config.views('[{"view_name": "v", "source_table": "t", "definition": "SELECT 1"}, {"view_name": "v", "source_table": "t", "definition": "SELECT * FROM {source_table}"}]')
+    two = config.views(
+        '[{"view_name": "v", "source_table": "t", "definition": "SELECT 1"}, {"view_name": "v", "source_table": "t", "definition": "SELECT * '
+        'FROM {source_table}"}]'
+    )
     assert two["v"].sql() == "SELECT * FROM t"
     assert config.DimSpec("dim_fund", ["k"], {"k": "k"}).key == "fund_key"
 

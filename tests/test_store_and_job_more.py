@@ -37,7 +37,10 @@ def test_a_merge_leaves_untouched_files_in_place(spark, tmp_path):
     assert before.items() <= files(tmp_path).items() and t.read().count() == 1002 and t.read().filter("id = 2000").first().v == 1
     assert t.merge(spark.createDataFrame([], "id long, v long"), ["id"], lambda old, new: old) == 3
     # a key keeps its bucket when its type grows
-    t.merge(spark.createDataFrame([("7", 9)], "id string, v long"), ["id"], lambda old, new: merge.replace_by_key(old, new.select(F.col("id").cast("long"), "v"), ["id"]))
+    t.merge(
+        spark.createDataFrame([("7", 9)], "id string, v long"), ["id"], lambda old,
+        new: merge.replace_by_key(old, new.select(F.col("id").cast("long"), "v"), ["id"])
+    )
     assert t.read().filter("id = 7").collect()[0].v == 9 and t.read().count() == 1002
 
 
@@ -138,7 +141,12 @@ def test_checkpoint_folder(spark, monkeypatch):
 
 JOBS = json.dumps([{"job_id": "J1", "source_file_name": "s3://bucket/data/in/Funds.csv", "target_table": "funds", "upsert_keys": ["transaction_id"]}])
 MODELS = json.dumps([{"source_table": "funds", "dimensional_model": {
-    "dimensions": [{"dimension_table": "dim_fund", "natural_keys": ["code"], "scd_type": 2, "scd_attributes": ["name"], "column_mappings": {"code": "fund_code", "name": "fund_name"}}],
+    "dimensions": [
+        {
+            "dimension_table": "dim_fund", "natural_keys": ["code"], "scd_type": 2, "scd_attributes": ["name"],
+            "column_mappings": {"code": "fund_code", "name": "fund_name"}
+        }
+    ],
     "facts": [{"fact_table": "fact_aum", "measures": ["aum"], "degenerate_dimensions": ["transaction_id"], "dimension_lookups": [
         {"dimension": "dim_fund", "natural_keys": ["code"], "surrogate_key": "fund_key", "as_of": "report_date"},
         {"dimension": "dim_date", "natural_keys": ["date_key"], "surrogate_key": "date_key"},
@@ -151,7 +159,10 @@ def run(spark, tmp_path, rows, day, checks=None):
     p.parent.mkdir(exist_ok=True)
     p.write_text(HEAD + rows)
     house = J.Warehouse(spark, f"file://{tmp_path}/wh")
-    return house, J.run_job(spark, house, f"file://{tmp_path}/data", f"file://{p}", config.jobs(JOBS), config.models(MODELS), dt.datetime(2024, 1, day, 12), checks)
+    return house, J.run_job(
+        spark, house, f"file://{tmp_path}/data", f"file://{p}", config.jobs(JOBS), config.models(MODELS), dt.datetime(2024, 1, day, 12),
+        checks
+    )
 
 
 def test_facts_by_day_and_growing_columns(spark, tmp_path):
@@ -250,11 +261,16 @@ def test_federated_join(spark, tmp_path):
 
 
 def test_skew_joins_are_split_by_adaptive_execution(spark):
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"
+    }
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        left = spark.range(0, 60_000, numPartitions=6).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+        left = spark.range(0, 60_000, numPartitions=6).select(
+            F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad")
+        )
         out = left.join(spark.range(60_000).withColumnRenamed("id", "k"), "k")
         out.write.format("noop").mode("overwrite").save()
         rows = out.collect()

@@ -31,7 +31,10 @@ def test_windows_equal_their_batch_twins(spark, tmp_path):
         before = len(got)
         if name == "tumbling":  # an event that moves the watermark closes the last windows
             last.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = stream.start(stream.windowed(stream.files(spark, str(tmp_path / "in"), e.schema), "ts", ["event_type"], "value", width, slide), lambda b, _: got.extend(b.collect()), str(tmp_path / f"cp-{name}"))
+        q = stream.start(
+            stream.windowed(stream.files(spark, str(tmp_path / "in"), e.schema), "ts", ["event_type"], "value", width, slide), lambda b,
+            _: got.extend(b.collect()), str(tmp_path / f"cp-{name}")
+        )
         q.awaitTermination()
         want = windows.window_sums(e, "ts", ["event_type"], "value", width, slide)
         assert len(got) >= before
