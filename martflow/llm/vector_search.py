@@ -42,7 +42,7 @@ MOST_LISTS = 4096
 TARGET, HELD_OUT = 0.95, 512
 BLOCK = 16
 EPSILON = 2.1
-BUNDLE, TURN = 32_768, 4096
+BUNDLE, TURN = 8192, 2048
 
 
 class Index:
