@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -282,16 +284,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Seconds between Python's and the JVM's collections in release(), twice.
+PAUSE = 0.25
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs that nothing refers to any more.
 
     Python's references reach the JVM a moment after they end, so the collector is asked twice.
     """
-    import gc
-    import time
-
     for _ in range(2):
         gc.collect()
-        time.sleep(0.2)
+        time.sleep(PAUSE)
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(PAUSE)
