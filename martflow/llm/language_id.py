@@ -10,7 +10,7 @@ that is not a letter is an edge. The filters hold the TOP most frequent n-grams
 foreign to it (RARE).
 
 Fitting counts the rows of every language over the whole table, then reads the texts of about PER_LANGUAGE distinct rows
-of each, those least by a hash of the text, up to CHARS characters together: documented bounds, exact at any number of
+of each, those least by a hash of the text, up to CHARS characters in all, an equal part a language: documented bounds, exact at any number of
 rows, so the model's cost does not grow with the corpus. Where the labels name more than LANGUAGES languages, the most
 frequent are learned. Prediction reads the text alone, whole, whatever its length, in a narrow map; the filter (2 MB for
 each 64 languages) travels as a broadcast variable.
@@ -38,7 +38,7 @@ TOP = 20_000
 #: A language holds an n-gram if it is at least so frequent there as a share of where it is most frequent: foreign
 #: passages within a language's texts do not enter its filter.
 RARE = 0.5
-PER_LANGUAGE, CHARS, LANGUAGES = 800, 1 << 25, 1024
+PER_LANGUAGE, CHARS, LANGUAGES = 800, 1 << 26, 1024
 UNKNOWN = "und"
 #: The pipeline rejects texts whose best language covers less of their n-grams than this.
 LEAST_SCORE = 0.3
@@ -184,7 +184,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     totals = by.orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
     if not totals:
         return fit({})
-    picked = sampled(rows, "l", {r.l: r.d for r in totals}, per_language, CHARS).select("l", "h", "t").toArrow()
+    picked = sampled(rows, "l", {r.l: r.d for r in totals}, per_language, CHARS // len(totals)).select("l", "h", "t").toArrow()
     samples: dict[str, list[tuple]] = {}
     for name, h, t in zip(*(picked.column(c).to_pylist() for c in ("l", "h", "t"))):
         samples.setdefault(name, []).append((h, t))

@@ -10,7 +10,7 @@ text's score is the logistic function of its mean margin. That is the same score
 to ship is one array of 2 ** BITS floats.
 
 Fitting takes at most PER_CLASS labelled keys of each class, those least by a hash of the key, one text a key (of several
-the one with the least hash), and at most CHARS characters a class: documented bounds, exact at any number of rows.
+the one with the least hash), and at most CHARS characters, half a class: documented bounds, exact at any number of rows.
 Everything else reads all rows. Scoring is a narrow map over whole texts.
 
 Defined results: a null or empty text, or one of white space only, has no features, so its average is zero and it scores
@@ -32,7 +32,7 @@ BITS = 18
 N = (3, 4)
 DIM = 12
 EPOCHS, RATE = 6, 0.5
-PER_CLASS, CHARS = 2500, 1 << 25
+PER_CLASS, CHARS = 2500, 1 << 26
 LEAST = 0.7
 
 
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     few = F.broadcast(marks.filter(wanted).distinct())  # about 2 * per_class keys a class
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(few, "k")
     one = texts.groupBy("y", "h", "k").agg(F.min(F.struct(F.xxhash64("t").alias("g"), "t")).alias("one")).select("y", "h", F.col("one.t").alias("t"))
-    got = sampled(one, "y", totals, per_class, CHARS).select("h", "y", "t").toArrow()
+    got = sampled(one, "y", totals, per_class, CHARS // 2).select("h", "y", "t").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("h", "y", "t"))))
     return fit([t for _, _, t in rows], [y for _, y, _ in rows])
 

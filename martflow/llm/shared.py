@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import threading
 import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -286,15 +288,26 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 #: Seconds between Python's and the JVM's collections in release(), twice.
 PAUSE = 0.25
+_RELEASING: list[threading.Thread] = []
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more.
+    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more, beside what comes next.
 
-    Python's references reach the JVM a moment after they end, so the collector is asked twice.
+    Python's references reach the JVM a moment after they end, so the collector is asked twice. One thread does so at a time.
     """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(PAUSE)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(PAUSE)
+
+    def run():
+        try:
+            for _ in range(2):
+                time.sleep(PAUSE)
+                spark.sparkContext._jvm.System.gc()
+                time.sleep(PAUSE)
+        except (Py4JError, OSError, AttributeError):  # the session has ended, and its files with it
+            pass
+
+    for t in _RELEASING:
+        t.join()
+    gc.collect()
+    _RELEASING[:] = [threading.Thread(target=run, daemon=True)]
+    _RELEASING[0].start()

@@ -124,16 +124,16 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = dict(map(tuple, rows.mapInArrow(count, "part int, n long").collect()))
-    first, n = {}, 0
-    for part in sorted(counts):
-        first[part] = n
-        n += counts[part]
+    n = sum(counts.values())
+    sizes = np.array([counts.get(p, 0) for p in range(max(counts, default=-1) + 1)], np.int64)
+    firsts = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)  # one integer a partition
     shards = ceil(n / per_shard)
     _put(uri, "index.json", json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "shards": shards, "dtype": "<u2", "pad": PAD, "key": seed}).encode())
 
     def send(batches):
         order = Feistel(max(n, 1), seed)
-        start, held, gathered = first.get(TaskContext.get().partitionId(), 0), 0, []
+        part = TaskContext.get().partitionId()
+        start, held, gathered = int(firsts.value[part]) if part < len(firsts.value) else n, 0, []
 
         def sent():
             nonlocal start, held, gathered
