@@ -118,6 +118,17 @@ def test_moves_find_a_free_name(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").glob("*.csv")) == ["a-1.csv", "a-2.csv", "a.csv"]
 
 
+def test_part_files(spark, tmp_path):
+    store.write_csv_single(spark.range(3), f"file://{tmp_path}/x")
+    found = store.part_file(spark, f"file://{tmp_path}/x")
+    assert found.endswith(".csv") and spark.read.option("header", True).csv(found).count() == 3
+    spark.range(2).write.parquet(f"file://{tmp_path}/y")
+    assert "part-" in store.part_file(spark, f"file://{tmp_path}/y")
+    (tmp_path / "z").mkdir()
+    with pytest.raises(FileNotFoundError):
+        store.part_file(spark, f"file://{tmp_path}/z")
+
+
 def test_checkpoint_folder(spark, monkeypatch):
     class Context:
         master = "spark://somewhere"
