@@ -25,7 +25,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
         parent = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
         while True:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            jumped = written(spread_join(parent, up, "p", "left").select("u", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")), "parents")
+            jumped = written(
+                spread_join(parent, up, "p", "left").select("u", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")),
+                "parents"
+            )
             scratch.free(parent)
             parent = jumped
             if jumped.filter("moved").isEmpty():
@@ -33,7 +36,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
         first = parent.select("u", F.col("p").alias("pu"))
         second = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         n = edges.count()
-        moved = spread_join(spread_join(edges, first, "u", rows=n), second, "v", rows=n).filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
+        moved = spread_join(spread_join(edges, first, "u", rows=n), second, "v", rows=n).filter("pu <> pv").select(
+            F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")
+        ).distinct()
         before, edges = edges, written(moved, "edges")
         scratch.free(before)
         if labels is None:

@@ -39,7 +39,10 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Elements that end the text block before them and begin another.
-BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = set(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 "
+    "h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SPACING = {"br", "img", "input", "wbr", "hr"}
 FURNITURE = set("nav aside footer form menu dialog fieldset search".split())
@@ -52,7 +55,10 @@ FURNITURE_NAMES = set(
 )
 READERS = set("comment comments discussion disqus replies reply responses reviews shoutbox respond".split())
 #: What may follow such a name in a longer one: comment-list, sidebar-left, share-buttons.
-PARTS = set("area bar block body bottom box buttons column container content footer form group header inner item items left links list main panel right row section text thread title top wrap wrapper".split())
+PARTS = set(
+    "area bar block body bottom box buttons column container content footer form group header inner item items left links list main panel "
+    "right row section text thread title top wrap wrapper".split()
+)
 #: What may not come before it: with-sidebar says what else a page has.
 NOT_ITSELF = set("has have no not with without".split())
 ARTICLE = {"article", "main"}
@@ -256,7 +262,12 @@ def _menu(rng: random.Random, marked: bool) -> str:
     items = "".join(f"<li>{a}" for a in links)
     if marked:
         return rng.choice([f"<nav><ul>{items}</ul></nav>", f"<div id=menu><ul>{items}</ul></div>", f"<div class='main-nav'>{' '.join(links)}</div>"])
-    return rng.choice([f"<ul>{items}</ul>", "<table><tr>" + "".join(f"<td>{a}" for a in links) + "</table>", f"<div>{' '.join(links)}</div>", f"<p>{' | '.join(links)}</p>", "".join(f"<div>{a}</div>" for a in links)])
+    return rng.choice(
+        [
+            f"<ul>{items}</ul>", "<table><tr>" + "".join(f"<td>{a}" for a in links) + "</table>", f"<div>{' '.join(links)}</div>",
+            f"<p>{' | '.join(links)}</p>", "".join(f"<div>{a}</div>" for a in links)
+        ]
+    )
 
 
 def _story(rng: random.Random, marked: bool) -> str:
@@ -283,8 +294,18 @@ def _aside(rng: random.Random, marked: bool) -> str:
     if not marked:
         return rng.choice([f"<div>{_prose(rng, 2, 7)}</div>", f"<p>{_prose(rng, 2, 6)}</p><p>{_prose(rng, 2, 6)}</p>", _menu(rng, False)])
     text = f"<p>{_prose(rng, 3, 110)}</p>"
-    name = rng.choice(["class=ad", "class='sidebar'", "id=comments", "class='comment-list'", "class=cookie-notice", "class='related'", "role=banner", "class='newsletter box'", "class=share", "id=footer", "class='site-footer'", "class='widget'"])
-    return rng.choice([f"<div {name}>{text}</div>", f"<section {name}>{text}{text}</section>", f"<aside>{text}</aside>", f"<footer>{text}</footer>", f"<form>{text}<p>Your name</p></form>", f"<div {name}>{_menu(rng, False)}</div>"])
+    name = rng.choice(
+        [
+            "class=ad", "class='sidebar'", "id=comments", "class='comment-list'", "class=cookie-notice", "class='related'", "role=banner",
+            "class='newsletter box'", "class=share", "id=footer", "class='site-footer'", "class='widget'"
+        ]
+    )
+    return rng.choice(
+        [
+            f"<div {name}>{text}</div>", f"<section {name}>{text}{text}</section>", f"<aside>{text}</aside>", f"<footer>{text}</footer>",
+            f"<form>{text}<p>Your name</p></form>", f"<div {name}>{_menu(rng, False)}</div>"
+        ]
+    )
 
 
 #: The elements around the articles of the labelled table; half of them say nothing.
@@ -301,7 +322,12 @@ def labelled_pages(pages: int, seed: int, forms: tuple[str, ...] = FORMS) -> lis
             out.append([(f"<{form}>", 0)] * bool(form) + [(_story(rng, bool(form)), 1)])
             continue
         page = [("<body" + rng.choice(["", " class='single post with-sidebar'", " class='home comments-open'", " id=page"]) + ">", 0), (_menu(rng, marked), 0)]
-        page += [(rng.choice([f"<header><a href=/>{_prose(rng, 1, 3)}</a> {_prose(rng, 2, 8)}</header>", _menu(rng, False), _aside(rng, True)]), 0) for _ in range(rng.randint(0, 2))]
+        page += [
+            (
+                rng.choice([f"<header><a href=/>{_prose(rng, 1, 3)}</a> {_prose(rng, 2, 8)}</header>", _menu(rng, False), _aside(rng, True)]),
+                0
+            ) for _ in range(rng.randint(0, 2))
+        ]
         if form:
             inner = [(_story(rng, True), 1)]
             if rng.random() < 0.5:

@@ -325,7 +325,10 @@ def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
             for part in np.unique(at // width):
                 whole.setdefault(int(part), np.zeros(width, bool))[at[at // width == part] % width] = True
         if whole:
-            yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([np.packbits(x).tobytes() for x in whole.values()], pa.binary())], names=["part", "bits"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(whole), pa.int32()), pa.array([np.packbits(x).tobytes() for x in whole.values()], pa.binary())],
+                names=["part", "bits"]
+            )
 
     slices = -(-bits // width)
     parts = slots.repartitionById(slices, F.floor(F.col("slot") / width).cast("int")).mapInArrow(run, "part int, bits binary")
@@ -362,7 +365,10 @@ def _fetched(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 sizes, fp = fingerprints(*shingles(raw, off, n), j - i)
                 take = np.flatnonzero(seen.new(fp, sizes) & held(_short(fp) % bits))
                 if len(take):
-                    yield pa.RecordBatch.from_arrays([_class_column(fp[take], np.zeros(len(take), bool)), texts.slice(i, j - i).take(pa.array(take))], names=["class", "text"])
+                    yield pa.RecordBatch.from_arrays(
+                        [_class_column(fp[take], np.zeros(len(take), bool)), texts.slice(i, j - i).take(pa.array(take))],
+                        names=["class", "text"]
+                    )
 
     found = rows.select(F.when(F.col("id").isNotNull(), of_id).alias("slot"), "text").mapInArrow(passing, "class binary, text string")
     return found.join(wanted, "class").dropDuplicates(["class"])
@@ -414,7 +420,10 @@ def _crossing(opened: DataFrame, n: int, percent: int, scratch: Scratch) -> Data
                 keep = place < (size - -(-percent * size // 100) + 1)[row]
                 row, columns = row[keep], (g[keep].astype(np.int64), size[row[keep]], place[keep])
                 own = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(c).take(pa.array(row)) for c in ("no", "root")] + [pa.array(c) for c in columns], names=["no", "root", "element", "n", "at"])
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(c).take(pa.array(row)) for c in ("no", "root")] + [pa.array(c) for c in columns],
+                    names=["no", "root", "element", "n", "at"]
+                )
 
     prefixes = opened.select("no", F.xxhash64("root").alias("root"), "text").mapInArrow(first, "no long, root long, element long, n long, at long")
     every = scratch.written(prefixes, "prefixes")
@@ -476,7 +485,9 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     written = scratch.written
     sized = written(_classes(rows, "text", n).drop("text"), "classes")
     least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("h")
-    heads = sized.filter(F.col("class").isNotNull()).groupBy("class").agg(least, F.min("short").alias("short"), F.min("n_shingles").alias("n"), F.count("*").alias("rows"))
+    heads = sized.filter(F.col("class").isNotNull()).groupBy("class").agg(
+        least, F.min("short").alias("short"), F.min("n_shingles").alias("n"), F.count("*").alias("rows")
+    )
     heads = written(heads.select("class", "short", "n", "rows", F.col("h.id").alias("head"), F.col("h.mark").alias("mark")), "heads")
     # a set of n elements has fewer than n signatures in both its bands, but for the least of sets
     total = heads.agg(F.sum(F.col("n") + 24)).first()[0] or 0
@@ -490,17 +501,24 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     nearest = _nearest(buckets, scratch)
     followers = nearest.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("groups"))
     to = spread_join(nearest, followers, "b").select(F.col("a").alias("class"), "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("turn"))
-    wanted = buckets.select("class").distinct().join(heads.select("class", "short", "head"), "class").join(to, "class", "left").join(followers.withColumnRenamed("b", "class"), "class", "left")
+    wanted = buckets.select("class").distinct().join(heads.select("class", "short", "head"), "class").join(to, "class", "left").join(
+        followers.withColumnRenamed("b", "class"), "class", "left"
+    )
     wanted = written(wanted, "wanted")
     texts = written(_fetched(rows.select("id", "text"), wanted, n).select("class", "text", "b", "turn", "groups"), "texts")
     scratch.free(wanted)
     release(spark)
     x = texts.filter("b is not null").select(F.col("class").alias("a"), "b", "turn", F.col("text").alias("x"))
-    y = texts.filter("groups is not null").select(F.col("class").alias("b"), F.col("text").alias("y"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("turn"))
+    y = texts.filter("groups is not null").select(
+        F.col("class").alias("b"), F.col("text").alias("y"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("turn")
+    )
     links = written(_linked(x.join(y, ["b", "turn"]), n, percent), "links")
     release(spark)
     roots = components(links, scratch=scratch)
-    placed = written(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root")), "placed")
+    placed = written(
+        buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root")),
+        "placed"
+    )
     scratch.free(buckets)
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     left = placed.join(several, "bucket", "left_semi").select("class", "root").distinct()
@@ -510,7 +528,9 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     pairs = _crossing(opened, n, percent, scratch)
     release(spark)
     names = opened.select("no", "class")
-    known = opened.select("no", F.col("b").alias("class")).join(names.withColumnRenamed("no", "to"), "class").select(F.greatest("no", "to").alias("a"), F.least("no", "to").alias("b"))
+    known = opened.select("no", F.col("b").alias("class")).join(names.withColumnRenamed("no", "to"), "class").select(
+        F.greatest("no", "to").alias("a"), F.least("no", "to").alias("b")
+    )
     x, y = opened.select(F.col("no").alias("a"), F.col("text").alias("x")), opened.select(F.col("no").alias("b"), F.col("text").alias("y"))
     more = written(_linked(pairs.join(known, ["a", "b"], "left_anti").join(y, "b").join(x, "a"), n, percent), "more")
     more = more.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -519,7 +539,9 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     release(spark)
     if not more.isEmpty():
         roots = components(links.union(more), scratch=scratch)
-    rooted = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "head", "mark", "rows")
+    rooted = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+        "class", F.coalesce("root", "class").alias("root"), "head", "mark", "rows"
+    )
     smallest = rooted.groupBy("root").agg(F.min("head").alias("component"))
     return sized, spread_join(rooted, smallest, "root", rows=heads.count()).select("class", "root", "head", "mark", "rows", "component")
 
@@ -532,7 +554,10 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     scratch = Scratch(docs.sparkSession)
     sized, named = _components(docs, n, percent, key, text, scratch)
     named = scratch.written(named.select("class", "component"), "named")
-    return scratch.result(spread_join(sized, named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")), "components")
+    return scratch.result(
+        spread_join(sized, named, "class", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")),
+        "components"
+    )
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

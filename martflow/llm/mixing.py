@@ -179,7 +179,9 @@ def _extra(number: int, size: int, words: float, turn: int, blocks: int, block:
     return min(near, key=lambda r: abs(r * block - short * (last < r) - words))
 
 
-def plan_sources(rows: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> dict[str | None, Source]:
+def plan_sources(
+    rows: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED
+) -> dict[str | None, Source]:
     """Targets, quotas and shards from (source, words) of every source."""
     order = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [n for _, n in order]
@@ -223,14 +225,20 @@ def _named(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source)))
 
 
-def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+def mix_plan(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE,
+    cap: float = CAP, block: int = BLOCK, seed: int = SEED, scratch: Scratch | None = None
+) -> DataFrame:
     """(key, m1, m2, size, source, source_size, target, taken, draws) of each row of docs; m1 and m2 are its row_marks.
 
     draws lists what the mixture takes of the row: output shard, sort key within it, pass, first word, words.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), _named(source).alias("name"), F.col(text).alias("t"), *row_marks(docs))
-    counted = rows.select("key", "name", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("t").alias("mark"), "m1", "m2")
+    counted = rows.select(
+        "key", "name", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("t").alias("mark"),
+        "m1", "m2"
+    )
     sized = (scratch.written if scratch else written)(counted.withColumn("no", F.monotonically_increasing_id()), "sizes")
     totals = [(r.name[1:] if r.name[0] == "+" else None, r.size) for r in sized.groupBy("name").agg(F.sum("size").alias("size")).collect()]
     sources = spark.sparkContext.broadcast(plan_sources(totals, weights, share, cap, block, seed))
@@ -239,15 +247,27 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     if (dealt.groupBy("bucket").count().agg(F.max("count").alias("n")).first().n or 0) > 2 * PER_BUCKET:
         # at most one group in PER_BUCKET rows is so large; it follows its bucket's other rows
         alike = dealt.groupBy("key", "mark", "name").agg(F.count("*").alias("copies")).filter(F.col("copies") > PER_BUCKET)
-        parts = alike.select(F.struct("key").alias("k"), F.col("mark").alias("_mark"), F.col("name").alias("_name"), F.ceil(F.col("copies") / PER_BUCKET).alias("_parts"))
+        parts = alike.select(
+            F.struct("key").alias("k"), F.col("mark").alias("_mark"), F.col("name").alias("_name"),
+            F.ceil(F.col("copies") / PER_BUCKET).alias("_parts")
+        )
         hot = F.struct("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("_mark")) & (F.col("name") == F.col("_name"))
         own = F.concat_ws(":", F.lpad(F.col("bucket").cast("string"), 19, "0"), F.hex("mark"), F.coalesce(F.col("key").cast("string"), F.lit("")))
         dealt = dealt.join(parts, hot, "left").select(*dealt.columns, "_parts")
-        dealt = dealt.withColumns({"part": F.coalesce(F.pmod("no", F.col("_parts")), F.lit(0).cast("long")), "bucket": F.when(F.col("_parts").isNull(), F.lpad(F.col("bucket").cast("string"), 19, "0")).otherwise(own)}).drop("_parts")
+        dealt = dealt.withColumns(
+            {
+                "part": F.coalesce(F.pmod("no", F.col("_parts")), F.lit(0).cast("long")),
+                "bucket": F.when(F.col("_parts").isNull(), F.lpad(F.col("bucket").cast("string"), 19, "0")).otherwise(own)
+            }
+        ).drop("_parts")
     starts = dealt.groupBy("name", "bucket", "part").agg(F.sum("size").alias("n"))
     starts = starts.select("name", "bucket", "part", (F.sum("n").over(W.partitionBy("name").orderBy("bucket", "part")) - F.col("n")).alias("base"))
-    inner = F.sum("size").over(W.partitionBy("name", "bucket", "part").orderBy("key", "mark", "m1", "m2").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    placed = dealt.withColumn("inner", inner).join(starts, ["name", "bucket", "part"]).select("key", "mark", "name", "size", "m1", "m2", (F.col("base") + F.col("inner")).alias("start"))
+    inner = F.sum("size").over(
+        W.partitionBy("name", "bucket", "part").orderBy("key", "mark", "m1", "m2").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ) - F.col("size")
+    placed = dealt.withColumn("inner", inner).join(starts, ["name", "bucket", "part"]).select(
+        "key", "mark", "name", "size", "m1", "m2", (F.col("base") + F.col("inner")).alias("start")
+    )
 
     def run(batches):
         drop_state(__name__)
@@ -267,12 +287,18 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
             draws = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), struct)
             source = pa.array([known[i][0] for i in range(len(known))], pa.string()).take(pa.array(which))
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("m1"), b.column("m2"), b.column("size"), source, pa.array(np.array([p.size for p in plans])[which]), pa.array(np.array([p.target for p in plans])[which]), pa.array(taken), draws],
+                [
+                    b.column("key"), b.column("m1"), b.column("m2"), b.column("size"), source,
+                    pa.array(np.array([p.size for p in plans])[which]), pa.array(np.array([p.target for p in plans])[which]),
+                    pa.array(taken), draws
+                ],
                 names=["key", "m1", "m2", "size", "source", "source_size", "target", "taken", "draws"],
             )
 
     kind = dict(docs.dtypes)[key]
-    return placed.mapInArrow(run, f"key {kind}, m1 long, m2 long, size long, source string, source_size long, target double, taken long, draws {DRAWS}").withColumnRenamed("key", key)
+    return placed.mapInArrow(
+        run, f"key {kind}, m1 long, m2 long, size long, source string, source_size long, target double, taken long, draws {DRAWS}"
+    ).withColumnRenamed("key", key)
 
 
 def pieces(text: str, draws: list[dict]) -> list[str]:

@@ -16,7 +16,8 @@ win AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r
 twice AS (SELECT r, n, i FROM (SELECT r, n, i, count(*) OVER (PARTITION BY r, n, g) AS times FROM win) WHERE times > 1),
 marked AS (SELECT DISTINCT r, n, i + o AS p FROM (SELECT r, n, i, unnest(range(0, n)) AS o FROM twice)),
 cover AS (SELECT r, n, count(*) AS words, sum(length(w[p])) AS chars FROM marked JOIN c USING (r) GROUP BY r, n),
-lines AS (SELECT r, line, count(*) AS times, length(regexp_replace(line, '[ 	-]', '', 'g')) AS chars FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM c) WHERE regexp_matches(line, '{_WORD}') GROUP BY r, line),
+lines AS (SELECT r, line, count(*) AS times, length(regexp_replace(line, '[ 	-
+]', '', 'g')) AS chars FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM c) WHERE regexp_matches(line, '{_WORD}') GROUP BY r, line),
 again AS (SELECT r, sum(times - 1) AS n_lines, sum((times - 1) * chars) AS chars FROM lines GROUP BY r),
 worst AS (SELECT r, max(cover.chars::DOUBLE / greatest(word_chars, 1) / most) AS x FROM cover JOIN k USING (n) JOIN c USING (r) GROUP BY r),
 f AS (SELECT c.*, CAST(coalesce(again.n_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(five.words, 0) AS BIGINT) AS n_repeat_words, greatest(coalesce(worst.x, 0), coalesce(again.chars, 0)::DOUBLE / greatest(word_chars, 1) / {line_coverage!r}::DOUBLE) AS x

@@ -28,7 +28,10 @@ LINE_COVERAGE = 0.30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 BASE_WINDOW, LEAST_WORDS, MOST_REPEAT = 5, 10, 20
-FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("worst_coverage", "double")]
+FIELDS = [
+    ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
+    ("base_failed", "boolean"), ("kept", "boolean"), ("worst_coverage", "double")
+]
 
 
 def _in_duplicates(h: np.ndarray, row: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:

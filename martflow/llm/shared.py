@@ -112,7 +112,9 @@ def sampled(rows: DataFrame, group: str, groups: dict, wanted: int, most_chars:
     counts.
     """
     spark = rows.sparkSession
-    limits = spark.createDataFrame([(g, threshold(n, wanted)) for g, n in groups.items()], rows.select(F.col(group), F.lit(0).cast("long").alias("_below")).schema)
+    limits = spark.createDataFrame(
+        [(g, threshold(n, wanted)) for g, n in groups.items()], rows.select(F.col(group), F.lit(0).cast("long").alias("_below")).schema
+    )
     few = rows.join(F.broadcast(limits), group).filter(F.col("h") <= F.col("_below")).drop("_below").dropDuplicates([group, "h"])
     first = W.partitionBy(group).orderBy("h")
     few = few.withColumns({"_rank": F.row_number().over(first), "_chars": F.sum(F.length(text)).over(first.rowsBetween(W.unboundedPreceding, W.currentRow))})

@@ -100,7 +100,10 @@ def _put(uri: str, name: str, data: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
-def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = KEY) -> DataFrame:
+def write_shards(
+    docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH,
+    per_shard: int = PER_SHARD, seed: int = KEY
+) -> DataFrame:
     """Write docs' sequences under out and return (key, piece, n_ids, slot, shard, offset, crc32) of each of them.
 
     out is a path that Arrow's file systems and all executors reach; Hadoop's names (s3a://) are understood. out/index.json tells readers the shape.
@@ -128,7 +131,10 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     sizes = np.array([counts.get(p, 0) for p in range(max(counts, default=-1) + 1)], np.int64)
     firsts = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes)  # one integer a partition
     shards = ceil(n / per_shard)
-    _put(uri, "index.json", json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "shards": shards, "dtype": "<u2", "pad": PAD, "key": seed}).encode())
+    _put(
+        uri, "index.json",
+        json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "shards": shards, "dtype": "<u2", "pad": PAD, "key": seed}).encode()
+    )
 
     def send(batches):
         order = Feistel(max(n, 1), seed)
@@ -144,7 +150,10 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
             by = np.argsort(shard, kind="stable")
             whole, shard = whole[by], shard[by]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-            return pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int32()), pa.array([whole[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["shard", "records"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shard[cut[:-1]], pa.int32()), pa.array([whole[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                names=["shard", "records"]
+            )
 
         for b in batches:
             t = _tokens(shipped.value)
@@ -180,7 +189,11 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
             at = r["at"].astype(np.int64)
             sums = [zlib.crc32(x) for x in body]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["key"], mask=r["named"] == 0), pa.array(r["piece"].astype(np.int32)), pa.array(r["ids_held"].astype(np.int32)), pa.array(at + s * per_shard), pa.array(np.full(len(r), s, np.int32)), pa.array(at * length * 2), pa.array(sums, pa.int64())],
+                [
+                    pa.array(r["key"], mask=r["named"] == 0), pa.array(r["piece"].astype(np.int32)),
+                    pa.array(r["ids_held"].astype(np.int32)), pa.array(at + s * per_shard), pa.array(np.full(len(r), s, np.int32)),
+                    pa.array(at * length * 2), pa.array(sums, pa.int64())
+                ],
                 names=[key, "piece", "n_ids", "slot", "shard", "offset", "crc32"],
             )
 

@@ -176,7 +176,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     probed: the share of the lists that a query scans; fitted where it is not given.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    good = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    good = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall(
+        "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    ) & F.exists("v", lambda x: x != 0)
     take = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(good)
     rows = take(vectors).withColumn("h", content_hash("id", "v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -205,7 +207,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32())], names=["id", "v", "cell"])
 
     # the number of a row deals out a list that is longer than a bundle, whatever its rows hold
-    stored = scratch.written(rows.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int").withColumn("no", F.monotonically_increasing_id()), "lists")
+    stored = scratch.written(
+        rows.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int").withColumn("no", F.monotonically_increasing_id()),
+        "lists"
+    )
     cells = len(index.centres)
     held = {r.cell: r.n for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     lengths = np.array([held.get(c, 0) for c in range(cells)])
@@ -219,7 +224,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 near = ix.probes(q, lengths, share, k)
                 bound = ix.bounds(q, b.column("id").to_numpy(), near, k)
                 home = first[ix.distances(q, ix.centres).argmin(1)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(bound), pa.array(home, pa.int32()), pa.array([np.flatnonzero(x).astype(np.int32) for x in near], pa.list_(pa.int32()))], names=["id", "v", "bound", "home", "cells"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id"), b.column("v"), pa.array(bound), pa.array(home, pa.int32()),
+                        pa.array([np.flatnonzero(x).astype(np.int32) for x in near], pa.list_(pa.int32()))
+                    ],
+                    names=["id", "v", "bound", "home", "cells"]
+                )
 
     asked = scratch.written(asking.mapInArrow(probe, "id long, v array<double>, bound double, home int, cells array<int>"), "probes")
     turns = {r.home: ceil(r.n / TURN) for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}
@@ -240,14 +251,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                     lists += by.values()
                 if at:
                     part = b.select(["id", "v", "bound", "home"]).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bundle, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "bound", "home", "bundle", "cells"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(bundle, pa.int32()), pa.array(lists, pa.list_(pa.int32()))],
+                        names=["id", "v", "bound", "home", "bundle", "cells"]
+                    )
 
     several = F.get(F.lit([turns.get(h, 1) for h in range(int((first + count).max()))]).cast("array<int>"), F.col("home"))
     ask = asked.mapInArrow(spread, "id long, v array<double>, bound double, home int, bundle int, cells array<int>")
     ask = ask.withColumn("turn", F.struct("home", F.pmod(F.xxhash64("id"), several).cast("int").alias("part"))).drop("home")
     meet = ask.select(F.col("bundle").alias("at"), F.col("turn").alias("met")).distinct()
     of = lambda values: F.get(F.lit(values.tolist()).cast("array<bigint>"), F.col("cell"))
-    left = stored.withColumn("bundle", (of(first) + F.pmod(F.col("no"), of(count))).cast("int")).drop("no").join(meet, F.col("bundle") == F.col("at")).drop("at")
+    left = stored.withColumn(
+        "bundle", (of(first) + F.pmod(F.col("no"), of(count))).cast("int")
+    ).drop("no").join(meet, F.col("bundle") == F.col("at")).drop("at")
 
     def scanned(x: pa.Table, q: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -283,7 +299,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     found = left.groupBy("bundle", "met").cogroup(ask.groupBy("bundle", "turn")).applyInArrow(scanned, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scratch.result(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    return scratch.result(
+        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"),
+        "neighbours"
+    )
 
 
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

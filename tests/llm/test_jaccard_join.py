@@ -93,7 +93,10 @@ def test_sets_match_brute_force():
 
 @pytest.mark.parametrize(("seed", "n", "percent"), [(1, 4, 85), (2, 5, 80), (3, 2, 80)])
 def test_components_match_brute_force(spark, seed, n, percent):
-    rows = [*corpus(seed), (9001, None), (9002, ""), (9003, " "), (4, "the text of a repeated id"), (None, "w1 w2 w3 w4 w5 w6 w7"), (None, "no id here at all"), (9004, "w1 w2 w3 w4 w5 w6 w7")]
+    rows = [
+        *corpus(seed), (9001, None), (9002, ""), (9003, " "), (4, "the text of a repeated id"), (None, "w1 w2 w3 w4 w5 w6 w7"),
+        (None, "no id here at all"), (9004, "w1 w2 w3 w4 w5 w6 w7")
+    ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `class` string")
     got = sorted(map(tuple, J.jaccard_components(df, n, percent).collect()), key=str)
     assert got == brute(rows, n, percent)
@@ -102,8 +105,14 @@ def test_components_match_brute_force(spark, seed, n, percent):
 def test_null_ids_link(spark):
     """Texts without ids link with near copies, with or without ids, and bridge documents that have ids."""
     ws = [[f"{g}{i}" for i in range(60)] for g in "abcd"]
-    rows = [(1, " ".join(ws[0])), (None, " ".join([*ws[0], "z"])), (None, " ".join(ws[1])), (None, " ".join([*ws[1], "z"])), (None, " ".join(ws[1])), (None, " ".join(ws[2])), (8, "")]
-    rows += [(10, " ".join(ws[3])), (None, " ".join([*ws[3][4:], "p0", "p1", "p2", "p3"])), (12, " ".join([*ws[3][8:], "p0", "p1", "p2", "p3", "p4", "p5", "p6", "p7"]))]
+    rows = [
+        (1, " ".join(ws[0])), (None, " ".join([*ws[0], "z"])), (None, " ".join(ws[1])), (None, " ".join([*ws[1], "z"])),
+        (None, " ".join(ws[1])), (None, " ".join(ws[2])), (8, "")
+    ]
+    rows += [
+        (10, " ".join(ws[3])), (None, " ".join([*ws[3][4:], "p0", "p1", "p2", "p3"])),
+        (12, " ".join([*ws[3][8:], "p0", "p1", "p2", "p3", "p4", "p5", "p6", "p7"]))
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, J.jaccard_components(df, 1, 85).collect()), key=str)
     assert got == brute(rows, 1, 85)
@@ -153,7 +162,10 @@ def test_query(spark):
 
 def test_stage(spark):
     a = " ".join(f"w{i}" for i in range(50))
-    df = spark.createDataFrame([(5, a, None), (3, a + " z", None), (3, a + " z", None), (9, "other words", None), (None, a, None), (7, None, None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(
+        [(5, a, None), (3, a + " z", None), (3, a + " z", None), (9, "other words", None), (None, a, None), (7, None, None)],
+        "doc_id long, text string, lang string"
+    )
     assert sorted(r.doc_id for r in J.unique_stage(spark, df, "").collect()) == [3, 7, 9]  # the row without an id is a copy too
 
 

@@ -50,7 +50,10 @@ def test_many_languages():
 
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, score string"
-    df = spark.createDataFrame([(1, None, "en", "x"), (2, "", None, None), (3, "12 !", "en", None), (4, "the the", "en", None), (4, "the the", "en", None), (5, "日本", None, None)], schema)
+    df = spark.createDataFrame(
+        [(1, None, "en", "x"), (2, "", None, None), (3, "12 !", "en", None), (4, "the the", "en", None), (4, "the the", "en", None), (5, "日本", None, None)],
+        schema
+    )
     f = L.train(df)
     got = [(r.doc_id, r.lang_pred, r.score) for r in L.language_id(df, f).collect()]
     assert got[:3] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)]
@@ -121,6 +124,9 @@ def test_samples_are_bounded(spark, monkeypatch):
 
 def test_very_long_and_mixed_texts(spark):
     long = "alpha beta gamma delta " * 40_000
-    df = spark.createDataFrame([(1, long, "aa"), (2, "uno dos tres cuatro " * 40_000, "bb"), (3, "beta", None), (4, "dos", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(
+        [(1, long, "aa"), (2, "uno dos tres cuatro " * 40_000, "bb"), (3, "beta", None), (4, "dos", None)],
+        "doc_id long, text string, lang string"
+    )
     got = {r.doc_id: r.lang_pred for r in L.language_id(df, L.train(df)).collect()}
     assert got == {1: "aa", 2: "bb", 3: "aa", 4: "bb"}

@@ -49,7 +49,12 @@ def test_anchors_are_necessary():
 
 def test_matches_brute_force(spark):
     rng = random.Random(2)
-    rows = [(1, None), (2, ""), (3, "x"), (4, "RELEASED under the MIT license!"), (5, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (5, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (None, "Released under the MIT License."), (6, "É Licensed under CC BY NC 4 0"), (7, "Licensed under CC-BY-NC 4.0. " * 3)]
+    rows = [
+        (1, None), (2, ""), (3, "x"), (4, "RELEASED under the MIT license!"),
+        (5, "text\nLicensed under the Apache License, Version 2.0.\nmore"),
+        (5, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (None, "Released under the MIT License."),
+        (6, "É Licensed under CC BY NC 4 0"), (7, "Licensed under CC-BY-NC 4.0. " * 3)
+    ]
     for i, t in enumerate(L.TEMPLATES.values()):
         ws = t.split()
         rows.append((100 + i, "\n".join(" ".join(ws[j : j + 12]) for j in range(0, len(ws), 12))))
@@ -94,7 +99,12 @@ def brute_runs(rows):
 def test_runs_match_brute_force(spark):
     rng = random.Random(3)
     prose = lambda n: [f"p{rng.randrange(50)}" for _ in range(n)]
-    rows = [(1, None), (2, ""), (3, "x"), (4, "This is a library. Released under the MIT License."), (5, "By A. Author. Licensed under the Apache License, Version 2.0. All rights reserved."), (6, "Released under the MIT License.\nmore words here\nit is released under the MIT\nlicense. And on"), (None, "a b. Released under the MIT License. c d")]
+    rows = [
+        (1, None), (2, ""), (3, "x"), (4, "This is a library. Released under the MIT License."),
+        (5, "By A. Author. Licensed under the Apache License, Version 2.0. All rights reserved."),
+        (6, "Released under the MIT License.\nmore words here\nit is released under the MIT\nlicense. And on"),
+        (None, "a b. Released under the MIT License. c d")
+    ]
     rows.append((7, "x y " + "Licensed under CC BY-NC 4.0. a b c d e f g h " * 3))
     for i, t in enumerate(L.TEMPLATES.values()):
         ws = [w for w in t.split() if rng.random() > 0.04]
@@ -112,7 +122,9 @@ def test_runs_match_brute_force(spark):
 def test_query_finds_runs(spark, tmp_path):
     ws = [f"a{i}" for i in range(150)] + L.TEMPLATES["mit"].split() + [f"b{i}" for i in range(150)]
     text = "\n".join(" ".join(ws[j : j + 11]) for j in range(0, len(ws), 11))
-    spark.createDataFrame([(1, text), (2, "This is a library. Released under the MIT License.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(1, text), (2, "This is a library. Released under the MIT License.")], "doc_id long, text string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, L.op5_license_scan(spark, str(tmp_path)).collect())) == [(1, "mit", 1, 1.0), (2, "mit-notice", 1, 1.0)]
 
 

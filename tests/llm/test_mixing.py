@@ -93,8 +93,14 @@ def test_query_sizes_and_targets(spark):
 
 
 def test_draws_are_disjoint_and_mixture_agrees(spark):
-    data = [(i, " ".join(f"d{i}w{j}" for j in range(n)), s, "x") for i, (n, s) in enumerate([(0, "a"), (1, "a"), (700, "a"), (64, "b"), (65, None), (3000, "b"), (10, "c"), (200, "c")])]
-    data += [(50, None, "a", None), (50, None, None, None), (51, "twice the same row", "b", "l"), (51, "twice the same row", "b", "l"), (None, "no id", "c", "")]
+    data = [
+        (i, " ".join(f"d{i}w{j}" for j in range(n)), s, "x") for i,
+        (n, s) in enumerate([(0, "a"), (1, "a"), (700, "a"), (64, "b"), (65, None), (3000, "b"), (10, "c"), (200, "c")])
+    ]
+    data += [
+        (50, None, "a", None), (50, None, None, None), (51, "twice the same row", "b", "l"), (51, "twice the same row", "b", "l"),
+        (None, "no id", "c", "")
+    ]
     df = spark.createDataFrame(data, "doc_id long, text string, source string, size string")
     plan = M.mix_plan(df).collect()
     assert len(plan) == len(data)
@@ -124,7 +130,10 @@ def test_empty(spark):
 def test_rows_that_differ_elsewhere_and_clashing_names(spark):
     """Rows alike in id, text and source keep their other columns; columns with names of the operator's own stay whole."""
     text = " ".join(f"w{i}" for i in range(100))
-    data = [(1, text, "a", "one", 1, 2, "m", "s", "t"), (1, text, "a", "two", 3, 4, "m", "s", "t"), (1, text, "a", "two", 3, 4, "m", "s", "t"), (2, "other " * 50, "b", None, None, None, None, None, None)]
+    data = [
+        (1, text, "a", "one", 1, 2, "m", "s", "t"), (1, text, "a", "two", 3, 4, "m", "s", "t"), (1, text, "a", "two", 3, 4, "m", "s", "t"),
+        (2, "other " * 50, "b", None, None, None, None, None, None)
+    ]
     df = spark.createDataFrame(data, "doc_id long, text string, source string, extra string, draws int, k1 int, m2 string, m1 string, mix_shard string")
     out = M.mixture(df)
     assert out.columns == ["doc_id", "text", "source", "extra", "draws", "k1", "m2", "m1", "mix_shard", "mix_place"]
@@ -139,7 +148,9 @@ def test_rows_that_differ_elsewhere_and_clashing_names(spark):
 
 def test_a_third_of_all_rows_alike(spark, monkeypatch):
     monkeypatch.setattr(M, "PER_BUCKET", 7)
-    data = [(i, f"a{i} b c d e f g" * (i % 4), f"s{i % 3}") for i in range(120)] + [(500, "the same row again " * 9, "s1")] * 90 + [(None, "no id " * 9, None)] * 30
+    data = [
+        (i, f"a{i} b c d e f g" * (i % 4), f"s{i % 3}") for i in range(120)
+    ] + [(500, "the same row again " * 9, "s1")] * 90 + [(None, "no id " * 9, None)] * 30
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     rows = [r.asDict() for r in M.mix_plan(df).collect()]
     assert len(rows) == len(data)

@@ -21,7 +21,10 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_quality_sql_at_the_edges(spark):
-    texts = [None, "", " \n ", "a b c", "x\nx\nx", "one two three four five one two three four five six seven", "é ü\u00a0x # $", "same line here\nsame line here\nother", " ".join(f"w{i}" for i in range(40)), "\r\n".join(["a b"] * 6), "word " * 50]
+    texts = [
+        None, "", " \n ", "a b c", "x\nx\nx", "one two three four five one two three four five six seven", "é ü\u00a0x # $",
+        "same line here\nsame line here\nother", " ".join(f"w{i}" for i in range(40)), "\r\n".join(["a b"] * 6), "word " * 50
+    ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "a b c")]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")

@@ -51,7 +51,9 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).schema.names == docs.schema.names
-    odd = docs.limit(20).selectExpr("cast(null as bigint) doc_id", "text", "cast(null as string) lang", "source", "n_chars", "'x' score", "1 as class", "true kept")
+    odd = docs.limit(20).selectExpr(
+        "cast(null as bigint) doc_id", "text", "cast(null as string) lang", "source", "n_chars", "'x' score", "1 as class", "true kept"
+    )
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).collect()
         stage(spark, docs.limit(0), SF).collect()

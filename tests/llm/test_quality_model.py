@@ -98,10 +98,14 @@ def test_samples_are_bounded(spark, monkeypatch):
     """A key with many texts gives one of them, a repeated label counts once, large classes keep their sample."""
     seen = {}
     monkeypatch.setattr(Q, "fit", lambda texts, labels: seen.update(texts=texts, labels=labels))
-    docs = spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text").unionByName(spark.range(3000).selectExpr("9000 doc_id", "concat('again ', id) text"))
+    docs = spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text").unionByName(
+        spark.range(3000).selectExpr("9000 doc_id", "concat('again ', id) text")
+    )
     labels = spark.range(4000).selectExpr("id doc_id", "cast(id % 2 as int) quality").unionByName(spark.range(2000).selectExpr("9000 doc_id", "1 quality"))
     Q.train(docs, labels, per_class=100)
-    assert sorted(Counter(seen["labels"]).items()) == [(0, 100), (1, 100)] and len(set(seen["texts"])) == 200 and sum(t.startswith("again") for t in seen["texts"]) <= 1
+    assert sorted(Counter(seen["labels"]).items()) == [(0, 100), (1, 100)] and len(set(seen["texts"])) == 200 and sum(
+        t.startswith("again") for t in seen["texts"]
+    ) <= 1
     first = seen["texts"]
     Q.train(docs.repartition(5), labels.repartition(3), per_class=100)
     assert seen["texts"] == first

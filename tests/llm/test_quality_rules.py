@@ -32,7 +32,9 @@ def brute(text):
             earlier.add(line)
     rep = sum(dup(5))
     failed = len(ws) < 10 or 100 * rep > 20 * len(ws)
-    worst = max([sum(len(w) for w, m in zip(ws, dup(n)) if m) / max(chars, 1) / lim for n, lim in COVERAGE.items()] + [line_chars / max(chars, 1) / LINE_COVERAGE])
+    worst = max(
+        [sum(len(w) for w, m in zip(ws, dup(n)) if m) / max(chars, 1) / lim for n, lim in COVERAGE.items()] + [line_chars / max(chars, 1) / LINE_COVERAGE]
+    )
     return [len(ws), chars, len(re.findall(r"[#*$%&|<>]", t)), lines, rep, failed, not failed and worst <= 1]
 
 

@@ -20,7 +20,10 @@ def S_mode(spark):
 
 
 def test_row_marks_tell_rows_apart(spark):
-    df = spark.createDataFrame([(1, None, "a", {"x": 1}), (None, 1, "a", {"x": 1}), (1, None, "a", {"x": 2}), (1, None, None, None)], "a int, b int, c string, d map<string,int>")
+    df = spark.createDataFrame(
+        [(1, None, "a", {"x": 1}), (None, 1, "a", {"x": 1}), (1, None, "a", {"x": 2}), (1, None, None, None)],
+        "a int, b int, c string, d map<string,int>"
+    )
     marks = [tuple(r) for r in df.select(*S.row_marks(df)).collect()]
     assert marks[0] == marks[2] and len(set(marks)) == 3  # a map is no part of the mark
     assert all(a != b for a, b in marks)

@@ -40,7 +40,10 @@ def test_round_trip(spark, tmp_path):
 
 
 def test_edges(spark, tmp_path):
-    data = [(1, None, "x"), (2, "", "y"), (3, "  two  spaces\n\n ", None), (None, "no key", None), (5, "a" * 5000, None), (6, "tab\there\r\nand there", None), (6, "again", None)]
+    data = [
+        (1, None, "x"), (2, "", "y"), (3, "  two  spaces\n\n ", None), (None, "no key", None), (5, "a" * 5000, None),
+        (6, "tab\there\r\nand there", None), (6, "again", None)
+    ]
     df = spark.createDataFrame(data, "doc_id long, text string, shard string").coalesce(2)
     path = str(tmp_path / "in")
     df.write.parquet(path)
@@ -74,5 +77,8 @@ def test_query(spark):
 def test_names_of_stores(tmp_path):
     for name in (f"{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}"):
         assert T._store(name)[1] == str(tmp_path)
-    names = {"s3a://bucket/a/b": "s3://bucket/a/b", "hdfs://node:9000/a": "hdfs://node:9000/a", "gcs://bucket/a": "gs://bucket/a", "abfss://c@account/a": "abfs://c@account/a"}
+    names = {
+        "s3a://bucket/a/b": "s3://bucket/a/b", "hdfs://node:9000/a": "hdfs://node:9000/a", "gcs://bucket/a": "gs://bucket/a",
+        "abfss://c@account/a": "abfs://c@account/a"
+    }
     assert {k: T._uri(k) for k in names} == names

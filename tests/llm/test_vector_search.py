@@ -43,7 +43,10 @@ def test_exact_when_all_lists_are_probed(spark):
     x[::7] = x[0]  # copies: ties go to the smaller id
     x[~x.any(1)] += 1
     rows = [(i, x[i].tolist()) for i in range(400)]
-    rows += [(1000, None), (1020, [0.0] * 5), (1040, [1.0, None, 0.0, 0.0, 0.0]), (1060, [math.nan] + [1.0] * 4), (1080, [math.inf] + [1.0] * 4), (1100, [1.0]), (None, [1.0] * 5)]
+    rows += [
+        (1000, None), (1020, [0.0] * 5), (1040, [1.0, None, 0.0, 0.0, 0.0]), (1060, [math.nan] + [1.0] * 4), (1080, [math.inf] + [1.0] * 4),
+        (1100, [1.0]), (None, [1.0] * 5)
+    ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = {}
     for r in V.nearest(df, df.filter("vec_id % 20 = 0"), probed=1.0).orderBy("query_id", "rank").collect():
