@@ -48,7 +48,7 @@ RUN = 4
 #: Bits for each entry of the bitmap of wanted texts, and its largest size (128 MB).
 BITS_EACH, MOST_BITS = 8, 1 << 30
 #: Followers of a leader that are compared in one group.
-FOLLOWERS = 1024
+FOLLOWERS = 256
 #: Counters of the sketch that orders elements from rare to common.
 COUNTERS = 1 << 19
 #: A signature as it travels: the lower 48 bits of its hash (its range holds upper ones) and 40 of its class.
