@@ -42,9 +42,9 @@ N2 = 3
 #: Packed signatures (11 bytes each) that a map task gathers before it sends them.
 GATHERED = 1 << 19
 #: Signatures of a fine range; a task holds one range at a time.
-RANGE = 1 << 21
-#: Fine ranges that one task may have to go through before there are more tasks than spark.sql.shuffle.partitions.
-RUN = 4
+RANGE = 1 << 20
+#: Tasks, of one fine range each; where there are more ranges, a task goes through several.
+MOST_TASKS = 1 << 15
 #: Bits for each entry of the bitmap of wanted texts, and its largest size (128 MB).
 BITS_EACH, MOST_BITS = 8, 1 << 30
 #: Followers of a leader that are compared in one group.
@@ -492,8 +492,8 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     # a set of n elements has fewer than n signatures in both its bands, but for the least of sets
     total = heads.agg(F.sum(F.col("n") + 24)).first()[0] or 0
     fine = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fine // RUN))
-    each = -(-fine // tasks)
+    each = -(-fine // MOST_TASKS)
+    tasks = -(-fine // each)
     shorts = written(_buckets(_packed(rows, "text", n, percent, fine), tasks, each).distinct(), "shorts")
     release(spark)
     buckets = written(shorts.join(heads.select("short", "class"), "short").select("bucket", "class"), "buckets")
