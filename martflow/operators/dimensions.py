@@ -76,9 +76,13 @@ def _on(natural: list[str], a: str, b: str) -> Column:
     return reduce(Column.__and__, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in natural])
 
 
+def _largest(dim: DataFrame, key: str, after: DataFrame | None) -> DataFrame:
+    return dim.agg(F.max(key).alias("k")) if after is None else after
+
+
 def scd2(
     dim: DataFrame, batch: DataFrame, key: str, natural: list[str], tracked: list[str], as_of, order: Column | None = None,
-    loaded: Column | None = None
+    loaded: Column | None = None, after: DataFrame | None = None
 ) -> DataFrame:
     """Type 2: a changed member's version of the day ends the day before as_of and a new version takes its place.
 
@@ -89,7 +93,8 @@ def scd2(
     * A row that already began on as_of is overwritten in place.
     * A key without a version of the day comes back with its largest version + 1, valid until its next version begins.
     * New versions are numbered on from the largest of their member, new members from 1.
-    * Surrogate keys go on from the largest: new versions first, then new members, each in the order of all columns.
+    * Surrogate keys go on from the largest: new versions first, then new members, each in the order of all columns. Where
+      dim is only a part of the dimension (all rows of the batch's members), after holds the largest key of the whole.
     * A dimension with created_date and updated_date gets the load time there: both in new rows, the second in changed ones.
     Running the same batch again on the same day changes nothing. No row of dim is ever dropped.
     """
@@ -132,11 +137,11 @@ def scd2(
         (~F.col("_valid")).cast("int").alias("_group"), *names, (F.coalesce("_last", F.lit(0)) + 1).alias("version"),
         until.alias("end_date"), current.alias("is_current")
     )
-    added = numbered(todo, key, ["_group", *names], after=dim.agg(F.max(key).alias("k"))).withColumns({"effective_date": day, **{c: loaded for c in stamps}})
+    added = numbered(todo, key, ["_group", *names], after=_largest(dim, key, after)).withColumns({"effective_date": day, **{c: loaded for c in stamps}})
     return old.unionByName(added.select(*[F.col(c).cast(kinds[c]).alias(c) for c in dim.columns]))
 
 
-def scd1(dim: DataFrame, batch: DataFrame, key: str, natural: list[str]) -> DataFrame:
+def scd1(dim: DataFrame, batch: DataFrame, key: str, natural: list[str], after: DataFrame | None = None) -> DataFrame:
     """Type 1: matched members take the batch's attributes, nulls too; new members get keys after the largest."""
     names = [c for c in dim.columns if c != key]
     b = one_per_key(batch.select(*[c for c in names if c in batch.columns]), natural)
@@ -146,14 +151,14 @@ def scd1(dim: DataFrame, batch: DataFrame, key: str, natural: list[str]) -> Data
     ]
     old = dim.alias("d").join(hit.alias("b"), _on(natural, "d", "b"), "left").select(*cols)
     new = b.join(dim.select(*natural).distinct(), natural, "left_anti")
-    new = numbered(new, key, [c for c in names if c in b.columns], after=dim.agg(F.max(key).alias("k")))
+    new = numbered(new, key, [c for c in names if c in b.columns], after=_largest(dim, key, after))
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def scd0(dim: DataFrame, batch: DataFrame, key: str, natural: list[str]) -> DataFrame:
+def scd0(dim: DataFrame, batch: DataFrame, key: str, natural: list[str], after: DataFrame | None = None) -> DataFrame:
     """Type 0: known members never change; new members are added."""
     new = one_per_key(batch, natural).join(dim.select(*natural).distinct(), natural, "left_anti")
-    return dim.unionByName(numbered(new, key, [c for c in dim.columns if c in batch.columns], after=dim.agg(F.max(key).alias("k"))))
+    return dim.unionByName(numbered(new, key, [c for c in dim.columns if c in batch.columns], after=_largest(dim, key, after)))
 
 
 def scd3(dim: DataFrame, batch: DataFrame, natural: list[str], attribute: str) -> DataFrame:

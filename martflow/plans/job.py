@@ -52,21 +52,24 @@ class Warehouse:
 
 
 def load_dimension(house: Warehouse, spec: DimSpec, batch: DataFrame, as_of) -> int:
-    """The batch into a dimension of any type; the first load creates it."""
+    """The batch into a dimension of any type; the first load creates it. Only buckets with members of the batch are written."""
     table, rows = house.table(spec.dimension_table), dimensions.project(batch, spec.column_mappings)
     rows, _ = quality.key_null_guard(rows, spec.natural_keys)
     if not table.exists():
         first = dimensions.one_per_key(rows, spec.natural_keys)
         first = dimensions.stamped(first, as_of, F.current_timestamp()) if spec.scd_type == 2 else first
-        return table.write(dimensions.numbered(first, spec.key, list(spec.column_mappings)))
-    if spec.scd_type == 2:
-        return table.update(lambda dim: dimensions.scd2(dim, rows, spec.key, spec.natural_keys, spec.scd_attributes, as_of))
-    if spec.scd_type == 3:
-        return table.update(
-            lambda dim: dimensions.scd3(dimensions.scd0(dim, rows, spec.key, spec.natural_keys), rows, spec.natural_keys, spec.scd_attributes[0])
-        )
-    step = dimensions.scd1 if spec.scd_type == 1 else dimensions.scd0
-    return table.update(lambda dim: step(dim, rows, spec.key, spec.natural_keys))
+        return table.merge(dimensions.numbered(first, spec.key, list(spec.column_mappings)), spec.natural_keys, lambda _, new: new)
+    after = table.read().agg(F.max(spec.key).alias("k"))
+
+    def change(dim: DataFrame, new: DataFrame) -> DataFrame:
+        if spec.scd_type == 2:
+            return dimensions.scd2(dim, new, spec.key, spec.natural_keys, spec.scd_attributes, as_of, after=after)
+        if spec.scd_type == 1:
+            return dimensions.scd1(dim, new, spec.key, spec.natural_keys, after=after)
+        grown = dimensions.scd0(dim, new, spec.key, spec.natural_keys, after=after)
+        return dimensions.scd3(grown, new, spec.natural_keys, spec.scd_attributes[0]) if spec.scd_type == 3 else grown
+
+    return table.merge(rows, spec.natural_keys, change)
 
 
 def _fixed(house: Warehouse, name: str, batch: DataFrame, day: str) -> DataFrame:

@@ -320,3 +320,22 @@ def test_rocksdb_state(spark, tmp_path):
         assert sorted(got) == [(0, 7), (1, 7), (2, 6)]
     finally:
         spark.conf.unset(key)
+
+
+def test_dimensions_write_their_touched_buckets_alone(spark, tmp_path):
+    house = J.Warehouse(spark, f"file://{tmp_path}/wh")
+    for kind in (0, 1, 2, 3):
+        spec = config.DimSpec(f"dim_d{kind}", ["code"], {"code": "c", "name": "n"}, kind, ["name"])
+        one = spark.range(300).select(F.concat(F.lit("k"), "id").alias("c"), F.lit("old").alias("n"))
+        J.load_dimension(house, spec, one, D(2024, 1, 1))
+        before = files(tmp_path / "wh" / f"dim_d{kind}")
+        two = spark.createDataFrame([("k7", "new"), ("fresh", "new")], "c string, n string")
+        J.load_dimension(house, spec, two, D(2024, 2, 1))
+        assert before.items() <= files(tmp_path / "wh" / f"dim_d{kind}").items()
+        log = house.table(f"dim_d{kind}").log()
+        kept = {p for d in log[0]["parts"].values() for p in d} & {p for d in log[1]["parts"].values() for p in d}
+        assert len(kept) >= len(log[0]["parts"]) - 2
+        dim = house.table(f"dim_d{kind}").read()
+        keys = [r[0] for r in dim.select(spec.key).collect()]
+        assert sorted(keys) == list(range(1, 302 + (kind == 2)))
+        assert {r.name for r in dim.filter("code = 'k7'").collect()} == {0: {"old"}, 1: {"new"}, 2: {"old", "new"}, 3: {"new"}}[kind]
