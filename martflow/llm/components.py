@@ -19,32 +19,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
     scratch = scratch or Scratch(links.sparkSession)
     written = scratch.written
     edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
+    most = 2 * edges.count()  # no table of nodes or links below has more rows
     labels = None
-    while not edges.isEmpty():
+    while most and (labels is None or not edges.isEmpty()):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
         while True:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            jumped = written(
-                spread_join(parent, up, "p", "left").select("u", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")),
-                "parents"
-            )
+            higher = spread_join(parent, up, "p", "left", rows=most)
+            moved = F.coalesce("g", "p") != F.col("p")
+            jumped = written(higher.select("u", F.coalesce("g", "p").alias("p"), moved.alias("moved")), "parents")
             scratch.free(parent)
             parent = jumped
             if jumped.filter("moved").isEmpty():
                 break
         first = parent.select("u", F.col("p").alias("pu"))
         second = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        n = edges.count()
-        moved = spread_join(spread_join(edges, first, "u", rows=n), second, "v", rows=n).filter("pu <> pv").select(
-            F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")
-        ).distinct()
-        before, edges = edges, written(moved, "edges")
+        ends = spread_join(spread_join(edges, first, "u", rows=most), second, "v", rows=most).filter("pu <> pv")
+        before, edges = edges, written(ends.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
         scratch.free(before)
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             up = parent.select(F.col("u").alias("root"), F.col("p").alias("next"))
-            before, labels = labels, written(spread_join(labels, up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            lower = spread_join(labels, up, "root", "left", rows=most).select("node", F.coalesce("next", "root").alias("root"))
+            before, labels = labels, written(lower, "labels")
             scratch.free(before, parent)
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

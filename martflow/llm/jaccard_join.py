@@ -379,11 +379,12 @@ def _nearest(buckets: DataFrame, scratch: Scratch) -> DataFrame:
 
     Centrality is the number of fellows over all buckets, so the text that a group of near copies was made from leads.
     """
+    rows = buckets.count()
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    central = spread_join(buckets, sizes, "bucket").groupBy("class").agg(F.sum("n").alias("rank"))
+    central = spread_join(buckets, sizes, "bucket", rows=rows).groupBy("class").agg(F.sum("n").alias("rank"))
     ranked = scratch.written(buckets.join(central, "class").select("bucket", "class", "rank"), "ranked")
     lead = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "class")).alias("lead"))
-    own = spread_join(ranked, lead, "bucket").filter(F.col("lead.class") != F.col("class"))
+    own = spread_join(ranked, lead, "bucket", rows=rows).filter(F.col("lead.class") != F.col("class"))
     out = scratch.written(own.groupBy(F.col("class").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.class").alias("b")), "nearest")
     scratch.free(ranked)
     return out
@@ -490,7 +491,8 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     )
     heads = written(heads.select("class", "short", "n", "rows", F.col("h.id").alias("head"), F.col("h.mark").alias("mark")), "heads")
     # a set of n elements has fewer than n signatures in both its bands, but for the least of sets
-    total = heads.agg(F.sum(F.col("n") + 24)).first()[0] or 0
+    one = heads.agg(F.sum(F.col("n") + 24).alias("signatures"), F.count("*").alias("classes")).first()
+    total = one.signatures or 0
     fine = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     each = -(-fine // MOST_TASKS)
     tasks = -(-fine // each)
@@ -500,7 +502,7 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     scratch.free(shorts)
     nearest = _nearest(buckets, scratch)
     followers = nearest.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("groups"))
-    to = spread_join(nearest, followers, "b").select(F.col("a").alias("class"), "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("turn"))
+    to = spread_join(nearest, followers, "b", rows=one.classes).select(F.col("a").alias("class"), "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("turn"))
     wanted = buckets.select("class").distinct().join(heads.select("class", "short", "head"), "class").join(to, "class", "left").join(
         followers.withColumnRenamed("b", "class"), "class", "left"
     )
@@ -543,7 +545,7 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
         "class", F.coalesce("root", "class").alias("root"), "head", "mark", "rows"
     )
     smallest = rooted.groupBy("root").agg(F.min("head").alias("component"))
-    return sized, spread_join(rooted, smallest, "root", rows=heads.count()).select("class", "root", "head", "mark", "rows", "component")
+    return sized, spread_join(rooted, smallest, "root", rows=one.classes).select("class", "root", "head", "mark", "rows", "component")
 
 
 def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -125,7 +125,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """left.join(right, key, how), for a right side with one row a key, where a few keys may hold most rows of left.
 
     Rows of keys with more than one row in HOT stay where they are: those keys' rows of right, at most HOT, are broadcast.
-    A table of up to HOT_ROWS rows is joined as it is, as none of its keys can overload a task. rows: left's number, if known.
+    A table of up to HOT_ROWS rows is joined as it is, as none of its keys can overload a task. rows: left's number, or a bound of it, if known.
     """
     n = left.count() if rows is None else rows
     if n <= HOT_ROWS:
