@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.shared import annotate, content_hash, mix64, sampled, table
+from martflow.llm.shared import annotate, content_hash, kept_rows, mix64, sampled, table
 
 N = (2, 3, 4)
 K = 3
@@ -218,5 +218,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs in a language that their labels teach."""
     filters = train(docs.filter(remainder("doc_id", 5) != 0))
-    found = language_id(docs.withColumns({"martflow_text": F.col("text")}), filters, "martflow_text")
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return kept_rows(docs, "text", lambda df, text: language_id(df, filters, text), known)

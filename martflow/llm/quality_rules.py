@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.shared import BASE, BYTE_CODE, Words, annotate, mix64, powers, table, text_blocks, windows
+from martflow.llm.shared import BASE, BYTE_CODE, Words, annotate, kept_rows, mix64, powers, table, text_blocks, windows
 
 #: Words of a window: largest share of code points that duplicated windows of that length may cover.
 COVERAGE = {3: 0.30, 5: 0.25, 8: 0.20, 10: 0.20}
@@ -117,6 +117,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs whose text is kept."""
-    return quality_rules(docs).filter(F.col("kept")).select(*docs.columns)
-
-
+    return kept_rows(docs, "text", quality_rules, F.col("kept"))

@@ -282,6 +282,14 @@ def annotate(df: DataFrame, column: str, fields: list[tuple[str, str]], make) ->
     return source.mapInArrow(run, schema)
 
 
+def kept_rows(docs: DataFrame, text: str, mark, condition: Column) -> DataFrame:
+    """The rows of docs, as they are, whose marks meet a condition; mark(frame, text column) adds columns of any names."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    found = mark(plain, names[docs.columns.index(text)]).filter(condition)
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table that written() made and nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

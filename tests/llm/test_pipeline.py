@@ -57,3 +57,13 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).collect()
         stage(spark, docs.limit(0), SF).collect()
+
+
+def test_columns_of_documents_go_through(spark):
+    """Columns under the names that the stages use themselves keep their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' score", "1 as class", "doc_id + 5 kept", "'l' lang_pred", "2 n_words", "3 m1", "4 draws", "5 mark", "6 no")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.selectExpr("score", "class", "kept - doc_id", "lang_pred", "n_words", "m1", "draws", "mark", "no").distinct().collect()
+        assert [tuple(r) for r in rows] == [("x", 1, 5, "l", 2, 3, 4, 5, 6)], name
