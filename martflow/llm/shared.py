@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from martflow.sources.scratch import checkpoint_dir
 
 #: A key with more than one row in HOT of a table, in a table of over HOT_ROWS rows, travels by broadcast in spread_join.
-HOT, HOT_ROWS = 4096, 1 << 20
+HOT, HOT_ROWS = 4096, 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
