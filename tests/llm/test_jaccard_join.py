@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from martflow.llm import jaccard_join as J
+from martflow.llm import shared
 from martflow.llm.components import components
 from martflow.llm.shared import text_blocks
 
@@ -127,6 +128,17 @@ def test_chain_and_hub(spark):
     assert sorted(map(tuple, J.jaccard_components(df, 1, 85).collect()), key=str) == brute(rows, 1, 85)
 
 
+def test_a_third_of_all_rows_in_one_class(spark, monkeypatch):
+    """Hot classes, leaders and roots are dealt apart; the result is the same."""
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT", 16)
+    monkeypatch.setattr(J, "FOLLOWERS", 4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [*corpus(7, 60), *[(3000 + i, " ".join(base)) for i in range(60)], *[(4000 + i, " ".join([*base, f"y{i}"])) for i in range(40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(df, 2, 85).collect()), key=str) == brute(rows, 2, 85)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_components(df, 4, 85).count() == 0
