@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.components import components
-from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, row_marks, spread_join, table, text_blocks, windows
+from martflow.llm.shared import BASE, Scratch, Words, annotate, drop_state, mix64, release, row_marks, small_batches, spread_join, table, text_blocks, windows
 
 N2 = 3
 #: Packed signatures (11 bytes each) that a map task gathers before it sends them.
@@ -514,7 +514,8 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
     y = texts.filter("groups is not null").select(
         F.col("class").alias("b"), F.col("text").alias("y"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("turn")
     )
-    links = written(_linked(x.join(y, ["b", "turn"]), n, percent), "links")
+    with small_batches(spark):
+        links = written(_linked(x.join(y, ["b", "turn"]), n, percent), "links")
     release(spark)
     roots = components(links, scratch=scratch)
     placed = written(
@@ -534,7 +535,8 @@ def _components(docs: DataFrame, n: int, percent: int, key: str, text: str, scra
         F.greatest("no", "to").alias("a"), F.least("no", "to").alias("b")
     )
     x, y = opened.select(F.col("no").alias("a"), F.col("text").alias("x")), opened.select(F.col("no").alias("b"), F.col("text").alias("y"))
-    more = written(_linked(pairs.join(known, ["a", "b"], "left_anti").join(y, "b").join(x, "a"), n, percent), "more")
+    with small_batches(spark):
+        more = written(_linked(pairs.join(known, ["a", "b"], "left_anti").join(y, "b").join(x, "a"), n, percent), "more")
     more = more.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     more = written(more, "links")
     scratch.free(opened, pairs)

@@ -7,6 +7,7 @@ import threading
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -290,6 +291,18 @@ def kept_rows(docs: DataFrame, text: str, mark, condition: Column) -> DataFrame:
     return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Python gets batches of at most so many rows from what is planned within: for rows that hold several texts each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table that written() made and nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
